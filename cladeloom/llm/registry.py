@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bestfit import op3_best_fit_packing
 from .decontam import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
 
 SQL = {
