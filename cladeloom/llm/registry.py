@@ -6,15 +6,20 @@ from .bestfit import op3_best_fit_packing
 from .decontam import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .simhash import op5_simhash_near_dedup
+from .toxicity import op9_toxicity
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
 }
 
 SQL = {
     "op1_decontaminate": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op10_warc": OP10_SQL,
 }
