@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,6 +80,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         yield batch.slice(first)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While an action runs, Arrow batches of at most `rows` rows: a batch of
+    large payloads is held by the JVM and by the worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def hash_fraction(column: Column, salt: str) -> Column:
     """A uniform number in [0, 1) fixed by the value, for bounded samples."""
     return F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1 << 30)) / F.lit(float(1 << 30))
