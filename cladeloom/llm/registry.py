@@ -6,6 +6,7 @@ from .bestfit import op3_best_fit_packing
 from .decontam import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .simhash import op5_simhash_near_dedup
+from .suffixes import op8_suffix_array_dedup
 from .toxicity import op9_toxicity
 from .warc import OP10_SQL, op10_warc
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
