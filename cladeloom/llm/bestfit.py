@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices
+from .common import materialise, slices
 from .tokens import default_path, encoder
 
 CAPACITY = 2048

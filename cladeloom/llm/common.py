@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -93,29 +93,37 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def hash_fraction(column: Column, salt: str) -> Column:
-    """A uniform number in [0, 1) fixed by the value, for bounded samples."""
-    return F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def without_rows(docs: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs less the rows that `decisions` (key, kept; one row per row of
-    docs) drops.
+def text_tag(text: Column) -> Column:
+    """SHA-256 of a whole text as it stands; null counts as empty."""
+    return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
-    The join is on the key alone, so no text is compared and no group of
-    copies meets in one task. A key that has both a kept and a dropped row
-    (repeated rows) stays as often as it is kept, the smallest text first.
+
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that verdict (id, tag, stay, rows; one row for each id
+    and text_tag) lets stay.
+
+    Rows are found by id and tag together, so a hot text is spread by its ids
+    and a repeated id by its texts. Of rows that repeat both, `stay` remain,
+    the first in the order of all their columns. Null ids match each other.
     """
-    verdict = decisions.groupBy(F.col(key).alias("__key")).agg(
-        F.sum(F.col("kept").cast("long")).alias("__stay"), F.count(F.lit(1)).alias("__rows")
-    ).filter("__stay < __rows")
-    joined = docs.join(verdict, docs[key].eqNullSafe(verdict["__key"]), "left")
-    whole = joined.filter(F.coalesce(F.col("__stay") > 0, F.lit(True)))
-    if verdict.filter("__stay > 0").isEmpty():
-        return whole.select(*[docs[c] for c in docs.columns])
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("__key").orderBy(*[F.col(c) for c in docs.columns])
-    clean = whole.filter("__key is null and __stay is null")
-    some = whole.filter("__stay is not null").withColumn("__n", F.row_number().over(order)).filter("__n <= __stay")
-    return clean.select(*docs.columns).unionByName(some.select(*docs.columns))
+    k, t, stay, own, nth = fresh(docs.columns, "__k", "__t", "__stay", "__tag", "__nth")
+    v = verdict.filter("stay < rows").select(F.col("id").alias(k), F.col("tag").alias(t), F.col("stay").alias(stay))
+    tagged = docs.withColumn(own, text_tag(F.col(text_col)))
+    joined = tagged.join(v, F.col(id_col).eqNullSafe(F.col(k)) & (F.col(own) == F.col(t)), "left")
+    if v.filter(F.col(stay) > 0).isEmpty():
+        return joined.filter(F.col(stay).isNull()).select(*docs.columns)
+    some = joined.filter(F.col(stay) > 0)
+    order = Window.partitionBy(k, t).orderBy(*[F.col(c) for c in docs.columns])
+    some = some.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= F.col(stay))
+    return joined.filter(F.col(stay).isNull()).select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import as_bytes, fresh, slices
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -98,12 +98,12 @@ def scan_text(raw: bytes, machine, known: list[tuple[int, int]] = (), items: set
     return len(w), [{"first": a, "last": b, "start": int(starts[a]), "end": int(ends[b])} for a, b in spans], hit
 
 
-def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str]):
+def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str], added: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(table)
         for batch in slices(batches, text, 8 << 20):
             n_words, spans, items = [], [], []
-            old = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())
+            old = zip(batch.column(added[1]).to_pylist(), batch.column(added[2]).to_pylist())
             for raw, (s, i) in zip(as_bytes(batch.column(text)).to_pylist(), old):
                 n, s, i = scan_text(raw, machine, [(x["first"], x["last"]) for x in s], set(i))
                 n_words.append(n)
@@ -111,7 +111,7 @@ def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str]
                 items.append(sorted(i))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))],
-                names=[*columns, "__words", "__spans", "__items"],
+                names=[*columns, *added],
             )
 
     return run
@@ -119,36 +119,40 @@ def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str]
 
 def scan(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, str, str] = ("n_words", "spans", "items"),
 ) -> DataFrame:
-    """docs with __words (number), __spans (hit runs: first and last word,
-    start and end byte in the original) and __items (sorted item ids)."""
+    """docs with three `added` columns: number of words, hit runs (first and
+    last word, start and end byte in the original), sorted item ids."""
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     columns = docs.columns
-    out = docs.select("*", F.lit(0).cast("long").alias("__words"), F.array().cast(SPANS).alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    out = docs.select("*", F.lit(0).cast("long").alias(added[0]), F.array().cast(SPANS).alias(added[1]), F.array().cast("array<string>").alias(added[2]))
     schema = out.schema
     for b in range(blocks):  # each block's rows are bounded by block_bytes on average
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         table = windows([(r.i, r.t) for r in part.toLocalIterator()], window)
-        out = out.mapInArrow(_pass(text_col, table, columns), schema)
+        out = out.mapInArrow(_pass(text_col, table, columns, added), schema)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = MIN_ITEMS, **options) -> DataFrame:
-    """The rows of docs that hold windows of fewer than `min_items` items."""
-    return scan(docs, benchmark, text_col, **options).filter(F.size("__items") < min_items).select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = MIN_ITEMS, min_run: int = WINDOW, **options) -> DataFrame:
+    """The rows of docs without a leak. A leak is a hit run of `min_run` words
+    - a whole window of one item - or hits of `min_items` different items; a
+    single item too short for a window is no leak by itself."""
+    added = tuple(fresh(docs.columns, "n_words", "spans", "items"))
+    leak = (F.size(added[2]) >= min_items) | F.exists(added[1], lambda s: s["last"] - s["first"] + 1 >= min_run)
+    return scan(docs, benchmark, text_col, added=added, **options).filter(~leak).select(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return found.select(
-        "doc_id", F.col("__words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join("__items", ","), "UTF-8"), 256).alias("items_sha256"),
-        (F.size("__items") >= MIN_ITEMS).alias("contaminated"),
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.size("items") >= MIN_ITEMS).alias("contaminated"),
     )
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, without_rows
+from .common import keep_rows, materialise, scratch_path, text_tag
 
 #: The six ASCII white-space characters that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,13 +51,15 @@ class DigestIndex:
         )
         self.runs.append((level, where))
 
-    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Digest docs into a new sorted run; returns that run's rows."""
+    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: bool = False) -> DataFrame:
+        """Digest docs into a new sorted run, with the digest of the unchanged
+        text too if asked for; returns that run's rows."""
         rows = docs.select(
             F.unhex(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).alias("digest"),
             F.coalesce(F.length(text_col), F.lit(0)).alias("points"),
             F.col(id_col).alias("id"),
             F.monotonically_increasing_id().alias("row"),
+            *([text_tag(F.col(text_col)).alias("tag")] if tag else []),
         )
         self._write(rows, 0)
         return self.spark.read.parquet(self.runs[-1][1])
@@ -99,10 +101,12 @@ def suspects(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256."""
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: bool = False) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256
+    (and the unchanged text's tag, if asked for)."""
     index = DigestIndex(docs.sparkSession)
-    run = index.flush(docs, id_col, text_col)
+    run = index.flush(docs, id_col, text_col, tag)
+    more = ["tag"] if tag else []
     level = index.compact(force=True)
     bad = materialise(suspects(docs, text_col), "suspects")
     rows = run.join(level, "digest", "left").select(
@@ -111,6 +115,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.col("rows").alias("group_size"),
         (F.col("best.row") == F.col("row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *more,
         "digest",
     )
     if bad.isEmpty():
@@ -120,6 +125,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     split = docs.select(
         F.col(id_col).alias("id"), norm.alias("norm"), F.coalesce(F.length(text_col), F.lit(0)).alias("points"),
         F.unhex(F.sha2(F.encode(norm, "UTF-8"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row"),
+        *([text_tag(F.col(text_col)).alias("tag")] if tag else []),
     ).join(bad, "digest", "left_semi")
     split = materialise(split, "collided")
     best = split.groupBy("digest", "norm").agg(
@@ -127,15 +133,18 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     fixed = split.join(best, ["digest", "norm"]).select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("rows").alias("group_size"),
-        (F.col("best.row") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        (F.col("best.row") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *more,
     )
     return rows.join(bad, "digest", "left_anti").drop("digest").unionByName(fixed)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    decisions = materialise(assign(docs, id_col, text_col).select(id_col, "kept"), "exact")
-    return without_rows(docs, decisions, id_col)
+    decisions = assign(docs, id_col, text_col, tag=True)
+    verdict = decisions.groupBy(F.col(id_col).alias("id"), "tag").agg(
+        F.sum(F.col("kept").cast("long")).alias("stay"), F.count(F.lit(1)).alias("rows")
+    )
+    return keep_rows(docs, materialise(verdict, "exact"), id_col, text_col)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, materialise, slices, without_rows
+from .common import as_bytes, keep_rows, materialise, slices, text_tag
 from .components import components
 
 SHINGLE = 3
@@ -55,15 +55,17 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) for each row of docs."""
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    schema = rows.select(id_col, F.lit(0).cast("long").alias("fp")).schema
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tag: bool = False) -> DataFrame:
+    """id and fp (the fingerprint as a signed long) for each row of docs, and
+    the text's tag if asked for."""
+    rows = docs.select(F.col(id_col), F.col(text_col), *([text_tag(F.col(text_col)).alias("tag")] if tag else []))
+    carried = [id_col, *(["tag"] if tag else [])]
+    schema = rows.select(*carried, F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 8 << 20):
             fp = np.array([fingerprint(x, size) for x in as_bytes(batch.column(text_col)).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fp.view(np.int64))], names=[*carried, "fp"])
 
     return rows.mapInArrow(run, schema)
 
@@ -152,32 +154,32 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return dealt.mapInArrow(_edges_of(radius), "a long, b long").distinct()
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False) -> DataFrame:
+    """id, fp, root (one fingerprint that names the component) for each row."""
+    fps = materialise(fingerprints(docs, id_col, text_col, size, tag), "fingerprints")
+    distinct = materialise(fps.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, radius))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return fps.join(named, "fp")
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """id, fp and component_id for each row of docs."""
-    fps = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    """id, fp and component_id (the least id) for each row of docs."""
+    rows = materialise(classes(docs, id_col, text_col, size, radius), "classes")
+    least = rows.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    return rows.join(least, "root").select(id_col, "fp", "component_id")
 
 
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: that of the smallest id."""
-    got = materialise(assign(docs, id_col, text_col, **options), "near")
-    ranked = got.withColumn("__first", F.col(id_col).eqNullSafe(F.col("component_id")))
-    twice = ranked.filter("__first").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    decisions = ranked.select(F.col(id_col), F.col("__first").alias("kept"))
-    if not twice.isEmpty():  # the winning id stands on several rows; one of them stays
-        extra = ranked.filter("__first").join(twice, ranked.component_id.eqNullSafe(twice.component_id), "left_semi")
-        one = extra.select(id_col).distinct().select(id_col, F.lit(True).alias("kept"))
-        rest = extra.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).select(F.col(id_col), F.explode(F.array_repeat(F.lit(False), (F.col("n") - 1).cast("int"))).alias("kept"))
-        others = ranked.join(twice, ranked.component_id.eqNullSafe(twice.component_id), "left_anti").unionByName(
-            ranked.join(twice, ranked.component_id.eqNullSafe(twice.component_id), "left_semi").filter("not __first")
-        ).select(F.col(id_col), F.col("__first").alias("kept"))
-        decisions = others.unionByName(one).unionByName(rest)
-    return without_rows(docs, decisions, id_col)
+    """docs with one row of each component: that of the smallest id (null ids
+    come last), and of rows that repeat it the first by text digest."""
+    rows = materialise(classes(docs, id_col, text_col, tag=True, **options), "classes")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "tag")
+    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
+    verdict = rows.groupBy("root", F.col(id_col).alias("id"), "tag").agg(F.count(F.lit(1)).alias("rows")).join(best, "root").select(
+        "id", "tag", "rows", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("tag") == F.col("best.tag"))).cast("long").alias("stay")
+    )
+    return keep_rows(docs, materialise(verdict, "near"), id_col, text_col)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

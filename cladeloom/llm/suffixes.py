@@ -307,7 +307,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("hash", "head", "tail", "first")).alias("wanted")).join(texts, "key").select("key", F.col("pick").alias("id"), "wanted")
     packed = packed_texts(docs, id_col, text_col, length)
-    met = packed.join(wanted.hint("shuffle_hash"), (packed.key == wanted.key) & packed.id.eqNullSafe(wanted.id)).select(packed.key, "packed", "wanted")
+    met = packed.join(wanted, (packed.key == wanted.key) & packed.id.eqNullSafe(wanted.id)).select(packed.key, "packed", "wanted")
     large = materialise(open_.filter(F.col("m") > bucket_rows).select("hash").distinct(), "large")
     pieces = materialise(met.mapInArrow(_stretches(length), _RUN), "stretches")
     small = pieces if large.isEmpty() else pieces.join(large, "hash", "left_anti").select(*pieces.columns)
@@ -350,7 +350,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and, if asked for, the kept bytes (null: nothing was removed)."""
     rows, spans = repeated(docs, id_col, text_col, length, gram, **options)
     packed = packed_texts(docs, id_col, text_col, length)
-    met = packed.join(spans.hint("shuffle_hash"), (packed.key == spans.key) & packed.id.eqNullSafe(spans.id)).select(packed.key, "packed", "spans")
+    met = packed.join(spans, (packed.key == spans.key) & packed.id.eqNullSafe(spans.id)).select(packed.key, "packed", "spans")
     done = met.mapInArrow(_cut(length, kept), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, fresh, slices
 from .decontam import words
 
 MAX_ROWS = 12_000
@@ -170,7 +170,8 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", name: str = "
 
 def filter_toxic(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold."""
-    return score(docs, model, text_col, "__score").filter(F.col("__score") < threshold).drop("__score")
+    (name,) = fresh(docs.columns, "score")
+    return score(docs, model, text_col, name).filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
