@@ -38,7 +38,8 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     survives lost executors, and gives later joins true sizes to plan with."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,12 +82,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While an action runs, Arrow batches of at most `rows` rows: a batch of
-    large payloads is held by the JVM and by the worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """While an action runs, Arrow batches of about `size` bytes at most: a
+    batch of long texts is held by the JVM and by the worker at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(key, str(size))
     try:
         yield
     finally:
@@ -104,6 +105,22 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], number: str, rows: int, parts: int = 1000) -> DataFrame:
+    """left joined to right (one row for each key, `number` = how many rows of
+    left have it) where a key may hold a large share of left's `rows`.
+
+    Keys of more than rows / parts rows are hot; there are fewer than `parts`
+    of them, so they can always be broadcast, and their rows stay where they
+    are. The others are joined by a shuffle, in which no key is large.
+    """
+    hot = right.filter(F.col(number) > rows / parts)
+    (mark,) = fresh(left.columns + right.columns, "__hot")
+    marked = left.join(F.broadcast(hot.withColumn(mark, F.lit(True))), on, "left")
+    cold = marked.filter(F.col(mark).isNull()).select(*left.columns).join(right.filter(F.col(number) <= rows / parts), on)
+    names = [*left.columns, *(c for c in right.columns if c not in on)]
+    return marked.filter(F.col(mark)).select(*names).unionByName(cold.select(*names))
+
+
 def text_tag(text: Column) -> Column:
     """SHA-256 of a whole text as it stands; null counts as empty."""
     return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes, materialise, scratch_path
+from .common import as_bytes, materialise, scratch_path, small_batches
 
 LEAST_REVISIT = 1000
 ROLL_BYTES = 256 << 20
@@ -160,7 +160,7 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes
     ).unionByName(seen.select(F.lit(0).alias("kind"), "page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "key", F.col("refers_to").cast("long")))
     dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
     listed = dealt.mapInArrow(_writer(path, roll_bytes, level, date), MANIFEST)
-    with arrow_rows(spark, 500):
+    with small_batches(spark):
         listed.write.parquet(f"{path}/manifest")
     manifest = spark.read.parquet(f"{path}/manifest")
     _commit(manifest, path)
