@@ -29,6 +29,8 @@ processed in parts of bounded size; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise
+from .common import as_bytes, materialise, slices
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 CHUNK_WORDS = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -109,10 +111,31 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _table(hashes: list[np.ndarray], there: list[np.ndarray], bits: int) -> np.ndarray:
-    every = np.concatenate([_kept_bits(h[t], bits) for h, t in zip(hashes, there)])
-    every.sort()
-    return every[np.concatenate(([True], every[1:] != every[:-1]))] if len(every) else every
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 48-bit numbers: how many, the low 4 bytes of each, and the
+    compressed steps of the high 2 bytes (about 4.6 bytes each in all)."""
+    import zstandard
+
+    steps = np.diff((keys >> np.uint64(32)).astype(np.int64), prepend=0)
+    return struct.pack("<I", len(keys)) + (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + zstandard.compress(pack_counts(steps), 1)
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    (n,) = struct.unpack_from("<I", raw)
+    high = np.cumsum(unpack_counts(zstandard.decompress(raw[4 + 4 * n :]), n)).astype(np.uint64)
+    return (high << np.uint64(32)) | np.frombuffer(raw, "<u4", n, 4)
+
+
+def grouped(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of own, its distinct values, and the place among those of
+    each value in order. (Sorting beats searching each value in a table.)"""
+    order = np.argsort(own)
+    s = own[order]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return order, s[new], np.cumsum(new) - 1
 
 
 def _cuts(table: np.ndarray, bits: int) -> np.ndarray:
@@ -121,67 +144,103 @@ def _cuts(table: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _asked(order: int, bits: int, table: pa.Table) -> pa.Table:
+    import zstandard
+
+    table = table.sort_by("row")  # chunks depend on the order, which a shuffle does not keep
     block = table.column("block")[0].as_py()
-    out = []
-    for number, chunk in enumerate(chunks(as_bytes(table.column("text")).to_pylist(), order)):
+    out, z = [], zstandard.ZstdCompressor(level=1)
+    for number, chunk in enumerate(chunks(_texts(table), order)):
         _, weight, hashes, there = ngrams(chunk, order)
         own = np.concatenate([_kept_bits(h[t], bits) for h, t in zip(hashes, there)])
-        w = np.concatenate([weight[t] for t in there])
-        keys = _table(hashes, there, bits)
-        counts = np.bincount(np.searchsorted(keys, own), weights=w, minlength=len(keys)).astype(np.int64)
-        low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        if weight.all():
+            own.sort()
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            keys, counts = own[first], np.diff(np.append(first, len(own)))
+        else:
+            at, keys, where = grouped(own)
+            counts = np.bincount(where, weights=np.concatenate([weight[t] for t in there])[at]).astype(np.int64)
         cuts = [0, *_cuts(keys, bits).tolist(), len(keys)]
-        out += [(block, number, b, low[i:j].tobytes(), pack_counts(counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-    cols = list(zip(*out)) or [[], [], [], [], []]
-    return pa.table({"block": pa.array(cols[0], pa.int64()), "chunk": pa.array(cols[1], pa.int32()), "bucket": pa.array(cols[2], pa.int64()), "keys": pa.array(cols[3], pa.binary()), "counts": pa.array(cols[4], pa.binary())})
+        keys &= np.uint64((1 << 48) - 1)
+        out += [(block, number, b, zlib.crc32(keys[i:j]), pack_keys(keys[i:j]), z.compress(pack_counts(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+    cols = list(zip(*out)) or [[]] * 6
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["block", "chunk", "bucket", "mark", "keys", "counts"])
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    sizes, keys, counts = [], [], []
-    for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist()):
-        n = len(k) // 6
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(k, np.uint8).reshape(n, 6)
-        keys.append(wide.reshape(-1).view("<u8"))
-        counts.append(unpack_counts(c, n))
-        sizes.append(n)
-    every = np.concatenate(keys)
-    names = np.unique(every)
-    at = np.searchsorted(names, every)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(names)).astype(np.int64)[at]
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    return table.select(["block", "chunk", "bucket"]).append_column("totals", pa.array([pack_counts(total[i:j]) for i, j in zip(edges, edges[1:])], pa.binary()))
+    import zstandard
+
+    keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
+    sizes = [len(k) for k in keys]
+    counts = np.concatenate([unpack_counts(zstandard.decompress(c.as_py()), n) for c, n in zip(table.column("counts"), sizes)])
+    at, _, where = grouped(np.concatenate(keys))
+    total = np.empty(len(at), np.int64)
+    total[at] = np.bincount(where, weights=counts[at]).astype(np.int64)[where]
+    edges, z = np.concatenate(([0], np.cumsum(sizes))), zstandard.ZstdCompressor(level=1)
+    return table.select(["block", "chunk", "bucket", "mark"]).append_column("totals", pa.array([z.compress(pack_counts(total[i:j])) for i, j in zip(edges, edges[1:])], pa.binary()))
 
 
 def _scored(order: int, bits: int, alpha: float, least: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    import zstandard
+
+    docs = docs.sort_by("row")
     n = docs.num_rows
     part, uni, number = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    by: dict[int, list[tuple[int, bytes]]] = {}
-    for chunk, bucket, totals in zip(*(answers.column(c).to_pylist() for c in ("chunk", "bucket", "totals"))):
-        by.setdefault(chunk, []).append((bucket, totals))
-    for at, chunk in enumerate(chunks(as_bytes(docs.column("text")).to_pylist(), order)):
+    by: dict[int, list[tuple[int, int, bytes]]] = {}
+    for chunk, *answer in zip(*(answers.column(c).to_pylist() for c in ("chunk", "bucket", "mark", "totals"))):
+        by.setdefault(chunk, []).append(tuple(answer))
+    for at, chunk in enumerate(chunks(_texts(docs), order)):
         text, weight, hashes, there = ngrams(chunk, order)
-        keys = _table(hashes, there, bits)
+        sorted_at, keys, where = grouped(np.concatenate([_kept_bits(h[t], bits) for h, t in zip(hashes, there)]))
         cuts = [0, *_cuts(keys, bits).tolist(), len(keys)]
         total = np.zeros(len(keys), np.int64)
-        for bucket, raw in by.get(at, []):
+        keys &= np.uint64((1 << 48) - 1)
+        for bucket, mark, raw in by.get(at, []):
             i, j = cuts[bucket], cuts[bucket + 1]
-            total[i:j] = unpack_counts(raw, j - i)
-        c = [np.where(t, total[np.minimum(np.searchsorted(keys, _kept_bits(h, bits)), len(keys) - 1)], 0) for h, t in zip(hashes, there)]
+            if zlib.crc32(keys[i:j]) != mark:
+                raise ValueError("an answer does not belong to this chunk")
+            total[i:j] = unpack_counts(zstandard.decompress(raw), j - i)
+        flat = np.empty(len(sorted_at), np.int64)
+        flat[sorted_at] = total[where]
+        c, begin = [], 0
+        for t in there:
+            have = int(np.count_nonzero(t))
+            full = np.zeros(len(text), np.int64)
+            full[t] = flat[begin : begin + have]
+            c.append(full)
+            begin += have
         s, open_, only_uni = np.zeros(len(text)), np.ones(len(text), bool), np.zeros(len(text), bool)
         for m in range(order, 0, -1):
             here = open_ & there[m - 1] & ((c[m - 1] >= least) if m > 1 else True)
-            context = np.concatenate(([1], c[m - 2][:-1])) if m > 1 else np.ones(len(text))
-            s[here] += np.log(c[m - 1][here]) - np.log(context[here])
-            open_ &= ~here
-            s[open_ & there[m - 1]] += np.log(alpha)
-            if m == 1:
+            s[here] += np.log(c[m - 1][here])
+            if m > 1:
+                s[here] -= np.log(np.concatenate(([1], c[m - 2][:-1]))[here])
+            else:
                 only_uni = here
+            open_ &= ~here
+            if m > 1:
+                s[open_ & there[m - 1]] += np.log(alpha)
         real = weight > 0
         part += np.bincount(text[real], weights=s[real], minlength=n)
         uni += np.bincount(text[real & only_uni], minlength=n)
         number += np.bincount(text[real], minlength=n)
-    return docs.select([0]).append_column("n_words", pa.array(number)).append_column("part", pa.array(part)).append_column("n_single", pa.array(uni))
+    return docs.select(["id"]).append_column("n_words", pa.array(number)).append_column("part", pa.array(part)).append_column("n_single", pa.array(uni))
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    import zstandard
+
+    return [zstandard.decompress(x.as_py()) for x in table.column("packed")]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the one shuffle that deals them into blocks."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in slices(batches, "text", 4 << 20):
+        small = [z.compress(x) for x in as_bytes(batch.column("text")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("block"), pa.array(small, pa.binary())], names=["id", "row", "block", "packed"])
 
 
 def score(
@@ -192,10 +251,10 @@ def score(
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     bits = min(24, max(0, (-(-total // bucket_bytes) - 1).bit_length()))
-    dealt = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(blocks)).alias("block"),
-    ).repartition(blocks, "block")
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
+    ).withColumn("block", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)))
+    dealt = rows.mapInArrow(_packed, rows.selectExpr("id", "row", "block", "binary('') as packed").schema).repartition(blocks, "block")
 
     def ask(table: pa.Table) -> pa.Table:
         return _asked(order, bits, table)
@@ -203,8 +262,8 @@ def score(
     def add_up(docs: pa.Table, answers: pa.Table) -> pa.Table:
         return _scored(order, bits, alpha, min_count, docs, answers)
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block long, chunk int, bucket long, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, chunk int, bucket long, totals binary")
+    asked = dealt.groupBy("block").applyInArrow(ask, "block long, chunk int, bucket long, mark long, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, chunk int, bucket long, mark long, totals binary")
     schema = dealt.selectExpr("id", "0L as n_words", "0D as part", "0L as n_single").schema
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, schema)
     parts = materialise(found, "scores")
