@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, slices
+from .common import as_bytes, join_hot, materialise, slices
 
 LENGTH = 400
 GRAM = 96
@@ -127,7 +127,7 @@ _RUN = "key binary, hash long, head int, tail int, stretch binary, first long"
 
 def _runs_of(text_col: str, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, 1 << 18):
             raw = [x for x in as_bytes(batch.column(text_col)).to_pylist() if len(x) >= length]
             if not raw:
                 continue
@@ -300,10 +300,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     every = materialise(docs.select(F.col(text_col)).mapInArrow(_runs_of(text_col, length, gram), _RUN), "runs")
 
     same = ["hash", "head", "tail", "stretch"]
+    total = every.count()
     groups = every.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first")).alias("one"))
     buckets = groups.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     open_ = materialise(groups.join(buckets, "hash").select("hash", "head", "tail", "m", F.col("one.key").alias("key"), F.col("one.first").alias("first")), "open")
-    whole = every.join(groups.filter("n > 1").select(*same), same).groupBy("key", "first").agg(F.max(F.col("first") + F.col("head") - F.col("tail")).alias("last"))
+    several = materialise(groups.filter("n > 1").select(*same, "n"), "several")
+    whole = join_hot(every, several, same, "n", total).groupBy("key", "first").agg(F.max(F.col("first") + F.col("head") - F.col("tail")).alias("last"))
 
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("hash", "head", "tail", "first")).alias("wanted")).join(texts, "key").select("key", F.col("pick").alias("id"), "wanted")
     packed = packed_texts(docs, id_col, text_col, length)
@@ -351,7 +353,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, spans = repeated(docs, id_col, text_col, length, gram, **options)
     packed = packed_texts(docs, id_col, text_col, length)
     met = packed.join(spans, (packed.key == spans.key) & packed.id.eqNullSafe(spans.id)).select(packed.key, "packed", "spans")
-    done = met.mapInArrow(_cut(length, kept), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = materialise(met.mapInArrow(_cut(length, kept), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "cut")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     return rows.join(done, "key", "left").select(
