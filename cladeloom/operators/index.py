@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import K, explode_kmers
 from .hierarchy import common_path
+from .shared import settle
 
 
 def build(sequences: DataFrame, groups: DataFrame, k: int = K, hidden: DataFrame | None = None) -> DataFrame:
@@ -57,7 +58,9 @@ def heaviest_chains(counts: DataFrame, groups: DataFrame, keys: list[str]) -> Da
     from it downwards gathers, itself included.
 
     counts(keys, hog_id, n). No recursion: with P(d) the sum of counts on the
-    path to d, cum(h) = max P(d) over counted d at or below h, less P(parent)."""
+    path to d, cum(h) = max P(d) over counted d at or below h, less P(parent).
+    The counts are written once, since four branches of the plan read them."""
+    counts = settle(counts, "counts")
     paths = groups.select("hog_id", "path")
     hit = counts.join(paths, "hog_id").select(*keys, F.col("hog_id").alias("leaf"), "n", "path")
     nodes = hit.select(*keys, F.explode("path").alias("hog_id")).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import statistics as st
 from ..functions.sequences import K, distinct_kmers, reported_length, with_x
 from .index import heaviest_chains
+from .shared import settle
 
 THRESHOLD = 0.1
 TOP_N = 1
@@ -85,6 +86,7 @@ def best_path(scored: DataFrame, groups: DataFrame) -> DataFrame:
     that alone has the highest score above zero among its siblings, as long as
     all groups over it have that too."""
     family = Window.partitionBy("ord", "parent")
+    scored = settle(scored, "scored")
     marked = scored.withColumn("top", F.max("score").over(family)).withColumn("is_top", (F.col("score") == F.col("top")).cast("int"))
     marked = marked.withColumn("n_top", F.sum("is_top").over(family))
     winner = (F.col("parent").isNotNull() & (F.col("score") > 0) & (F.col("is_top") == 1) & (F.col("n_top") == 1)).alias("winner")
@@ -124,9 +126,9 @@ def search(
     zero are null. With members(hog_id, ext_id) the genes of the chosen group
     are listed, with closest(hog_id, closest_taxon) its closest taxon."""
     asked = queries.filter(F.length("seq") >= k)
-    found = hits(asked, postings, k)
+    found = settle(hits(asked, postings, k), "hits")  # the index is probed once; what follows reads the hits
     lengths = asked.select("ord", F.length("seq").alias("len"))
-    chosen = top_families(significant(family_counts(found), query_sizes(asked, k), families, k, alpha, lengths), top_n)
+    chosen = settle(top_families(significant(family_counts(found), query_sizes(asked, k), families, k, alpha, lengths), top_n), "chosen")
     if family_only:
         roots = groups.filter("parent is null").select("fam_id", "hog_id")
         placed = chosen.select("ord", "fam_id").join(roots, "fam_id").select("ord", "fam_id", "hog_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("cum"))
