@@ -46,8 +46,9 @@ def own_counts(postings: DataFrame) -> DataFrame:
 
 def family_probability(postings: DataFrame) -> DataFrame:
     """fam_id, fam_prob: the postings of the family's k-mers over all postings."""
-    spread = postings.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
-    occurrences = postings.join(spread, "kmer").groupBy("fam_id").agg(F.sum("df").alias("occ"))
+    # A k-mer has one posting for each family at most, so no window is large.
+    counted = postings.select("fam_id", F.count(F.lit(1)).over(Window.partitionBy("kmer")).alias("df"))
+    occurrences = counted.groupBy("fam_id").agg(F.sum("df").alias("occ"))
     total = postings.agg(F.count(F.lit(1)).alias("total"))
     return occurrences.join(F.broadcast(total)).select("fam_id", (F.col("occ") / F.col("total")).alias("fam_prob"))
 

@@ -40,3 +40,11 @@ def number_rows(df: DataFrame, order: list, name: str, start: int = 0) -> DataFr
         shift = F.when(F.col("__part") == part, F.lit(offset - low)).otherwise(shift)
         offset += n
     return dealt.withColumn(name, F.col("__row") + shift).drop("__part", "__row")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all cores where it comes from fewer files than there are
+    cores: rows are about to be multiplied, and a file of one row group is one
+    task. A table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df

@@ -13,7 +13,7 @@ from ..functions import statistics as st
 from ..functions.sequences import K, check_k, sanitise
 from ..operators import build, hierarchy, index
 from ..operators import search as srch
-from ..operators.shared import settle
+from ..operators.shared import settle, spread
 from ..sources import fasta, newick, orthoxml, results
 from ..sources.files import checksums, read_small
 
@@ -98,7 +98,7 @@ def create(
 
     asked = hidden or []
     unseen = build.hidden_species(taxa, asked)
-    to_index = members.withColumn("seq", sanitise(F.col("seq"), reduced))
+    to_index = spread(members, "prot_id").withColumn("seq", sanitise(F.col("seq"), reduced))
     postings = settle(index.build(to_index, groups, k, unseen if asked else None), "postings")
     family = index.family_probability(postings)
     roots = groups.filter("parent is null").select("fam_id", F.col("hog_id").alias("root"))

@@ -20,7 +20,7 @@ from .functions import sequences as sq
 from .functions import statistics as st
 from .operators import build, hierarchy, index
 from .operators import search as srch
-from .operators.shared import settle, shared_dir
+from .operators.shared import settle, shared_dir, spread
 from .sources import fasta, results
 
 K = 6
@@ -58,7 +58,7 @@ def bound_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str, groups: DataFrame, raw: bool = False) -> DataFrame:
     """doc_id, species, ext_id, hog_id, seq of the documents."""
-    d = placed_documents(spark, sf_dir)
+    d = spread(placed_documents(spark, sf_dir), "doc_id")
     seq = sq.sanitise(F.coalesce("text", F.lit(""))) if raw else sq.strip_residues(F.coalesce("text", F.lit("")))
     g = groups.select("hog_id", F.col("ext_id").alias("h"))
     return d.select("doc_id", F.col("lang").alias("species"), "h", seq.alias("seq")).join(g, "h").withColumnRenamed("h", "ext_id")
