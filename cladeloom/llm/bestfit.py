@@ -34,7 +34,7 @@ from .tokens import default_path, encoder
 
 CAPACITY = 2048
 PART_ITEMS = 100_000
-ROUNDS = 4
+ROUNDS = 6
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
