@@ -15,8 +15,11 @@ def with_paths(nodes: DataFrame, node: str = "id", parent: str = "parent") -> Da
     parent, so the rounds grow with the logarithm of the depth. A parent that
     is not a node, or a cycle, is an error."""
     base = nodes.select(F.col(node).alias("__n"), F.col(parent).alias("__top"), F.array(node).alias("path"))
-    for _ in range(40):
+    total = nodes.count()
+    while True:
         now = settle(base, "paths")
+        if (now.agg(F.max(F.size("path"))).first()[0] or 0) > total:  # no path is longer than the table
+            raise ValueError("the parents form a cycle")
         if now.filter("__top is not null").isEmpty():
             return nodes.join(now.select("__n", "path"), nodes[node] == now["__n"]).drop("__n").withColumn("depth", F.size("path"))
         above = now.select(F.col("__n").alias("__a"), F.col("__top").alias("__next"), F.col("path").alias("__up"))
@@ -25,7 +28,6 @@ def with_paths(nodes: DataFrame, node: str = "id", parent: str = "parent") -> Da
         base = now.join(above, F.col("__top") == F.col("__a"), "left").select(
             "__n", F.col("__next").alias("__top"), F.when(F.col("__a").isNull(), F.col("path")).otherwise(F.concat("__up", "path")).alias("path")
         )
-    raise ValueError("the parents form a cycle")
 
 
 def closure(nodes: DataFrame, node: str = "id") -> DataFrame:
