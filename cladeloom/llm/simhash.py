@@ -36,6 +36,9 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 SPLIT = 512
+WORD_SEEDS = 6
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
 _PART = 1 << 15
 
 
@@ -55,17 +58,47 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tag: bool = False) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) for each row of docs, and
-    the text's tag if asked for."""
+def word_fingerprints(raw: bytes, seeds: int) -> list[int]:
+    """For each seed the signed SimHash of a text's distinct words. An edit
+    changes one word but as many shingles as those are long, so near copies
+    stay much closer than under shingles."""
+    import xxhash
+
+    w = set(raw.lower().split())
+    if not w:
+        return [0] * seeds
+    h, out = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)), []
+    for seed in range(seeds):
+        g = (h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        g = (g ^ (g >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        g ^= g >> np.uint64(32)
+        bits = sum(np.unpackbits(g[i : i + _PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(g), _PART))
+        out.append(int(np.packbits(bits * 2 > len(g), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def grams(raw: bytes, size: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's word shingles (fewer words: the whole)."""
+    import xxhash
+
+    w = raw.lower().split()
+    parts = map(b" ".join, zip(*(w[i:] for i in range(size)))) if len(w) >= size else [b" ".join(w)]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64)).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tag: bool = False, seeds: int = 0) -> DataFrame:
+    """id and fp (the fingerprint as a signed long) for each row of docs; if
+    asked for also the text's tag and its word fingerprints."""
     rows = docs.select(F.col(id_col), F.col(text_col), *([text_tag(F.col(text_col)).alias("tag")] if tag else []))
     carried = [id_col, *(["tag"] if tag else [])]
-    schema = rows.select(*carried, F.lit(0).cast("long").alias("fp")).schema
+    schema = rows.select(*carried, F.lit(0).cast("long").alias("fp"), *([F.array(F.lit(0).cast("long")).alias("wide")] if seeds else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 8 << 20):
-            fp = np.array([fingerprint(x, size) for x in as_bytes(batch.column(text_col)).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fp.view(np.int64))], names=[*carried, "fp"])
+            raw = as_bytes(batch.column(text_col)).to_pylist()
+            fp = np.array([fingerprint(x, size) for x in raw], np.uint64)
+            wide = [pa.array([word_fingerprints(x, seeds) for x in raw], pa.list_(pa.int64()))] if seeds else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fp.view(np.int64)), *wide], names=[*carried, "fp", *["wide"] * len(wide)])
 
     return rows.mapInArrow(run, schema)
 
@@ -154,9 +187,9 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return dealt.mapInArrow(_edges_of(radius), "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False, seeds: int = 0) -> DataFrame:
     """id, fp, root (one fingerprint that names the component) for each row."""
-    fps = materialise(fingerprints(docs, id_col, text_col, size, tag), "fingerprints")
+    fps = materialise(fingerprints(docs, id_col, text_col, size, tag, seeds), "fingerprints")
     distinct = materialise(fps.select("fp").distinct(), "distinct")
     roots = components(links(distinct, radius))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -170,10 +203,50 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return rows.join(least, "root").select(id_col, "fp", "component_id")
 
 
-def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (null ids
-    come last), and of rows that repeat it the first by text digest."""
-    rows = materialise(classes(docs, id_col, text_col, tag=True, **options), "classes")
+def similar(docs: DataFrame, rows: DataFrame, seeds: int, id_col: str, text_col: str, radius: int = RADIUS, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) between roots of rows(id, tag, wide, root) that have texts
+    of at least `least` Jaccard similarity of their shingle sets.
+
+    Candidates are what the covering tables link under any of the independent
+    word fingerprints; each is then compared exactly, so nothing below the
+    similarity is linked. A text's shingles are formed only if it is in a pair."""
+    texts = materialise(rows.groupBy("tag").agg(F.min(id_col).alias("id"), F.first("wide").alias("wide"), F.first("root").alias("root")), "texts")
+    pairs = None
+    for seed in range(seeds):
+        own = texts.select("tag", F.col("wide")[seed].alias("fp"))
+        reps = materialise(own.groupBy("fp").agg(F.min("tag").alias("rep")), "reps")
+        same = own.join(reps, "fp").filter("tag <> rep").select(F.col("tag").alias("x"), F.col("rep").alias("y"))
+        near = materialise(links(reps.select("fp"), radius), "near")
+        ends = near.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+        found = same.unionByName(ends)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    ordered = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    root = texts.select("tag", "root")
+    open_ = materialise(
+        ordered.join(root.select(F.col("tag").alias("x"), F.col("root").alias("a")), "x").join(root.select(F.col("tag").alias("y"), F.col("root").alias("b")), "y").filter("a <> b"), "pairs"
+    )
+    asked = open_.select(F.explode(F.array("x", "y")).alias("tag")).distinct().join(texts.select("tag", "id"), "tag").select(F.col("tag").alias("t"), F.col("id").alias("i"))
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_tag(F.col(text_col)).alias("tag")).join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("tag", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array([grams(x, shingle) for x in as_bytes(batch.column("text")).to_pylist()], pa.list_(pa.int64()))], names=["tag", "grams"])
+
+    sets = materialise(held.mapInArrow(run, "tag binary, grams array<long>").dropDuplicates(["tag"]), "grams")
+    both = open_.join(sets.select(F.col("tag").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("tag").alias("y"), F.col("grams").alias("gy")), "y")
+    shared = F.size(F.array_intersect("gx", "gy"))
+    return both.filter(shared >= least * (F.size("gx") + F.size("gy") - shared)).select("a", "b")
+
+
+def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = WORD_SEEDS, **options) -> DataFrame:
+    """docs with one row of each group: that of the smallest id (null ids come
+    last), and of rows that repeat it the first by text digest. A group is
+    connected by fingerprints within the radius, or (seeds > 0) by texts of
+    0.8 similarity of five-word shingles that the word fingerprints find."""
+    rows = materialise(classes(docs, id_col, text_col, tag=True, seeds=seeds, **options), "classes")
+    if seeds:
+        more = components(similar(docs, rows, seeds, id_col, text_col), "similar")
+        rows = rows.join(more.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").withColumn("root", F.coalesce("over", "root")).drop("over")
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "tag")
     best = rows.groupBy("root").agg(F.min(rank).alias("best"))
     verdict = rows.groupBy("root", F.col(id_col).alias("id"), "tag").agg(F.count(F.lit(1)).alias("rows")).join(best, "root").select(

@@ -26,7 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that SimHash links."""
+    """The document of smallest id of each group that SimHash links: three-word
+    fingerprints within two bits, or five-word shingles of 0.8 similarity."""
     return simhash.near_deduplicate(docs)
 
 

@@ -135,12 +135,34 @@ def test_simhash(docs, rows, empty):
             least[comp[f]].append(i)
     want = Counter((i, f, min(least[comp[f]], default=None)) for i, f in fp)
     assert Counter((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got) == want
-    stays = simhash.near_deduplicate(docs)
+    stays = simhash.near_deduplicate(docs, seeds=0)
     assert stays.columns == docs.columns
     assert Counter(comp[plain_fingerprint(r.text)] for r in stays.collect()) == Counter({c: 1 for c in set(comp.values())})
     assert simhash.assign(empty).count() == 0 and simhash.near_deduplicate(empty).count() == 0
 
 
+def test_similar_texts_are_linked(spark):
+    """Copies with a few edits go, texts below 0.8 stay, the smallest id stays."""
+    rng, rows = random.Random(12), []
+    gram = lambda t: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))}
+    for k in range(40):
+        w = text(rng, 200).split()
+        for c, edits in enumerate((0, 1, 2, 30)):
+            v = list(w)
+            for at in rng.sample(range(200), edits):
+                v[at] = f"new{rng.randrange(10**6)}"
+            rows.append((k * 10 + c, " ".join(v)))
+    docs = spark.createDataFrame([*rows, (None, rows[0][1] + " tail"), (None, None), (None, "")], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_deduplicate(docs).collect()}
+    told = dict(rows)
+    for i, t in rows:
+        near = [j for j in range(i // 10 * 10, i) if j in told and len(gram(told[j]) & gram(t)) >= 0.8 * len(gram(told[j]) | gram(t))]
+        if not near:
+            assert i in kept, i
+    gone = sum(i not in kept for i, _ in rows if i % 10 in (1, 2))
+    assert gone >= 76 and all(k * 10 in kept and k * 10 + 3 in kept for k in range(40))
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_masks_cover(radius):
     rng = random.Random(radius)
