@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
@@ -57,12 +58,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for k, v in engine.info(db):
             print(f"  {k:23s}:{v:>40}")
         return 0
+    began = time.time()
     found = engine.search_file(
         db, args.query, args.out, reference_taxon=args.reference_taxon, include_extant_genes=args.include_extant_genes, threshold=args.threshold,
         alpha=args.family_alpha, top_n=args.top_n_fams, family_only=args.family_only,
     )
     if args.out is None:
         sys.stdout.writelines(lines(found, header=False))
+    n = found.select("ord").distinct().count()
+    print(f"{n} queries, {n / max(time.time() - began, 1e-9):.1f} a second", file=sys.stderr)
     return 0
 
 

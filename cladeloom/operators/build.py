@@ -174,3 +174,19 @@ def resolve_references(genes: DataFrame, named: DataFrame, extra: DataFrame) ->
 def level_sizes(groups: DataFrame) -> DataFrame:
     """fam_id, depth, n: how many groups each family has at each depth."""
     return groups.groupBy("fam_id", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+def level_table(levels: DataFrame) -> DataFrame:
+    """(row, fam, id, level): the group levels in order, numbered from 0."""
+    return number_rows(levels.select("fam", "id", "level"), ["fam", "id", "level"], "row").select("row", "fam", "id", "level")
+
+
+def write_levels(levels: DataFrame, path: str) -> None:
+    """The level table on disk, sorted by family and identifier, so a family
+    or a group is found by the row groups' statistics."""
+    level_table(levels).repartitionByRange("fam", "id").sortWithinPartitions("fam", "id", "level").write.parquet(path)
+
+
+def level_map(table: DataFrame, fam: int) -> DataFrame:
+    """(id, level, row) of one family."""
+    return table.filter(F.col("fam") == fam).select("id", "level", "row")

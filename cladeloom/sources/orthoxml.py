@@ -78,6 +78,21 @@ def scores(el: ET.Element) -> dict[str, str]:
     return {c.get("id"): c.get("value") for c in el if local(c) == "score"}
 
 
+def levels_of(el: ET.Element) -> list[str]:
+    """The taxa that the group and the groups below it stand for."""
+    return [v for e in el.iter() if local(e) == "orthologGroup" and (v := properties(e).get("TaxRange")) is not None]
+
+
+def annotations(el: ET.Element, level: str | None = None) -> list[dict[str, str]]:
+    """Properties of the ortholog groups at or below (of one taxon)."""
+    found = [properties(e) for e in el.iter() if local(e) == "orthologGroup"]
+    return [p for p in found if level is None or p.get("TaxRange") == level]
+
+
+def gene_of(el: ET.Element, gene: int) -> ET.Element | None:
+    return next((e for e in el.iter() if local(e) == "geneRef" and e.get("id") == str(gene)), None)
+
+
 def group_rows(top: ET.Element, ord_: int) -> tuple[list[tuple], list[tuple]]:
     """Rows (fam, id, level, node, ord, gene) for each ortholog group and gene
     at or below it, and (fam, id, ord, gene) for each gene."""

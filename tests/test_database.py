@@ -86,9 +86,20 @@ def test_letters_and_nested_counters():
     _, _, label = orthoxml.labelled(top)
     got = {el.get("id"): v for el, v in label.items() if el.tag == "geneRef"}
     assert got == {"1": "1.1a.1a", "2": "1.1a.1b", "3": "1.1b", "4": "1.2a", "5": "1.2b.2a"}
+    assert orthoxml.gene_of(top, 5).get("id") == "5" and orthoxml.gene_of(top, 9) is None
+    assert orthoxml.annotations(top) == [{}] and orthoxml.levels_of(top) == []
     assert orthoxml.group_newick(top) == "(((1, 2), 3), (4, (5)));"
 
 
+def test_level_table(spark, tmp_path):
+    from cladeloom.operators import build
+
+    levels = spark.createDataFrame([(2, "b", "x"), (1, "a.1", "y"), (1, "a", "z"), (1, "a", "q")], "fam int, id string, level string")
+    build.write_levels(levels, str(tmp_path / "lv"))
+    got = build.level_map(spark.read.parquet(str(tmp_path / "lv")), 1)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "q", 0), ("a", "z", 1), ("a.1", "y", 2)]
+
+
 def test_groups(db):
     g = {r.source_id: r for r in db.groups.collect()}
     assert set(g) == {"HOG:0000005", "HOG:0000005.1a", "HOG:0000005.1b", "HOG:0000009"}
