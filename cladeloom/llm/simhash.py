@@ -40,6 +40,7 @@ WORD_SEEDS = 6
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 _PART = 1 << 15
+_SPACE = 10_000  # table numbers of one space
 
 
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
@@ -157,41 +158,43 @@ def _edges_of(radius: int):
 def _batch(rows: np.ndarray, cuts: np.ndarray, radius: int) -> pa.RecordBatch:
     starts = np.concatenate(([0], cuts))
     sizes = np.diff(np.concatenate((starts, [rows.shape[1]])))
-    fp = rows[2]
+    t, fp = rows[0], rows[2]
     two = starts[sizes == 2]
-    near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
-    a, b = fp[two][near], fp[two + 1][near]
-    more = [e for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()) for e in bucket_edges(fp[s : s + n], radius)]
-    if more:
-        x = np.array(more, np.int64)
-        a, b = np.concatenate((a, x[:, 0])), np.concatenate((b, x[:, 1]))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius]
+    more = [(int(t[s]), *e) for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()) for e in bucket_edges(fp[s : s + n], radius)]
+    x = np.concatenate((np.stack((t[two], fp[two], fp[two + 1])), np.array(more, np.int64).reshape(-1, 3).T), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x[0] // _SPACE), pa.array(x[1]), pa.array(x[2])], names=["space", "a", "b"])
 
 
 def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """Edges (a, b) that connect exactly what links within the radius connect.
-    fps: distinct fingerprints in column fp."""
+    """Edges (space, a, b) that connect exactly what links within the radius
+    connect. fps: distinct fingerprints (space, fp); those of different
+    spaces never meet."""
     masks = covering_masks(list(range(64)), radius)
-    table = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
+    table = fps.select("space", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("at", "key")).select(
+        (F.col("space") * _SPACE + F.col("at")).alias("t"), "key", "fp"
+    )
     sizes = table.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = table.join(sizes, ["t", "key"])
-    deep = None
-    for t, m in enumerate(masks):
-        for u, extra in enumerate(covering_masks(_free(m), radius)):
-            deeper = F.struct(F.lit(1000 + t * 100 + u).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m | extra))).alias("key"))
-            deep = [*(deep or []), (t, deeper)]
-    per_table = [F.when(F.col("t") == t, F.array(*[d for at, d in deep if at == t])) for t in range(len(masks))]
-    again = shared.filter(F.col("n") > split).select("fp", F.explode(F.coalesce(*per_table)).alias("d")).select("d.t", "d.key", "fp")
-    rows = shared.filter(F.col("n") <= split).select("t", "key", "fp").unionByName(again)
+    deeper = None  # the second covering, over the bits that the row's table masks out
+    for at, m in enumerate(masks):
+        again = [
+            F.struct((F.col("t") + 1000 + at * 100 + u).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m | extra))).alias("key"))
+            for u, extra in enumerate(covering_masks(_free(m), radius))
+        ]
+        here = F.col("t") % _SPACE == at
+        deeper = F.when(here, F.array(*again)) if deeper is None else deeper.when(here, F.array(*again))
+    crowded = shared.filter(F.col("n") > split).select("fp", F.explode(deeper).alias("d")).select("d.t", "d.key", "fp")
+    rows = shared.filter(F.col("n") <= split).select("t", "key", "fp").unionByName(crowded)
     dealt = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    return dealt.mapInArrow(_edges_of(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_edges_of(radius), "space long, a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False, seeds: int = 0) -> DataFrame:
     """id, fp, root (one fingerprint that names the component) for each row."""
     fps = materialise(fingerprints(docs, id_col, text_col, size, tag, seeds), "fingerprints")
     distinct = materialise(fps.select("fp").distinct(), "distinct")
-    roots = components(links(distinct, radius))
+    roots = components(links(distinct.select(F.lit(0).cast("long").alias("space"), "fp"), radius).select("a", "b"))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return fps.join(named, "fp")
 
@@ -210,30 +213,27 @@ def similar(docs: DataFrame, rows: DataFrame, seeds: int, id_col: str, text_col:
     Candidates are what the covering tables link under any of the independent
     word fingerprints; each is then compared exactly, so nothing below the
     similarity is linked. A text's shingles are formed only if it is in a pair."""
-    texts = materialise(rows.groupBy("tag").agg(F.min(id_col).alias("id"), F.first("wide").alias("wide"), F.first("root").alias("root")), "texts")
-    pairs = None
-    for seed in range(seeds):
-        own = texts.select("tag", F.col("wide")[seed].alias("fp"))
-        reps = materialise(own.groupBy("fp").agg(F.min("tag").alias("rep")), "reps")
-        same = own.join(reps, "fp").filter("tag <> rep").select(F.col("tag").alias("x"), F.col("rep").alias("y"))
-        near = materialise(links(reps.select("fp"), radius), "near")
-        ends = near.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-        found = same.unionByName(ends)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    ordered = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    root = texts.select("tag", "root")
+    texts = rows.groupBy("tag").agg(F.min(id_col).alias("id"), F.first("wide").alias("wide"), F.first("root").alias("root"))
+    texts = materialise(texts.withColumn("no", F.monotonically_increasing_id()), "texts")
+    own = texts.select("no", F.posexplode("wide").alias("space", "fp")).withColumn("space", F.col("space").cast("long"))
+    reps = materialise(own.groupBy("space", "fp").agg(F.min("no").alias("rep")), "reps")
+    same = own.join(reps, ["space", "fp"]).filter("no <> rep").select(F.col("no").alias("x"), F.col("rep").alias("y"))
+    near = materialise(links(reps.select("space", "fp"), radius), "near")
+    ends = near.join(reps.select("space", F.col("fp").alias("a"), F.col("rep").alias("x")), ["space", "a"]).join(reps.select("space", F.col("fp").alias("b"), F.col("rep").alias("y")), ["space", "b"])
+    pairs = same.unionByName(ends.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    root = texts.select("no", "root")
     open_ = materialise(
-        ordered.join(root.select(F.col("tag").alias("x"), F.col("root").alias("a")), "x").join(root.select(F.col("tag").alias("y"), F.col("root").alias("b")), "y").filter("a <> b"), "pairs"
+        pairs.join(root.select(F.col("no").alias("x"), F.col("root").alias("a")), "x").join(root.select(F.col("no").alias("y"), F.col("root").alias("b")), "y").filter("a <> b"), "pairs"
     )
-    asked = open_.select(F.explode(F.array("x", "y")).alias("tag")).distinct().join(texts.select("tag", "id"), "tag").select(F.col("tag").alias("t"), F.col("id").alias("i"))
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_tag(F.col(text_col)).alias("tag")).join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("tag", "text")
+    asked = open_.select(F.explode(F.array("x", "y")).alias("no")).distinct().join(texts.select("no", "tag", "id"), "no").select("no", F.col("tag").alias("t"), F.col("id").alias("i"))
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_tag(F.col(text_col)).alias("tag")).join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("no", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array([grams(x, shingle) for x in as_bytes(batch.column("text")).to_pylist()], pa.list_(pa.int64()))], names=["tag", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("no"), pa.array([grams(x, shingle) for x in as_bytes(batch.column("text")).to_pylist()], pa.list_(pa.int64()))], names=["no", "grams"])
 
-    sets = materialise(held.mapInArrow(run, "tag binary, grams array<long>").dropDuplicates(["tag"]), "grams")
-    both = open_.join(sets.select(F.col("tag").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("tag").alias("y"), F.col("grams").alias("gy")), "y")
+    sets = materialise(held.mapInArrow(run, "no long, grams array<long>").dropDuplicates(["no"]), "grams")
+    both = open_.join(sets.select(F.col("no").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("no").alias("y"), F.col("grams").alias("gy")), "y")
     shared = F.size(F.array_intersect("gx", "gy"))
     return both.filter(shared >= least * (F.size("gx") + F.size("gy") - shared)).select("a", "b")
 

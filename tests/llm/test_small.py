@@ -177,8 +177,10 @@ def test_crowded_buckets(spark):
     """Fingerprints that differ in few places overfill the first tables."""
     rng = random.Random(9)
     fps = {rng.getrandbits(12) << 5 for _ in range(700)} | {rng.getrandbits(63) for _ in range(50)}
-    table = spark.createDataFrame([(f,) for f in fps], "fp long")
-    roots = {r.node: r.root for r in components.components(simhash.links(table, 2, split=16)).collect()}
+    table = spark.createDataFrame([(3, f) for f in fps], "space long, fp long")
+    edges = simhash.links(table, 2, split=16)
+    assert {r.space for r in edges.select("space").distinct().collect()} == {3}
+    roots = {r.node: r.root for r in components.components(edges.select("a", "b")).collect()}
     assert {f: roots.get(f, f) for f in fps} == plain_components(fps, 2)
 
 
