@@ -36,7 +36,7 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 SPLIT = 512
-WORD_SEEDS = 6
+WORD_SEEDS = 10
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 _PART = 1 << 15
