@@ -29,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keep_rows, materialise, slices, text_tag
+from .common import as_bytes, discard, keep_rows, materialise, slices, text_tag
 from .components import components
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
 SPLIT = 512
-WORD_SEEDS = 10
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
+CELLS = 20  # bits of the cells that shingles are counted in
 _PART = 1 << 15
+_EMIT = 1 << 18
+_CHUNK = 1 << 14
 _SPACE = 10_000  # table numbers of one space
 
 
@@ -59,25 +61,6 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def word_fingerprints(raw: bytes, seeds: int) -> list[int]:
-    """For each seed the signed SimHash of a text's distinct words. An edit
-    changes one word but as many shingles as those are long, so near copies
-    stay much closer than under shingles."""
-    import xxhash
-
-    w = set(raw.lower().split())
-    if not w:
-        return [0] * seeds
-    h, out = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)), []
-    for seed in range(seeds):
-        g = (h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        g = (g ^ (g >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        g ^= g >> np.uint64(32)
-        bits = sum(np.unpackbits(g[i : i + _PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(g), _PART))
-        out.append(int(np.packbits(bits * 2 > len(g), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def grams(raw: bytes, size: int = SIMILAR_SHINGLE) -> np.ndarray:
     """Distinct hashes of a text's word shingles (fewer words: the whole)."""
     import xxhash
@@ -87,19 +70,18 @@ def grams(raw: bytes, size: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64)).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tag: bool = False, seeds: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tag: bool = False) -> DataFrame:
     """id and fp (the fingerprint as a signed long) for each row of docs; if
-    asked for also the text's tag and its word fingerprints."""
+    asked for also the text's tag."""
     rows = docs.select(F.col(id_col), F.col(text_col), *([text_tag(F.col(text_col)).alias("tag")] if tag else []))
     carried = [id_col, *(["tag"] if tag else [])]
-    schema = rows.select(*carried, F.lit(0).cast("long").alias("fp"), *([F.array(F.lit(0).cast("long")).alias("wide")] if seeds else [])).schema
+    schema = rows.select(*carried, F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 8 << 20):
             raw = as_bytes(batch.column(text_col)).to_pylist()
             fp = np.array([fingerprint(x, size) for x in raw], np.uint64)
-            wide = [pa.array([word_fingerprints(x, seeds) for x in raw], pa.list_(pa.int64()))] if seeds else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fp.view(np.int64)), *wide], names=[*carried, "fp", *["wide"] * len(wide)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fp.view(np.int64))], names=[*carried, "fp"])
 
     return rows.mapInArrow(run, schema)
 
@@ -137,20 +119,27 @@ def bucket_edges(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted rows as one array (a line for each name) that ends with a whole
+    run of equal first `keys` names, and the places where new runs start."""
+    rest = None
+    for batch in batches:
+        part = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+        rest = part if rest is None else np.concatenate((rest, part), axis=1)
+        if not rest.shape[1]:
+            continue
+        cut = np.flatnonzero((np.diff(rest[:keys], axis=1) != 0).any(axis=0)) + 1
+        if len(cut):
+            yield rest[:, : cut[-1]], cut[:-1]
+            rest = rest[:, cut[-1] :]
+    if rest is not None and rest.shape[1]:
+        yield rest, np.array([], np.int64)
+
+
 def _edges_of(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            part = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "key", "fp")])
-            rest = part if rest is None else np.concatenate((rest, part), axis=1)
-            if not rest.shape[1]:
-                continue
-            cut = np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0)) + 1
-            if len(cut):
-                yield _batch(rest[:, : cut[-1]], cut[:-1], radius)
-                rest = rest[:, cut[-1] :]
-        if rest is not None and rest.shape[1]:
-            yield _batch(rest, np.array([], np.int64), radius)
+        for rows, cuts in _runs(batches, ("t", "key", "fp"), 2):
+            yield _batch(rows, cuts, radius)
 
     return run
 
@@ -190,9 +179,9 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return dealt.mapInArrow(_edges_of(radius), "space long, a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False, seeds: int = 0) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False) -> DataFrame:
     """id, fp, root (one fingerprint that names the component) for each row."""
-    fps = materialise(fingerprints(docs, id_col, text_col, size, tag, seeds), "fingerprints")
+    fps = materialise(fingerprints(docs, id_col, text_col, size, tag), "fingerprints")
     distinct = materialise(fps.select("fp").distinct(), "distinct")
     roots = components(links(distinct.select(F.lit(0).cast("long").alias("space"), "fp"), radius).select("a", "b"))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -206,46 +195,198 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return rows.join(least, "root").select(id_col, "fp", "component_id")
 
 
-def similar(docs: DataFrame, rows: DataFrame, seeds: int, id_col: str, text_col: str, radius: int = RADIUS, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between roots of rows(id, tag, wide, root) that have texts
-    of at least `least` Jaccard similarity of their shingle sets.
-
-    Candidates are what the covering tables link under any of the independent
-    word fingerprints; each is then compared exactly, so nothing below the
-    similarity is linked. A text's shingles are formed only if it is in a pair."""
-    texts = rows.groupBy("tag").agg(F.min(id_col).alias("id"), F.first("wide").alias("wide"), F.first("root").alias("root"))
-    texts = materialise(texts.withColumn("no", F.monotonically_increasing_id()), "texts")
-    own = texts.select("no", F.posexplode("wide").alias("space", "fp")).withColumn("space", F.col("space").cast("long"))
-    reps = materialise(own.groupBy("space", "fp").agg(F.min("no").alias("rep")), "reps")
-    same = own.join(reps, ["space", "fp"]).filter("no <> rep").select(F.col("no").alias("x"), F.col("rep").alias("y"))
-    near = materialise(links(reps.select("space", "fp"), radius), "near")
-    ends = near.join(reps.select("space", F.col("fp").alias("a"), F.col("rep").alias("x")), ["space", "a"]).join(reps.select("space", F.col("fp").alias("b"), F.col("rep").alias("y")), ["space", "b"])
-    pairs = same.unionByName(ends.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    root = texts.select("no", "root")
-    open_ = materialise(
-        pairs.join(root.select(F.col("no").alias("x"), F.col("root").alias("a")), "x").join(root.select(F.col("no").alias("y"), F.col("root").alias("b")), "y").filter("a <> b"), "pairs"
-    )
-    asked = open_.select(F.explode(F.array("x", "y")).alias("no")).distinct().join(texts.select("no", "tag", "id"), "no").select("no", F.col("tag").alias("t"), F.col("id").alias("i"))
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_tag(F.col(text_col)).alias("tag")).join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("no", "text")
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the task's texts fall into each cell, in chunks of packed counts."""
+    total = np.zeros(1 << CELLS, np.int64)
+    for batch in batches:
+        total += np.bincount(_cell(batch.column("grams").flatten().to_numpy()), minlength=len(total))
+    parts = [(i, x) for i, x in enumerate(total.reshape(-1, _CHUNK)) if x.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in parts], pa.binary())], names=["chunk", "counts"])
+
+
+def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, x in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+            total[i] = total.get(i, 0) + np.frombuffer(x, "<u4").astype(np.int64)
+    for i, x in total.items():
+        at = np.flatnonzero(x)
+        yield pa.RecordBatch.from_arrays([pa.array(at + i * _CHUNK), pa.array(x[at])], names=["cell", "n"])
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
+def crowded_cells(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (ascending) that hold clearly more shingles than chance puts there, and how many."""
+    parts = sets.select("grams").mapInArrow(_count_cells, "chunk long, counts binary").repartition("chunk")
+    cells = materialise(parts.mapInArrow(_sum_cells, "cell long, n long"), "cells")
+    mean = (cells.agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
+    got = cells.filter(F.col("n") > mean + 4 * mean**0.5 + 4).orderBy("cell").toArrow()
+    return got.column("cell").to_numpy(), got.column("n").to_numpy()
+
+
+def _prefixes(cells: np.ndarray, counts: np.ndarray, least: float):
+    """The rows (t, no, n, room) of each text's first shingles in the order of
+    (crowdedness of the cell, hash): n is the size of its set, room the number
+    of shingles from this one on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("no"), pa.array([grams(x, shingle) for x in as_bytes(batch.column("text")).to_pylist()], pa.list_(pa.int64()))], names=["no", "grams"])
+        weight = np.zeros(1 << CELLS, np.int64)
+        weight[cells] = counts
+        for batch in batches:
+            out = []
+            for no, held in zip(batch.column("no").to_pylist(), batch.column("grams")):
+                g = held.values.to_numpy()
+                first = g[np.lexsort((g, weight[_cell(g)]))[: int((1 - least) * len(g) + 1e-6) + 1]]
+                out.append(np.stack((first, np.full(len(first), no), np.full(len(first), len(g)), len(g) - np.arange(len(first)))))
+            if out:
+                x = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2].astype(np.int32)), pa.array(x[3].astype(np.int32))], names=["t", "no", "n", "room"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the shingles that at least two texts have among their first,
+    each text once, with the least text of the shingle and its n and room."""
+    for rows, _ in _runs(batches, ("t", "no", "n", "room"), 1):
+        rows = rows[:, np.concatenate(([True], (np.diff(rows[:2], axis=1) != 0).any(axis=0)))]
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(rows[0]) != 0)))
+        sizes = np.diff(np.concatenate((starts, [rows.shape[1]])))
+        x = np.concatenate((rows, np.repeat(rows[1:, starts], sizes, axis=1)))[:, np.repeat(sizes > 1, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["t", "no", "n", "room", "rep", "rep_n", "rep_room"])
 
-    sets = materialise(held.mapInArrow(run, "no long, grams array<long>").dropDuplicates(["no"]), "grams")
-    both = open_.join(sets.select(F.col("no").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("no").alias("y"), F.col("grams").alias("gy")), "y")
-    shared = F.size(F.array_intersect("gx", "gy"))
-    return both.filter(shared >= least * (F.size("gx") + F.size("gy") - shared)).select("a", "b")
 
+def _enough(room, other_room, n, other_n, least: float):
+    """Whether texts that share this shingle and none before it can reach `least`."""
+    return (room >= least / (1 + least) * (n + other_n) - 1e-6) & (other_room >= least / (1 + least) * (n + other_n) - 1e-6)
 
-def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = WORD_SEEDS, **options) -> DataFrame:
+
+def _pairs(least: float):
+    """All pairs of texts of different roots that may meet in their first common shingle here."""
+
+    def once(x: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(x, axis=1)
+        both = both[:, np.lexsort(both)]
+        return both[:, np.concatenate((np.ones(min(1, both.shape[1]), bool), (np.diff(both, axis=1) != 0).any(axis=0)))]
+
+    def pack(both: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in _runs(batches, ("t", "no", "n", "room", "root"), 1):
+            t, no, n, room, root = rows
+            left, d, out, held = np.arange(len(t)), 0, [], 0
+            while len(left):
+                d += 1
+                left = left[left + d < len(t)]
+                left = left[t[left] == t[left + d]]
+                far = left + d
+                ok = (root[left] != root[far]) & _enough(room[left], room[far], n[left], n[far], least)
+                out.append(np.stack((no[left[ok]], no[far[ok]])))
+                held += out[-1].shape[1]
+                if held > _EMIT:
+                    yield pack(once(out))
+                    out, held = [], 0
+            if held:
+                yield pack(once(out))
+
+    return run
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of about three cells a shingle whether an odd number fell into
+    it. Sketches of two sets differ in no more bits than the sets in shingles."""
+    size = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+    odd = np.bincount(hashes & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _close(least: float):
+    """Only pairs whose sketches do not rule the similarity out."""
+
+    def differ(x: bytes, y: bytes) -> int:
+        u, v = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+        return int(np.bitwise_count(np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0) ^ u).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([differ(x, y) for x, y in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist())], np.int64)
+            total = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
+            ok = pa.array(bits <= (1 - least) / (1 + least) * total + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in "xyab"], names=list("xyab"))
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of the roots of those pairs (x, y) that reach `least`."""
+    known = sets.select("no", "n", "sketch").dropDuplicates(["no"]).join(roots, "no")
+    ends = pairs.join(known.toDF("x", "nx", "sx", "a"), "x").join(known.toDF("y", "ny", "sy", "b"), "y").filter("a <> b")
+    open_ = materialise(ends.mapInArrow(_close(least), "x long, y long, a long, b long"), "pairs")
+    asked = open_.select(F.explode(F.array("x", "y")).alias("no")).distinct()
+    held = sets.select("no", "grams").join(asked, "no", "left_semi").dropDuplicates(["no"])
+    both = open_.join(held.toDF("x", "gx"), "x").join(held.toDF("y", "gy"), "y")
+    shared = F.size(F.array_intersect("gx", "gy"))
+    return materialise(both.filter(shared >= least * (F.size("gx") + F.size("gy") - shared)).select("a", "b").distinct(), "edges")
+
+
+def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) between roots of rows(id, tag, root) that connect exactly
+    what is connected by pairs of texts of at least `least` Jaccard similarity
+    of their shingle sets (and by equal roots).
+
+    Prefix filter: in any one order of all shingles, two such texts share one
+    of the first (1 - least) n + 1 of each, and from their first common one on
+    both have room for the common shingles that the similarity needs. Shingles
+    in crowded cells come last, so that common passages make few pairs. First
+    each text is compared with the least text of each of its shingles, which
+    links large groups without all their pairs; then every pair that still has
+    different roots is compared, so no failed comparison stands for another."""
+    texts = materialise(rows.groupBy("tag").agg(F.min(id_col).alias("id"), F.first("root").alias("root")), "texts")
+    salt, n_texts = 0, texts.count()
+    while texts.select(F.xxhash64("tag", F.lit(salt))).distinct().count() < n_texts:
+        salt += 1  # two texts of one number: number them anew
+    number = F.xxhash64("tag", F.lit(salt)).alias("no")
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_tag(F.col(text_col)).alias("tag"))
+    if rows.count() > n_texts:  # a repeated text is read once for each repetition of its least id
+        held = held.join(texts.select(F.col("tag").alias("t"), F.col("id").alias("i")), F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            found = [grams(x, shingle) for x in as_bytes(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("no"), pa.array(map(len, found), pa.int64()), pa.array([sketch(x) for x in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["no", "n", "sketch", "grams"]
+            )
+
+    sets = materialise(held.select(number, "text").mapInArrow(run, "no long, n long, sketch binary, grams array<long>"), "grams")
+    prefixes = sets.select("no", "grams").mapInArrow(_prefixes(*crowded_cells(sets), least), "t long, no long, n int, room int")
+    met = materialise(
+        prefixes.repartition("t").sortWithinPartitions("t", "no").mapInArrow(_shared, "t long, no long, n long, room long, rep long, rep_n long, rep_room long"), "shared"
+    )
+    stars = met.filter("no <> rep").filter(_enough(F.col("room"), F.col("rep_room"), F.col("n"), F.col("rep_n"), least))
+    roots = texts.select(number, "root")
+    near = _verified(stars.select(F.col("rep").alias("x"), F.col("no").alias("y")).distinct(), sets, roots, least)
+    over = components(near, "stars").select(F.col("node").alias("root"), F.col("root").alias("over"))
+    now = materialise(roots.join(over, "root", "left").select("no", F.coalesce("over", "root").alias("root")), "roots")
+    dealt = met.select("t", "no", "n", "room").join(now, "no").repartition("t").sortWithinPartitions("t", "no")
+    rest = dealt.mapInArrow(_pairs(least), "x long, y long").distinct()
+    edges = near.unionByName(_verified(rest, sets, now, least))
+    for table in (sets, met, texts, now):
+        discard(table)
+    return edges
+
+
+def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1, **options) -> DataFrame:
     """docs with one row of each group: that of the smallest id (null ids come
     last), and of rows that repeat it the first by text digest. A group is
-    connected by fingerprints within the radius, or (seeds > 0) by texts of
-    0.8 similarity of five-word shingles that the word fingerprints find."""
-    rows = materialise(classes(docs, id_col, text_col, tag=True, seeds=seeds, **options), "classes")
+    connected by fingerprints within the radius, or (unless seeds = 0) by texts
+    of 0.8 similarity of five-word shingles."""
+    rows = materialise(classes(docs, id_col, text_col, tag=True, **options), "classes")
     if seeds:
-        more = components(similar(docs, rows, seeds, id_col, text_col), "similar")
+        more = components(similar(docs, rows, id_col, text_col), "similar")
         rows = rows.join(more.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").withColumn("root", F.coalesce("over", "root")).drop("over")
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "tag")
     best = rows.groupBy("root").agg(F.min(rank).alias("best"))

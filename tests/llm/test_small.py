@@ -163,6 +163,24 @@ def test_similar_texts_are_linked(spark):
     assert gone >= 76 and all(k * 10 in kept and k * 10 + 3 in kept for k in range(40))
 
 
+def five(t):
+    w = t.split()
+    return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+
+
+def test_failed_representative_stands_for_nobody(spark):
+    """R holds the words of X and Y in another order: R-X and R-Y fail, X-Y is linked."""
+    rng, told = random.Random(31), []
+    for k in range(12):
+        w = [f"w{k}x{i}" for i in range(200)]
+        r, y = rng.sample(w, 200), w[:50] + [w[51], w[50]] + w[52:]
+        told += [" ".join(v) for v in (r, w, y)]
+        r, x, y = map(five, told[-3:])
+        assert not r & x and not r & y and len(x & y) >= 0.8 * len(x | y)
+    kept = {d.doc_id for d in simhash.near_deduplicate(spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")).collect()}
+    assert kept == {i for i in range(36) if i % 3 < 2}
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_masks_cover(radius):
     rng = random.Random(radius)
