@@ -181,6 +181,30 @@ def test_failed_representative_stands_for_nobody(spark):
     assert kept == {i for i in range(36) if i % 3 < 2}
 
 
+def test_every_similar_pair_is_found(spark):
+    """Added, removed and moved passages, short texts and a common passage:
+    what stays is what an all-pairs search leaves."""
+    rng, told = random.Random(32), []
+    common = text(rng, 60)
+    for k in range(30):
+        w = text(rng, rng.choice([3, 5, 8, 20, 200, 400])).split()
+        new = text(rng, rng.randrange(1, max(2, len(w) // 4))).split()
+        at = rng.randrange(len(w) + 1)
+        told += [" ".join(v) for v in (w, w[:at] + new + w[at:], new + w, w + new, w[: -max(1, len(w) // 10)], w[len(w) // 5 :], [*w[:-1], "last"], [common, *w[:12]])]
+    sets, root = [five(t) for t in told], list(range(len(told)))
+    for y in range(len(told)):
+        for x in range(y):
+            if root[x] != root[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    for r in simhash.assign(docs).collect():  # the two-bit rule links as well
+        low, high = sorted((root[r.doc_id], root[r.component_id]))
+        root = [low if v == high else v for v in root]
+    assert len(set(root)) < 200
+    assert {d.doc_id for d in simhash.near_deduplicate(docs.repartition(3)).collect()} == set(root)
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_masks_cover(radius):
     rng = random.Random(radius)
