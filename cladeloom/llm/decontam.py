@@ -76,8 +76,9 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan_text(raw: bytes, machine, known: list[tuple[int, int]] = (), items: set[str] = frozenset()):
-    """Words, merged word spans with their bytes in the original, items."""
+def scan_text(raw: bytes, machine, known: list[tuple[int, int]] = (), items: set[str] = frozenset(), span_words: int = 1):
+    """Words, merged word spans (of hits of at least span_words words) with
+    their bytes in the original, items of all hits."""
     w = words(raw)
     spans, hit = list(known), set(items)
     if machine is not None and w:
@@ -87,7 +88,8 @@ def scan_text(raw: bytes, machine, known: list[tuple[int, int]] = (), items: set
             blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
             ends = np.searchsorted(blanks, [e for e, _ in found])
             for end, (_, (n, names)) in zip(ends.tolist(), found):
-                spans.append((end - n, end - 1))
+                if n >= span_words:
+                    spans.append((end - n, end - 1))
                 hit.update(names)
     spans = _merge(spans)
     if not spans:
@@ -98,14 +100,14 @@ def scan_text(raw: bytes, machine, known: list[tuple[int, int]] = (), items: set
     return len(w), [{"first": a, "last": b, "start": int(starts[a]), "end": int(ends[b])} for a, b in spans], hit
 
 
-def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str], added: tuple[str, str, str]):
+def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str], added: tuple[str, str, str], span_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(table)
         for batch in slices(batches, text, 8 << 20):
             n_words, spans, items = [], [], []
             old = zip(batch.column(added[1]).to_pylist(), batch.column(added[2]).to_pylist())
             for raw, (s, i) in zip(as_bytes(batch.column(text)).to_pylist(), old):
-                n, s, i = scan_text(raw, machine, [(x["first"], x["last"]) for x in s], set(i))
+                n, s, i = scan_text(raw, machine, [(x["first"], x["last"]) for x in s], set(i), span_words)
                 n_words.append(n)
                 spans.append(s)
                 items.append(sorted(i))
@@ -119,10 +121,11 @@ def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str]
 
 def scan(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, str, str] = ("n_words", "spans", "items"),
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, str, str] = ("n_words", "spans", "items"), span_words: int = 1,
 ) -> DataFrame:
     """docs with three `added` columns: number of words, hit runs (first and
-    last word, start and end byte in the original), sorted item ids."""
+    last word, start and end byte in the original) of hits of at least
+    span_words words, sorted ids of all items hit."""
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -132,17 +135,19 @@ def scan(
     for b in range(blocks):  # each block's rows are bounded by block_bytes on average
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         table = windows([(r.i, r.t) for r in part.toLocalIterator()], window)
-        out = out.mapInArrow(_pass(text_col, table, columns, added), schema)
+        out = out.mapInArrow(_pass(text_col, table, columns, added, span_words), schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = MIN_ITEMS, min_run: int = WINDOW, **options) -> DataFrame:
     """The rows of docs without a leak. A leak is a hit run of `min_run` words
     - a whole window of one item - or hits of `min_items` different items; a
-    single item too short for a window is no leak by itself."""
+    single item too short for a window is no leak by itself, however often it
+    stands in a row."""
     added = tuple(fresh(docs.columns, "n_words", "spans", "items"))
     leak = (F.size(added[2]) >= min_items) | F.exists(added[1], lambda s: s["last"] - s["first"] + 1 >= min_run)
-    return scan(docs, benchmark, text_col, added=added, **options).filter(~leak).select(*docs.columns)
+    whole = min(min_run, options.get("window", WINDOW))
+    return scan(docs, benchmark, text_col, added=added, span_words=whole, **options).filter(~leak).select(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

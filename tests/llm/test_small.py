@@ -236,6 +236,15 @@ def test_components_of_chains(spark):
 # ------------------------------------------------------------ decontamination
 
 
+def test_repeated_short_item_is_no_leak(spark):
+    """A short item that stands often in a row makes no run of a whole window."""
+    bench = spark.createDataFrame([(1, "tiny little benchmark item"), (2, "alpha"), (3, "one two three four five six seven eight")], "item_id long, text string")
+    told = [(1, "so tiny little benchmark item tiny little benchmark item so"), (2, "alpha " * 9), (3, "x one two three four five six seven eight y"), (4, "alpha tiny little benchmark item")]
+    docs = spark.createDataFrame(told, "doc_id long, text string")
+    for block in (decontam.BLOCK_BYTES, 10):
+        assert {r.doc_id for r in decontam.decontaminate(docs, bench, block_bytes=block).collect()} == {1, 2}
+
+
 def plain_leaks(t, items):
     pat = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x or "")
