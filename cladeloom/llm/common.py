@@ -10,20 +10,23 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``
     of the session, else the context's checkpoint folder. Only where neither
-    is set (single-machine tests) a temporary folder becomes both."""
+    is set and all tasks run in this process (tests) a temporary folder
+    becomes both; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="cladeloom-")
     spark.sparkContext.setCheckpointDir(base)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -105,9 +108,10 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], number: str, rows: int, parts: int = 1000) -> DataFrame:
-    """left joined to right (one row for each key, `number` = how many rows of
-    left have it) where a key may hold a large share of left's `rows`.
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], number: str, rows: int, parts: int = 1000, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) to right (one row for each key, `number` =
+    how many rows of left have it) where a key may hold a large share of
+    left's `rows`. Null keys find nothing.
 
     Keys of more than rows / parts rows are hot; there are fewer than `parts`
     of them, so they can always be broadcast, and their rows stay where they
@@ -116,7 +120,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], number: str, rows
     hot = right.filter(F.col(number) > rows / parts)
     (mark,) = fresh(left.columns + right.columns, "__hot")
     marked = left.join(F.broadcast(hot.withColumn(mark, F.lit(True))), on, "left")
-    cold = marked.filter(F.col(mark).isNull()).select(*left.columns).join(right.filter(F.col(number) <= rows / parts), on)
+    cold = marked.filter(F.col(mark).isNull()).select(*left.columns).join(right.filter(F.col(number) <= rows / parts), on, how)
     names = [*left.columns, *(c for c in right.columns if c not in on)]
     return marked.filter(F.col(mark)).select(*names).unionByName(cold.select(*names))
 
@@ -128,19 +132,23 @@ def text_tag(text: Column) -> Column:
 
 def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that verdict (id, tag, stay, rows; one row for each id
-    and text_tag) lets stay.
+    and text_tag, stay 0 or 1) lets stay.
 
     Rows are found by id and tag together, so a hot text is spread by its ids
-    and a repeated id by its texts. Of rows that repeat both, `stay` remain,
-    the first in the order of all their columns. Null ids match each other.
+    and a repeated id by its texts; rows that repeat both are found by a
+    broadcast where they are many. Of them one stays, the least in the order
+    of all columns. Null ids match each other.
     """
-    k, t, stay, own, nth = fresh(docs.columns, "__k", "__t", "__stay", "__tag", "__nth")
-    v = verdict.filter("stay < rows").select(F.col("id").alias(k), F.col("tag").alias(t), F.col("stay").alias(stay))
-    tagged = docs.withColumn(own, text_tag(F.col(text_col)))
-    joined = tagged.join(v, F.col(id_col).eqNullSafe(F.col(k)) & (F.col(own) == F.col(t)), "left")
+    n, k, t, stay, rows, row = fresh(docs.columns, "__n", "__k", "__t", "__stay", "__rows", "__row")
+    def named(c: Column) -> list[Column]:
+        return [c.isNull().alias(n), F.coalesce(c.cast("string"), F.lit("")).alias(k)]
+
+    v = verdict.filter("stay < rows").select(*named(F.col("id")), F.col("tag").alias(t), F.col("stay").alias(stay), F.col("rows").alias(rows))
+    most = verdict.agg(F.sum("rows")).first()[0] or 0
+    tagged = docs.select("*", *named(F.col(id_col)), text_tag(F.col(text_col)).alias(t))
+    joined = join_hot(tagged, v, [n, k, t], rows, most, how="left")
+    free = joined.filter(F.col(stay).isNull()).select(*docs.columns)
     if v.filter(F.col(stay) > 0).isEmpty():
-        return joined.filter(F.col(stay).isNull()).select(*docs.columns)
-    some = joined.filter(F.col(stay) > 0)
-    order = Window.partitionBy(k, t).orderBy(*[F.col(c) for c in docs.columns])
-    some = some.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= F.col(stay))
-    return joined.filter(F.col(stay).isNull()).select(*docs.columns).unionByName(some.select(*docs.columns))
+        return free
+    some = joined.filter(F.col(stay) > 0).groupBy(n, k, t).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return free.unionByName(some.select(f"{row}.*"))

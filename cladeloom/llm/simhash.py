@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, keep_rows, materialise, slices, text_tag
+from .common import as_bytes, discard, join_hot, keep_rows, materialise, slices, text_tag
 from .components import components
 
 SHINGLE = 3
@@ -38,6 +38,7 @@ SEED = 42
 SPLIT = 512
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
+TURNS = (range(1), range(1, 25))  # orders in which texts stand for their shingles, by round
 CELLS = 20  # bits of the cells that shingles are counted in
 _PART = 1 << 15
 _EMIT = 1 << 18
@@ -179,20 +180,22 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return dealt.mapInArrow(_edges_of(radius), "space long, a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False) -> DataFrame:
-    """id, fp, root (one fingerprint that names the component) for each row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """id and fp for each row; fp, n (rows), least (id) and root (one
+    fingerprint that names the component) for each fingerprint; number of rows."""
     fps = materialise(fingerprints(docs, id_col, text_col, size, tag), "fingerprints")
-    distinct = materialise(fps.select("fp").distinct(), "distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("least")), "distinct")
     roots = components(links(distinct.select(F.lit(0).cast("long").alias("space"), "fp"), radius).select("a", "b"))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return fps.join(named, "fp")
+    named = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "named")
+    return fps, named, named.agg(F.sum("n")).first()[0] or 0
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """id, fp and component_id (the least id) for each row of docs."""
-    rows = materialise(classes(docs, id_col, text_col, size, radius), "classes")
-    least = rows.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return rows.join(least, "root").select(id_col, "fp", "component_id")
+    fps, named, rows = classes(docs, id_col, text_col, size, radius)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    known = join_hot(named.select("fp", "n", "root"), least, ["root"], "m", named.count()).select("fp", "n", "component_id")
+    return join_hot(fps, known, ["fp"], "n", rows).select(id_col, "fp", "component_id")
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +253,30 @@ def _prefixes(cells: np.ndarray, counts: np.ndarray, least: float):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the shingles that at least two texts have among their first,
-    each text once, with the least text of the shingle and its n and room."""
+    each text once."""
     for rows, _ in _runs(batches, ("t", "no", "n", "room"), 1):
         rows = rows[:, np.concatenate(([True], (np.diff(rows[:2], axis=1) != 0).any(axis=0)))]
         starts = np.flatnonzero(np.concatenate(([True], np.diff(rows[0]) != 0)))
         sizes = np.diff(np.concatenate((starts, [rows.shape[1]])))
-        x = np.concatenate((rows, np.repeat(rows[1:, starts], sizes, axis=1)))[:, np.repeat(sizes > 1, sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["t", "no", "n", "room", "rep", "rep_n", "rep_room"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, np.repeat(sizes > 1, sizes)]], names=["t", "no", "n", "room"])
+
+
+def _stars(turns: range, least: float):
+    """Each text with the texts of its shingle that come first in the turns'
+    orders, where their roots differ and they may reach `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in _runs(batches, ("t", "no", "n", "room", "root"), 1):
+            t, no, n, room, root = rows
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(t) != 0)))
+            own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+            for turn in turns:
+                mixed = (no.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                rep = np.lexsort((mixed ^ (mixed >> np.uint64(31)), t))[starts][own]
+                ok = (root != root[rep]) & _enough(room, room[rep], n, n[rep], least)
+                yield pa.RecordBatch.from_arrays([pa.array(no[rep][ok]), pa.array(no[ok])], names=["x", "y"])
+
+    return run
 
 
 def _enough(room, other_room, n, other_n, least: float):
@@ -341,10 +361,11 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingl
     Prefix filter: in any one order of all shingles, two such texts share one
     of the first (1 - least) n + 1 of each, and from their first common one on
     both have room for the common shingles that the similarity needs. Shingles
-    in crowded cells come last, so that common passages make few pairs. First
-    each text is compared with the least text of each of its shingles, which
-    links large groups without all their pairs; then every pair that still has
-    different roots is compared, so no failed comparison stands for another."""
+    in crowded cells come last, so that common passages make few pairs. Each
+    text is first compared with one text of each of its shingles, then with some
+    others, which links large groups without all their pairs; then every pair
+    that still has different roots is compared, so no failed comparison stands
+    for another."""
     texts = materialise(rows.groupBy("tag").agg(F.min(id_col).alias("id"), F.first("root").alias("root")), "texts")
     salt, n_texts = 0, texts.count()
     while texts.select(F.xxhash64("tag", F.lit(salt))).distinct().count() < n_texts:
@@ -363,17 +384,21 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingl
 
     sets = materialise(held.select(number, "text").mapInArrow(run, "no long, n long, sketch binary, grams array<long>"), "grams")
     prefixes = sets.select("no", "grams").mapInArrow(_prefixes(*crowded_cells(sets), least), "t long, no long, n int, room int")
-    met = materialise(
-        prefixes.repartition("t").sortWithinPartitions("t", "no").mapInArrow(_shared, "t long, no long, n long, room long, rep long, rep_n long, rep_room long"), "shared"
-    )
-    stars = met.filter("no <> rep").filter(_enough(F.col("room"), F.col("rep_room"), F.col("n"), F.col("rep_n"), least))
-    roots = texts.select(number, "root")
-    near = _verified(stars.select(F.col("rep").alias("x"), F.col("no").alias("y")).distinct(), sets, roots, least)
-    over = components(near, "stars").select(F.col("node").alias("root"), F.col("root").alias("over"))
-    now = materialise(roots.join(over, "root", "left").select("no", F.coalesce("over", "root").alias("root")), "roots")
-    dealt = met.select("t", "no", "n", "room").join(now, "no").repartition("t").sortWithinPartitions("t", "no")
-    rest = dealt.mapInArrow(_pairs(least), "x long, y long").distinct()
-    edges = near.unionByName(_verified(rest, sets, now, least))
+    met = materialise(prefixes.repartition("t").sortWithinPartitions("t", "no").mapInArrow(_shared, "t long, no long, n long, room long"), "shared")
+    now = materialise(texts.select(number, "root"), "roots")
+    edges = None
+    for turns in (*TURNS, None):
+        dealt = met.join(now, "no").repartition("t").sortWithinPartitions("t", "no")
+        pairs = dealt.mapInArrow(_stars(turns, least) if turns else _pairs(least), "x long, y long").distinct()
+        near = _verified(pairs, sets, now, least)
+        edges = near if edges is None else edges.unionByName(near)
+        if turns:
+            over = components(near, "stars").select(F.col("node").alias("root"), F.col("root").alias("over"))
+            before = now
+            sizes = now.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+            known = over.join(sizes, "root")
+            now = materialise(join_hot(now, known, ["root"], "n", n_texts, how="left").select("no", F.coalesce("over", "root").alias("root")), "roots")
+            discard(before)
     for table in (sets, met, texts, now):
         discard(table)
     return edges
@@ -384,13 +409,16 @@ def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     last), and of rows that repeat it the first by text digest. A group is
     connected by fingerprints within the radius, or (unless seeds = 0) by texts
     of 0.8 similarity of five-word shingles."""
-    rows = materialise(classes(docs, id_col, text_col, tag=True, **options), "classes")
+    fps, named, n_rows = classes(docs, id_col, text_col, tag=True, **options)
+    rows = materialise(join_hot(fps, named.select("fp", "n", "root"), ["fp"], "n", n_rows).select(id_col, "tag", "root"), "classes")
     if seeds:
-        more = components(similar(docs, rows, id_col, text_col), "similar")
-        rows = rows.join(more.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").withColumn("root", F.coalesce("over", "root")).drop("over")
+        more = components(similar(docs, rows, id_col, text_col), "similar").select(F.col("node").alias("root"), F.col("root").alias("over"))
+        sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        rows = join_hot(rows, more.join(sizes, "root"), ["root"], "n", n_rows, how="left").select(id_col, "tag", F.coalesce("over", "root").alias("root"))
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "tag")
-    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
-    verdict = rows.groupBy("root", F.col(id_col).alias("id"), "tag").agg(F.count(F.lit(1)).alias("rows")).join(best, "root").select(
+    best = rows.groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
+    once = rows.groupBy("root", F.col(id_col).alias("id"), "tag").agg(F.count(F.lit(1)).alias("rows"))
+    verdict = join_hot(once, best, ["root"], "n", n_rows).select(
         "id", "tag", "rows", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("tag") == F.col("best.tag"))).cast("long").alias("stay")
     )
     return keep_rows(docs, materialise(verdict, "near"), id_col, text_col)
