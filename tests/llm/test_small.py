@@ -75,14 +75,27 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.assign(empty).count() == 0 and exact_dedup.deduplicate(empty).count() == 0
 
 
-def test_index_in_batches(spark, docs):
-    index = exact_dedup.DigestIndex(spark)
-    for part in range(5):
-        index.flush(docs.filter(F.coalesce(F.col("doc_id") % 5, F.lit(0)) == part))
-    assert len(index.runs) == 5
-    merged = index.compact()
-    assert len(index.runs) == 1 and index.runs[0][0] == 1
-    assert merged.agg(F.sum("rows")).first()[0] == docs.count()
+def test_index_in_batches(spark, rows):
+    """Ten batches over several compactions: what is seen, what wins, how many."""
+    rng = random.Random(8)
+    every = [(i, t) for i, (_, t) in enumerate(rows * 2)]
+    rng.shuffle(every)
+    index, seen = exact_dedup.DigestIndex(spark), set()
+    for part in range(10):
+        batch = every[part::10]
+        before = index.made
+        got = index.insert(spark.createDataFrame(batch, "doc_id long, text string"))
+        digest = {i: hashlib.sha256(re.sub("[\x20\x09-\x0d]", "", t or "").encode()).digest() for i, t in batch}
+        assert {r.best.id for r in got.collect()} == {i for i, d in digest.items() if d in seen}
+        assert index.made > before and len({r.path for r in index.runs}) == len(index.runs)
+        seen |= set(digest.values())
+    assert max(r.level for r in index.runs) == 1 and index.made == 12
+    want = {}
+    for (i, keep, n, sha), _ in plain_exact(every).items():
+        want[sha] = (keep, n)
+    level = {bytes(r.digest).hex(): (r.best.id, r.rows) for r in index.level().collect()}
+    assert level == want
+    assert {bytes(r.digest).hex(): (r.best.id, r.rows) for r in index.hits().collect()} == {k: v for k, v in want.items() if v[1] > 1}
 
 
 def test_exact_dedup_collision(docs, rows, monkeypatch):
