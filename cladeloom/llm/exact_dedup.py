@@ -34,6 +34,8 @@ from .common import join_hot, keep_rows, materialise, scratch_path, text_tag
 
 #: The six ASCII white-space characters that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bits of the filter of hits that is broadcast, at most (2 to the 20th words).
+FILTER_BITS = 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -133,12 +135,23 @@ class DigestIndex:
         return self._merged(maybe).filter("rows > 1").select("digest", "best", "rows")
 
 
-def suspects(docs: DataFrame, hits: DataFrame, rows: int, text_col: str = "text") -> DataFrame:
+def among(rows: DataFrame, hits: DataFrame, number: int) -> DataFrame:
+    """The rows whose digest may be one of the `number` hits: a Bloom filter
+    of 16 bits for each hit, FILTER_BITS at most, is broadcast in words of 64
+    bits, so that the other rows are left out where they stand. Nothing that
+    is a hit is left out; a full filter only lets more pass."""
+    bits = min(FILTER_BITS, max(64, 16 * number))
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    words = hits.select((place / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", (place / 64).cast("long")).join(F.broadcast(words), "word").filter(F.getbit("bits", (place % 64).cast("int")) == 1).drop("word", "bits")
+
+
+def suspects(docs: DataFrame, hits: DataFrame, number: int, text_col: str = "text") -> DataFrame:
     """Hits whose rows are not all the same bytes. The aggregate combines
     equal digests in each map task before anything is shuffled."""
-    norm = normalised(F.col(text_col))
-    texts = docs.select(norm.alias("norm")).select(digest_of(F.col("norm")).alias("digest"), "norm")
-    held = join_hot(texts, hits.select("digest", "rows"), ["digest"], "rows", rows)
+    texts = docs.select(normalised(F.col(text_col)).alias("norm")).select(digest_of(F.col("norm")).alias("digest"), "norm")
+    held = among(texts, hits, number)
     return held.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).filter("low <> high").select("digest")
 
 
@@ -149,7 +162,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag:
     run = index.flush(docs, id_col, text_col, tag)
     more = ["tag"] if tag else []
     hits, total = materialise(index.hits(), "hits"), run.count()
-    bad = materialise(suspects(docs, hits, total, text_col), "suspects")
+    bad = materialise(suspects(docs, hits, hits.count(), text_col), "suspects")
     found = join_hot(run.select("digest", F.col("best").alias("own"), *more), hits, ["digest"], "rows", total, how="left")
     rows = found.select(
         F.col("own.id").alias(id_col),
