@@ -6,11 +6,13 @@ are compared to a depth of `length` only, and only those near a repeated
 anchor can have an equal partner.
 
 1. Cover sample. Difference-cover construction compares two suffixes through
-   a sampled place at the same distance in both. Here the cover follows the
+   a sampled place at the same distance in both. `cover="difference"` samples
+   by place: the residues of a difference cover modulo v, in which any two
+   windows have a common distance below v. By default the cover follows the
    content: the sampled place of a window is the leftmost least hash of its
    `gram`-byte strings (its anchor), so equal windows sample equal places, at
    two places in `length - gram + 2` instead of the arithmetic cover's one in
-   ten or so. The windows of one anchor form a run.
+   seven. The windows of one sampled place form a run.
 2. Ranks. Runs whose anchor string is found once cannot repeat. Runs whose
    whole stretch of text (first byte of the first window to last of the last)
    is found twice repeat throughout. Both follow from counts of digests.
@@ -22,6 +24,10 @@ anchor can have an equal partner.
    A bucket with more stretches than a block may hold is not gathered; its
    windows are counted by digest instead, which splits it by content.
 
+Long texts are cut into overlapping pieces for the sample. A stretch is known
+by 192 bits (a 128-bit digest and the hash of its anchor), a text by 128 bits
+of its SHA-256; windows inside a bucket are compared byte by byte.
+
 Defined cases: null text is empty; texts shorter than `length` bytes keep
 everything; copies of a text repeat each other; strings may overlap
 themselves; matches never cross texts; an empty table gives an empty result.
@@ -43,6 +49,8 @@ LENGTH = 400
 GRAM = 96
 BLOCK_ROWS = 4096
 BUCKET_ROWS = 16384
+PIECE = 1 << 19  # windows of a text sampled at once
+_PLACE = 20  # bits of a place in what is sampled at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(11).integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -89,15 +97,23 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def difference_cover(r: int = 1) -> tuple[int, list[int]]:
+    """A modulus v = 24 r^2 + 36 r + 13 and 6 r + 4 residues whose differences
+    are all residues modulo v (Colbourn and Ling, 2000)."""
+    steps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
+    return 24 * r * r + 36 * r + 13, [0, *np.cumsum(steps).tolist()]
+
+
 def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows of the texts that end at `ends` in data: text number,
-    first and last window, anchor (all places in data), anchor's hash."""
+    """Runs of windows of the pieces that end at `ends` in data (fewer than
+    2^20 bytes): piece number, first and last window, anchor (all places in
+    data), anchor's hash. Hashes are compared by their high 44 bits, then by
+    place, so that the choice in a window depends on its bytes alone."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, np.zeros(0, np.uint64)
-    bits = max(1, int(len(data)).bit_length())
     h = gram_hashes(data, gram)
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64((1 << _PLACE) - 1)
     keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     least = window_minima(keys, length - gram + 1)
     at = (least & low).astype(np.int64)
@@ -122,29 +138,62 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
     return text, first, last, anchor, h[anchor]
 
 
+def cover_runs(data: np.ndarray, ends: np.ndarray, length: int, r: int = 1) -> tuple[np.ndarray, ...]:
+    """The same for the places of a difference cover, counted from each
+    piece's start; the hash is that of the string that all windows of a run
+    have in common. Windows lie in several runs."""
+    v, residues = difference_cover(r)
+    gram = length - v + 1
+    starts = np.concatenate(([0], ends[:-1]))
+    text = np.repeat(np.arange(len(ends)), ends - starts)
+    place = np.arange(len(data)) - starts[text]
+    anchor = np.flatnonzero(np.isin(place % v, residues) & (np.arange(len(data)) + gram <= ends[text]))
+    text = text[anchor]
+    first, last = np.maximum(anchor - v + 1, starts[text]), np.minimum(anchor, ends[text] - length)
+    ok = first <= last
+    text, first, last, anchor = text[ok], first[ok], last[ok], anchor[ok]
+    return text, first, last, anchor, gram_hashes(data, gram)[anchor] if len(anchor) else np.zeros(0, np.uint64)
+
+
 _RUN = "key binary, hash long, head int, tail int, stretch binary, first long"
 
 
-def _runs_of(text_col: str, length: int, gram: int):
+def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text number, place in the text, bytes) of about PIECE bytes;
+    neighbouring pieces of a text share length - 1 bytes, so no window is lost."""
+    held, size = [], 0
+    for i, x in enumerate(texts):
+        for at in range(0, len(x) - length + 1, PIECE):
+            held.append((i, at, x[at : at + PIECE + length - 1]))
+            size += len(held[-1][2])
+            if size >= PIECE // 2:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _runs_of(text_col: str, length: int, gram: int, cover: str = "content"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 1 << 18):
             raw = [x for x in as_bytes(batch.column(text_col)).to_pylist() if len(x) >= length]
-            if not raw:
-                continue
-            data, keys = b"".join(raw), [hashlib.sha256(x).digest()[:16] for x in raw]
-            ends = np.cumsum([len(x) for x in raw])
-            text, first, last, anchor, h = runs(np.frombuffer(data, np.uint8), ends, length, gram)
-            view = memoryview(data)
-            digests = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist())]
-            start = np.concatenate(([0], ends[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.binary()).take(pa.array(text)), pa.array(h.view(np.int64)),
-                    pa.array((anchor - first).astype(np.int32)), pa.array((anchor - last).astype(np.int32)),
-                    pa.array(digests, pa.binary()), pa.array(first - start[text]),
-                ],
-                names=["key", "hash", "head", "tail", "stretch", "first"],
-            )
+            keys = [hashlib.sha256(x).digest()[:16] for x in raw]
+            for part in _pieces(raw, length):
+                data = b"".join(x for _, _, x in part)
+                ends = np.cumsum([len(x) for _, _, x in part])
+                view = np.frombuffer(data, np.uint8)
+                text, first, last, anchor, h = cover_runs(view, ends, length) if cover == "difference" else runs(view, ends, length, gram)
+                bytes_ = memoryview(data)
+                digests = [hashlib.blake2b(bytes_[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist())]
+                shift = np.array([at for _, at, _ in part]) - np.concatenate(([0], ends[:-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([keys[i] for i, _, _ in part], pa.binary()).take(pa.array(text)), pa.array(h.view(np.int64)),
+                        pa.array((anchor - first).astype(np.int32)), pa.array((anchor - last).astype(np.int32)),
+                        pa.array(digests, pa.binary()), pa.array(first + shift[text]),
+                    ],
+                    names=["key", "hash", "head", "tail", "stretch", "first"],
+                )
 
     return run
 
@@ -287,7 +336,7 @@ def _window_digests(length: int):
     return run
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, cover: str = "content") -> tuple[DataFrame, DataFrame]:
     """rows: id, key, sha256, n_bytes, copies of each row of docs; spans: for
     the key of each text that is there once, first and last repeated windows."""
     rows = materialise(
@@ -297,13 +346,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         "texts",
     )
     texts = rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("pick"))
-    every = materialise(docs.select(F.col(text_col)).mapInArrow(_runs_of(text_col, length, gram), _RUN), "runs")
+    every = materialise(docs.select(F.col(text_col)).mapInArrow(_runs_of(text_col, length, gram, cover), _RUN), "runs")
 
     same = ["hash", "head", "tail", "stretch"]
     total = every.count()
     groups = every.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first")).alias("one"))
+    groups = materialise(groups, "groups")
     buckets = groups.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    open_ = materialise(groups.join(buckets, "hash").select("hash", "head", "tail", "m", F.col("one.key").alias("key"), F.col("one.first").alias("first")), "open")
+    open_ = materialise(join_hot(groups, buckets, ["hash"], "m", groups.count()).select("hash", "head", "tail", "m", F.col("one.key").alias("key"), F.col("one.first").alias("first")), "open")
     several = materialise(groups.filter("n > 1").select(*same, "n"), "several")
     whole = join_hot(every, several, same, "n", total).groupBy("key", "first").agg(F.max(F.col("first") + F.col("head") - F.col("tail")).alias("last"))
 
@@ -322,7 +372,20 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         found = found.unionByName(windows.join(twice, "digest").select("key", "first", F.col("first").alias("last")))
     spans = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     once = texts.filter("copies = 1").select("key", F.col("pick").alias("id"))
-    return rows.join(texts.select("key", "copies"), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), materialise(spans.join(once, "key"), "spans")
+    counted = join_hot(rows.filter(F.col("n_bytes") >= length), texts.select("key", "copies"), ["key"], "copies", rows.count())
+    short = rows.filter(F.col("n_bytes") < length).withColumn("copies", F.lit(1).cast("long"))
+    return materialise(counted.unionByName(short), "counted"), materialise(spans.join(once, "key"), "spans")
+
+
+def merged(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Maximal runs (start, end) of the bytes under windows (first, last)."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(windows):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], last + length))
+        else:
+            out.append((first, last + length))
+    return out
 
 
 def _cut(length: int, kept: bool):
@@ -330,14 +393,14 @@ def _cut(length: int, kept: bool):
         for batch in batches:
             out = []
             for packed, spans in zip(batch.column("packed"), batch.column("spans").to_pylist()):
-                text = _unpack(packed.as_py())
-                change = np.zeros(len(text) + 1, np.int32)
-                np.add.at(change, [s["first"] for s in spans], 1)
-                np.add.at(change, [s["last"] + length for s in spans], -1)
-                gone = np.cumsum(change)[:-1] > 0
-                rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                n_spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1))
-                out.append((int(gone.sum()), n_spans, hashlib.sha256(rest).hexdigest(), rest if kept else None))
+                text = memoryview(_unpack(packed.as_py()))
+                gone = merged([(s["first"], s["last"]) for s in spans], length)
+                edges = [0, *(x for g in gone for x in g), len(text)]
+                parts = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+                sha = hashlib.sha256()
+                for p in parts:
+                    sha.update(p)
+                out.append((sum(b - a for a, b in gone), len(gone), sha.hexdigest(), b"".join(parts) if kept else None))
             n, k, sha, rest = zip(*out) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(rest, pa.binary())],
@@ -354,15 +417,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = packed_texts(docs, id_col, text_col, length)
     met = packed.join(spans, (packed.key == spans.key) & packed.id.eqNullSafe(spans.id)).select(packed.key, "packed", "spans")
     done = materialise(met.mapInArrow(_cut(length, kept), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "cut")
-    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    empty = hashlib.sha256(b"").hexdigest()
-    return rows.join(done, "key", "left").select(
-        F.col("id").alias(id_col), "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-        *([F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if kept else []),
+    copied, long = F.col("copies") > 1, F.col("n_bytes") >= length
+    gone = hashlib.sha256(b"").hexdigest()
+    settled = rows.filter(copied | ~long).select(
+        F.col("id").alias(id_col), "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(copied, 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(copied, F.lit(gone)).otherwise(F.col("sha256")).alias("kept_sha256"), *([F.when(copied, F.lit(b"")).alias("kept")] if kept else []),
+    )
+    others = rows.filter(~copied & long).join(done, "key", "left").select(  # texts that are there once
+        F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *(["kept"] if kept else []),
     )
+    return settled.unionByName(others)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -462,15 +462,22 @@ def plain_cut(rows, length):
     return out
 
 
-@pytest.mark.parametrize("bucket", [16384, 2])
-def test_repeats(spark, bucket):
+def test_difference_cover():
+    for r in (1, 2, 3):
+        v, residues = suffixes.difference_cover(r)
+        assert {(a - b) % v for a in residues for b in residues} == set(range(v)) and len(residues) == 6 * r + 4
+
+
+@pytest.mark.parametrize("bucket, cover, length", [(16384, "content", 60), (2, "content", 60), (16384, "difference", 100)])
+def test_repeats(spark, bucket, cover, length, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 150)  # longer texts are sampled in pieces
     rng = random.Random(8)
     part = [text(rng, 12) for _ in range(6)]
     rows = [(k, " ".join(rng.choice([*part, text(rng, 5)]) for _ in range(rng.randrange(1, 9)))) for k in range(60)]
     rows += [(70, "ab" * 200), (71, "ab" * 30 + "c" + "ab" * 90), (72, None), (73, ""), (None, part[0] + part[1]), (74, rows[0][1]), (75, rows[0][1]), (75, rows[0][1]), (76, "z" * 59), (77, "ü" * 50)]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, key string").repartition(4)
-    got = suffixes.cut_repeats(table, length=60, gram=16, block_rows=20, bucket_rows=bucket, kept=True)
-    assert Counter(tuple(r)[:5] for r in got.collect()) == plain_cut(rows, 60)
+    got = suffixes.cut_repeats(table, length=length, gram=16, block_rows=20, bucket_rows=bucket, cover=cover, kept=True)
+    assert Counter(tuple(r)[:5] for r in got.collect()) == plain_cut(rows, length)
     assert suffixes.cut_repeats(table.limit(0)).count() == 0
 
 
