@@ -3,6 +3,7 @@ to whole texts as bytes, row removal by id."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -84,6 +85,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         yield batch.slice(first)
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(raw: bytes, limit: int = 1 << 22) -> Iterator[bytes]:
+    """raw in parts of about `limit` bytes that begin at a blank, so that no
+    word is cut and the words of one part at a time are held."""
+    at = 0
+    while len(raw) - at > limit:
+        blank = _BLANK.search(raw, at + limit)
+        if blank is None:
+            break
+        yield raw[at : blank.start()]
+        at = blank.start()
+    yield raw[at:] if at else raw
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
     """While an action runs, Arrow batches of about `size` bytes at most: a

@@ -20,11 +20,14 @@ n-grams (several for each word) would take many times the input in shuffles:
 
 An n-gram reaches its bucket once per block, so frequent words make no hot
 partition. Blocks and buckets have a fixed size and their number grows with
-the input. Hashes keep 48 bits besides the bucket's, 64 at most.
+the input; partitions hold several of them beyond MAX_PARTS. N-grams are known
+by 64 bits of hash: of n distinct ones about n^2 / 2^65 pairs share a count
+(0.0003 expected for the 10^8 n-grams of half a GB of Parquet, one in four
+million n-grams for 10^13).
 
 Defined cases: null and empty texts have no words and score 0; repeated rows
 count as often as they stand and are scored each; a text of any length is
-processed in parts of bounded size; an empty table gives an empty result.
+split into words in parts of bounded size; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, slices
+from .common import as_bytes, materialise, pieces, slices
 
 ORDER = 3
 ALPHA = 0.4
@@ -46,27 +49,26 @@ MIN_COUNT = 2
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 CHUNK_WORDS = 1 << 20
+MAX_PARTS = 1 << 15
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def words(raw: bytes) -> list[bytes]:
-    return raw.lower().split()
-
-
 def chunks(texts: list[bytes], order: int, limit: int = CHUNK_WORDS) -> Iterator[list[tuple[int, int, list[bytes]]]]:
     """Lists of (text number, lead, words) of about `limit` words. The lead
     words stand before a text's later parts and are context only."""
     held, size = [], 0
     for i, raw in enumerate(texts):
-        w = words(raw)
-        for at in range(0, len(w), limit):
-            lead = min(at, order - 1)
-            part = w[at - lead : at + limit]
-            held.append((i, lead, part))
-            size += len(part)
-            if size >= limit:
-                yield held
-                held, size = [], 0
+        lead: list[bytes] = []
+        for piece in pieces(raw):
+            w = piece.lower().split()
+            for at in range(0, len(w), limit):
+                part = lead + w[at : at + limit]
+                held.append((i, len(lead), part))
+                size += len(part)
+                lead = part[1 - order :] if order > 1 else []
+                if size >= limit:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -94,10 +96,6 @@ def ngrams(chunk: list[tuple[int, int, list[bytes]]], order: int) -> tuple[np.nd
     return text, weight, hashes, there
 
 
-def _kept_bits(h: np.ndarray, bits: int) -> np.ndarray:
-    return h >> np.uint64(max(0, 16 - bits))
-
-
 def pack_counts(values: np.ndarray) -> bytes:
     """One byte for a number below 255; the others follow as 8 bytes each."""
     small = np.where(values < 255, values, 255).astype(np.uint8)
@@ -112,20 +110,23 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 48-bit numbers: how many, the low 4 bytes of each, and the
-    compressed steps of the high 2 bytes (about 4.6 bytes each in all)."""
+    """Ascending 64-bit numbers: how many, the low 5 bytes of each, and the
+    compressed steps of the high 3 bytes (about 5.7 bytes each in all)."""
     import zstandard
 
-    steps = np.diff((keys >> np.uint64(32)).astype(np.int64), prepend=0)
-    return struct.pack("<I", len(keys)) + (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + zstandard.compress(pack_counts(steps), 1)
+    steps = np.diff((keys >> np.uint64(40)).astype(np.int64), prepend=0)
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return struct.pack("<I", len(keys)) + low.tobytes() + zstandard.compress(pack_counts(steps), 1)
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
     import zstandard
 
     (n,) = struct.unpack_from("<I", raw)
-    high = np.cumsum(unpack_counts(zstandard.decompress(raw[4 + 4 * n :]), n)).astype(np.uint64)
-    return (high << np.uint64(32)) | np.frombuffer(raw, "<u4", n, 4)
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(n, 5)
+    high = np.cumsum(unpack_counts(zstandard.decompress(raw[4 + 5 * n :]), n)).astype(np.uint64)
+    return (high << np.uint64(40)) | whole.view("<u8").ravel()
 
 
 def grouped(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,8 +140,7 @@ def grouped(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cuts(table: np.ndarray, bits: int) -> np.ndarray:
-    kept = 48 + min(bits, 16)
-    return np.searchsorted(table, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(kept - bits)) if bits else np.zeros(0, np.int64)
+    return np.searchsorted(table, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
 
 
 def _asked(order: int, bits: int, table: pa.Table) -> pa.Table:
@@ -151,7 +151,7 @@ def _asked(order: int, bits: int, table: pa.Table) -> pa.Table:
     out, z = [], zstandard.ZstdCompressor(level=1)
     for number, chunk in enumerate(chunks(_texts(table), order)):
         _, weight, hashes, there = ngrams(chunk, order)
-        own = np.concatenate([_kept_bits(h[t], bits) for h, t in zip(hashes, there)])
+        own = np.concatenate([h[t] for h, t in zip(hashes, there)])
         if weight.all():
             own.sort()
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
@@ -160,7 +160,6 @@ def _asked(order: int, bits: int, table: pa.Table) -> pa.Table:
             at, keys, where = grouped(own)
             counts = np.bincount(where, weights=np.concatenate([weight[t] for t in there])[at]).astype(np.int64)
         cuts = [0, *_cuts(keys, bits).tolist(), len(keys)]
-        keys &= np.uint64((1 << 48) - 1)
         out += [(block, number, b, zlib.crc32(keys[i:j]), pack_keys(keys[i:j]), z.compress(pack_counts(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
     cols = list(zip(*out)) or [[]] * 6
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -191,10 +190,9 @@ def _scored(order: int, bits: int, alpha: float, least: int, docs: pa.Table, ans
         by.setdefault(chunk, []).append(tuple(answer))
     for at, chunk in enumerate(chunks(_texts(docs), order)):
         text, weight, hashes, there = ngrams(chunk, order)
-        sorted_at, keys, where = grouped(np.concatenate([_kept_bits(h[t], bits) for h, t in zip(hashes, there)]))
+        sorted_at, keys, where = grouped(np.concatenate([h[t] for h, t in zip(hashes, there)]))
         cuts = [0, *_cuts(keys, bits).tolist(), len(keys)]
         total = np.zeros(len(keys), np.int64)
-        keys &= np.uint64((1 << 48) - 1)
         for bucket, mark, raw in by.get(at, []):
             i, j = cuts[bucket], cuts[bucket + 1]
             if zlib.crc32(keys[i:j]) != mark:
@@ -237,7 +235,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the one shuffle that deals them into blocks."""
     import zstandard
 
-    z = zstandard.ZstdCompressor(level=1)
+    z = zstandard.ZstdCompressor(level=3)
     for batch in slices(batches, "text", 4 << 20):
         small = [z.compress(x) for x in as_bytes(batch.column("text")).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("block"), pa.array(small, pa.binary())], names=["id", "row", "block", "packed"])
@@ -250,11 +248,11 @@ def score(
     """id, n_words, log_score, mean_log_score for each row of docs."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    bits = min(24, max(0, (-(-total // bucket_bytes) - 1).bit_length()))
+    bits = max(0, (-(-total // bucket_bytes) - 1).bit_length())
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
     ).withColumn("block", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)))
-    dealt = rows.mapInArrow(_packed, rows.selectExpr("id", "row", "block", "binary('') as packed").schema).repartition(blocks, "block")
+    dealt = rows.mapInArrow(_packed, rows.selectExpr("id", "row", "block", "binary('') as packed").schema).repartition(min(blocks, MAX_PARTS), "block")
 
     def ask(table: pa.Table) -> pa.Table:
         return _asked(order, bits, table)
@@ -263,7 +261,7 @@ def score(
         return _scored(order, bits, alpha, min_count, docs, answers)
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block long, chunk int, bucket long, mark long, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, chunk int, bucket long, mark long, totals binary")
+    answers = asked.repartition(min(1 << bits, MAX_PARTS), "bucket").groupBy("bucket").applyInArrow(_answered, "block long, chunk int, bucket long, mark long, totals binary")
     schema = dealt.selectExpr("id", "0L as n_words", "0D as part", "0L as n_single").schema
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, schema)
     parts = materialise(found, "scores")

@@ -438,7 +438,7 @@ def test_lm_scores(docs, rows, options, monkeypatch):
 
 
 def test_lm_packing(empty):
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 5000).astype(np.uint64))
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64))
     assert (lmscore.unpack_keys(lmscore.pack_keys(keys)) == keys).all()
     v = np.array([0, 1, 254, 255, 256, 1 << 40])
     assert (lmscore.unpack_counts(lmscore.pack_counts(v), len(v)) == v).all()
