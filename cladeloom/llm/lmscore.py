@@ -20,7 +20,7 @@ n-grams (several for each word) would take many times the input in shuffles:
 
 An n-gram reaches its bucket once per block, so frequent words make no hot
 partition. Blocks and buckets have a fixed size and their number grows with
-the input; partitions hold several of them beyond MAX_PARTS. N-grams are known
+the input; partitions take them in turn, one each up to MAX_PARTS. N-grams are known
 by 64 bits of hash: of n distinct ones about n^2 / 2^65 pairs share a count
 (0.0003 expected for the 10^8 n-grams of half a GB of Parquet, one in four
 million n-grams for 10^13).
@@ -162,7 +162,7 @@ def _asked(order: int, bits: int, table: pa.Table) -> pa.Table:
         cuts = [0, *_cuts(keys, bits).tolist(), len(keys)]
         out += [(block, number, b, zlib.crc32(keys[i:j]), pack_keys(keys[i:j]), z.compress(pack_counts(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
     cols = list(zip(*out)) or [[]] * 6
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["block", "chunk", "bucket", "mark", "keys", "counts"])
 
 
@@ -251,8 +251,8 @@ def score(
     bits = max(0, (-(-total // bucket_bytes) - 1).bit_length())
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
-    ).withColumn("block", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)))
-    dealt = rows.mapInArrow(_packed, rows.selectExpr("id", "row", "block", "binary('') as packed").schema).repartition(min(blocks, MAX_PARTS), "block")
+    ).withColumn("block", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int"))
+    dealt = rows.mapInArrow(_packed, rows.selectExpr("id", "row", "block", "binary('') as packed").schema).repartitionById(min(blocks, MAX_PARTS), F.col("block"))
 
     def ask(table: pa.Table) -> pa.Table:
         return _asked(order, bits, table)
@@ -260,8 +260,8 @@ def score(
     def add_up(docs: pa.Table, answers: pa.Table) -> pa.Table:
         return _scored(order, bits, alpha, min_count, docs, answers)
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block long, chunk int, bucket long, mark long, keys binary, counts binary")
-    answers = asked.repartition(min(1 << bits, MAX_PARTS), "bucket").groupBy("bucket").applyInArrow(_answered, "block long, chunk int, bucket long, mark long, totals binary")
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, chunk int, bucket int, mark long, keys binary, counts binary")
+    answers = asked.repartitionById(min(1 << bits, MAX_PARTS), F.col("bucket")).groupBy("bucket").applyInArrow(_answered, "block int, chunk int, bucket int, mark long, totals binary").repartitionById(min(blocks, MAX_PARTS), F.col("block"))
     schema = dealt.selectExpr("id", "0L as n_words", "0D as part", "0L as n_single").schema
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, schema)
     parts = materialise(found, "scores")
