@@ -130,14 +130,16 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], number: str, rows
     how many rows of left have it) where a key may hold a large share of
     left's `rows`. Null keys find nothing.
 
-    Keys of more than rows / parts rows are hot; there are fewer than `parts`
-    of them, so they can always be broadcast, and their rows stay where they
-    are. The others are joined by a shuffle, in which no key is large.
+    Keys of more than rows / parts rows (rounded to a power of two) are hot;
+    there are fewer than 2 * `parts` of them, so they can always be broadcast,
+    and their rows stay where they are. The others are joined by a shuffle, in
+    which no key is large.
     """
-    hot = right.filter(F.col(number) > rows / parts)
+    least = 1 << max(0, rows // parts).bit_length() >> 1  # few thresholds, so that compiled plans serve again
+    hot = right.filter(F.col(number) > least)
     (mark,) = fresh(left.columns + right.columns, "__hot")
     marked = left.join(F.broadcast(hot.withColumn(mark, F.lit(True))), on, "left")
-    cold = marked.filter(F.col(mark).isNull()).select(*left.columns).join(right.filter(F.col(number) <= rows / parts), on, how)
+    cold = marked.filter(F.col(mark).isNull()).select(*left.columns).join(right.filter(F.col(number) <= least), on, how)
     names = [*left.columns, *(c for c in right.columns if c not in on)]
     return marked.filter(F.col(mark)).select(*names).unionByName(cold.select(*names))
 

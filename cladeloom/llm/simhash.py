@@ -354,9 +354,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, roots: DataFrame, least: float)
 
 
 def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between roots of rows(id, tag, root) that connect exactly
-    what is connected by pairs of texts of at least `least` Jaccard similarity
-    of their shingle sets (and by equal roots).
+    """Root and over (the root of all that it is connected with) for the
+    roots of rows(id, tag, root) that change: connected is what pairs of texts
+    of at least `least` Jaccard similarity of their shingle sets (and equal
+    roots) connect.
 
     Prefix filter: in any one order of all shingles, two such texts share one
     of the first (1 - least) n + 1 of each, and from their first common one on
@@ -385,23 +386,21 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingl
     sets = materialise(held.select(number, "text").mapInArrow(run, "no long, n long, sketch binary, grams array<long>"), "grams")
     prefixes = sets.select("no", "grams").mapInArrow(_prefixes(*crowded_cells(sets), least), "t long, no long, n int, room int")
     met = materialise(prefixes.repartition("t").sortWithinPartitions("t", "no").mapInArrow(_shared, "t long, no long, n long, room long"), "shared")
-    now = materialise(texts.select(number, "root"), "roots")
-    edges = None
+    now = materialise(texts.select(number, "root", F.col("root").alias("over")), "roots")
     for turns in (*TURNS, None):
-        dealt = met.join(now, "no").repartition("t").sortWithinPartitions("t", "no")
+        known = now.select("no", F.col("over").alias("root"))
+        dealt = met.join(known, "no").repartition("t").sortWithinPartitions("t", "no")
         pairs = dealt.mapInArrow(_stars(turns, least) if turns else _pairs(least), "x long, y long").distinct()
-        near = _verified(pairs, sets, now, least)
-        edges = near if edges is None else edges.unionByName(near)
-        if turns:
-            over = components(near, "stars").select(F.col("node").alias("root"), F.col("root").alias("over"))
-            before = now
-            sizes = now.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-            known = over.join(sizes, "root")
-            now = materialise(join_hot(now, known, ["root"], "n", n_texts, how="left").select("no", F.coalesce("over", "root").alias("root")), "roots")
-            discard(before)
+        near = _verified(pairs, sets, known, least)
+        more = components(near, "stars").select(F.col("node").alias("over"), F.col("root").alias("further"))
+        sizes = now.groupBy("over").agg(F.count(F.lit(1)).alias("n"))
+        before, now = now, materialise(join_hot(now, more.join(sizes, "over"), ["over"], "n", n_texts, how="left").select("no", "root", F.coalesce("further", "over").alias("over")), "roots")
+        discard(before)
+        discard(near)
+    changed = materialise(now.filter("root <> over").select("root", "over").distinct(), "changed")
     for table in (sets, met, texts, now):
         discard(table)
-    return edges
+    return changed
 
 
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1, **options) -> DataFrame:
@@ -412,7 +411,7 @@ def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fps, named, n_rows = classes(docs, id_col, text_col, tag=True, **options)
     rows = materialise(join_hot(fps, named.select("fp", "n", "root"), ["fp"], "n", n_rows).select(id_col, "tag", "root"), "classes")
     if seeds:
-        more = components(similar(docs, rows, id_col, text_col), "similar").select(F.col("node").alias("root"), F.col("root").alias("over"))
+        more = similar(docs, rows, id_col, text_col)
         sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         rows = join_hot(rows, more.join(sizes, "root"), ["root"], "n", n_rows, how="left").select(id_col, "tag", F.coalesce("over", "root").alias("root"))
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "tag")

@@ -1,13 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A term is a lower-cased word's 64-bit hash. The terms that the labelled rows
-tie to the label (chi-squared) form the model's table; the machine has a
+tie to the label (chi-squared, counted where the rows are) form the model's
+table; the machine has a
 weight and a vector of `factors` numbers for each, so that two terms together
 - an insult and the mention of a group - can weigh more than their sum. It is
 fitted by full-batch Adam on the logistic loss.
 
 Learning uses at most `max_rows` labelled rows (those of the smallest hash of
-the id, so any cluster takes the same ones), whose term sets alone reach the
+the id, so any cluster takes the same ones; of rows that repeat an id the one
+of the least text digest); of their terms only those of the table reach the
 driver. Scoring covers every row and whole texts in one pass without a
 shuffle; the shipped table has at most `max_terms` terms.
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh, slices
+from .common import as_bytes, discard, fresh, materialise, pieces, slices, text_tag
 from .decontam import words
 
 MAX_ROWS = 12_000
@@ -41,7 +43,10 @@ def terms(raw: bytes) -> np.ndarray:
     """Sorted distinct 64-bit term hashes of a text."""
     import xxhash
 
-    return np.sort(np.array([xxhash.xxh3_64_intdigest(w) for w in set(words(raw))], np.uint64))
+    found: set[bytes] = set()
+    for piece in pieces(raw):
+        found.update(words(piece))
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64))
 
 
 @dataclass
@@ -82,11 +87,14 @@ def select_terms(sets: list[np.ndarray], y: np.ndarray, max_terms: int) -> np.nd
     return np.sort(names[good])
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, factors: int = 8, steps: int = 400, rate: float = 0.05, l2: float = 2e-4, seed: int = 7) -> Machine:
+def fit(sets: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, factors: int = 8, steps: int = 400, rate: float = 0.05, l2: float = 2e-4, seed: int = 7, table: np.ndarray | None = None) -> Machine:
+    """The machine of term sets (ascending) and labels, over a given table or
+    the terms that select_terms takes."""
     y = np.asarray(y, float)
     share = (y.sum() + 1) / (len(y) + 2)
     prior = float(np.log(share / (1 - share)))
-    table = select_terms(sets, y, max_terms) if 0 < y.sum() < len(y) else np.zeros(0, np.uint64)
+    if table is None:
+        table = select_terms(sets, y, max_terms) if 0 < y.sum() < len(y) else np.zeros(0, np.uint64)
     rng = np.random.default_rng(seed)
     model = Machine(table, prior, np.zeros(len(table)), rng.normal(0, 0.05, (len(table), factors)))
     if not len(table):
@@ -127,33 +135,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> tuple[list[np.ndarray], np.ndarray]:
-    """Term sets and labels of at most max_rows labelled rows that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
+    """y and terms of at most max_rows labelled rows that are not held out."""
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
         .orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     )
     # max_rows bounds what is broadcast.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").withColumn("__tag", text_tag(F.col("__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 4 << 20):
             sets = [terms(x).view(np.int64) for x in as_bytes(batch.column("__text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), pa.array(sets, pa.list_(pa.int64()))], names=["__id", "__y", "__terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), batch.column("__tag"), pa.array(sets, pa.list_(pa.int64()))], names=["__id", "__y", "__tag", "__terms"])
 
-    got = rows.mapInArrow(run, rows.selectExpr("__id", "__y", "array(0L) as __terms").schema).dropDuplicates(["__id"]).toArrow()
-    order = np.argsort(np.array([str(x) for x in got.column("__id").to_pylist()]), kind="stable") if got.num_rows else []
-    column = got.column("__terms").combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = column.chunk(0) if column.num_chunks else pa.array([], pa.list_(pa.int64()))
-    sets = [column[int(i)].values.to_numpy().view(np.uint64) for i in order]
-    y = got.column("__y").to_numpy()[order] if got.num_rows else np.zeros(0)
-    return sets, np.asarray(y, float)
+    found = rows.mapInArrow(run, rows.selectExpr("__id", "__y", "__tag", "array(0L) as __terms").schema)
+    one = found.groupBy("__id").agg(F.max("__y").alias("y"), F.min(F.struct("__tag", "__terms")).alias("first"))
+    return materialise(one.select(F.col("__id").alias("id"), "y", F.col("first.__terms").alias("terms")), "labelled")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> Machine:
-    return fit(*training_rows(docs, labels, max_rows, **options))
+def tied_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> np.ndarray:
+    """select_terms of rows (y, terms), counted by an aggregate over the terms."""
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
+    n, p = float(total.n), float(total.p or 0)
+    if not 0 < p < n:
+        return np.zeros(0, np.uint64)
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos"))
+    chi2 = F.pow(F.col("pos") - F.col("df") * F.lit(p / n), F.lit(2.0)) * F.lit(n**3 / (p * (n - p))) / (F.col("df") * (F.lit(n) - F.col("df")))
+    best = counts.filter((F.col("df") >= 3) & (F.col("df") < n)).select("term", chi2.alias("chi2")).filter(F.col("chi2") >= LEAST_CHI2)
+    got = best.orderBy(F.desc("chi2"), "term").limit(max_terms).toArrow()
+    return np.sort(got.column("term").to_numpy().view(np.uint64))
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, **options) -> Machine:
+    rows = training_rows(docs, labels, max_rows, **options)
+    table = tied_terms(rows, max_terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.values.to_numpy() for x in batch.column("terms")]
+            kept = [x[np.isin(x.view(np.uint64), table)] for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(kept, pa.list_(pa.int64()))], names=["id", "y", "terms"])
+
+    got = rows.mapInArrow(run, rows.schema).toArrow()
+    order = np.argsort(np.array([str(x) for x in got.column("id").to_pylist()]), kind="stable") if got.num_rows else []
+    column = got.column("terms").to_pylist()
+    sets = [np.array(column[int(i)], np.int64).view(np.uint64) for i in order]
+    y = got.column("y").to_numpy()[order] if got.num_rows else np.zeros(0)
+    discard(rows)
+    return fit(sets, np.asarray(y, float), table=table)
 
 
 def score(docs: DataFrame, model: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
