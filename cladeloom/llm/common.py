@@ -102,16 +102,19 @@ def pieces(raw: bytes, limit: int = 1 << 22) -> Iterator[bytes]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
-    """While an action runs, Arrow batches of about `size` bytes at most: a
-    batch of long texts is held by the JVM and by the worker at once."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(size))
+def small_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 256) -> Iterator[None]:
+    """While an action runs, Arrow batches of about `size` bytes at most and
+    `rows` rows at once from Parquet: a batch of long texts is held by the JVM
+    and by the worker at once, in whole arrays of it."""
+    keys = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size), "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

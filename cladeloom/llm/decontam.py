@@ -18,7 +18,7 @@ gives rows without hits or no rows; further columns pass through `decontaminate`
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +33,7 @@ WINDOW = 8
 MIN_ITEMS = 2
 BLOCK_BYTES = 1 << 19
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -66,48 +67,60 @@ def automaton(table: dict[str, tuple[int, list[str]]]):
     return a if table else None
 
 
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(spans):
-        if out and first <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
+Span = tuple[int, int, int, int]  # first and last word, start and end byte
+
+
+def _merge(spans: set[Span]) -> list[Span]:
+    out: list[Span] = []
+    for s in sorted(spans):
+        if out and s[0] <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], s[1]), out[-1][2], max(out[-1][3], s[3]))
         else:
-            out.append((first, last))
+            out.append(s)
     return out
 
 
-def scan_text(raw: bytes, machine, known: list[tuple[int, int]] = (), items: set[str] = frozenset(), span_words: int = 1):
+def _edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of raw start and end."""
+    inside = np.frombuffer(raw.translate(_WORD), np.uint8) != 32
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def scan_text(raw: bytes, machine, known: list[Span] = (), items: set[str] = frozenset(), span_words: int = 1, window: int = WINDOW, limit: int = 1 << 22):
     """Words, merged word spans (of hits of at least span_words words) with
-    their bytes in the original, items of all hits."""
-    w = words(raw)
-    spans, hit = list(known), set(items)
-    if machine is not None and w:
+    their bytes in the original, items of all hits. A text beyond `limit`
+    bytes is scanned in parts that have window - 1 words in common."""
+    spans, hit, first, at, done = set(known), set(items), 0, 0, 0
+    while True:
+        blank = _BLANK.search(raw, done + limit) if len(raw) - done > limit else None
+        done = blank.start() if blank else len(raw)
+        part = raw[at:done] if at or blank else raw
+        w = words(part)
         norm = b" " + b" ".join(w) + b" "
-        found = list(machine.iter(norm.decode("latin-1")))
+        found = list(machine.iter(norm.decode("latin-1"))) if machine is not None and w else []
+        starts, ends = _edges(part) if found or blank else (None, None)
         if found:
             blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
-            ends = np.searchsorted(blanks, [e for e, _ in found])
-            for end, (_, (n, names)) in zip(ends.tolist(), found):
+            for end, (_, (n, names)) in zip(np.searchsorted(blanks, [e for e, _ in found]).tolist(), found):
                 if n >= span_words:
-                    spans.append((end - n, end - 1))
+                    spans.add((first + end - n, first + end - 1, at + int(starts[end - n]), at + int(ends[end - 1])))
                 hit.update(names)
-    spans = _merge(spans)
-    if not spans:
-        return len(w), [], hit
-    inside = np.frombuffer(raw.translate(_WORD), np.uint8) != 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
-    starts, ends = edge[::2], edge[1::2]
-    return len(w), [{"first": a, "last": b, "start": int(starts[a]), "end": int(ends[b])} for a, b in spans], hit
+        if not blank:
+            return first + len(w), [dict(zip(("first", "last", "start", "end"), s)) for s in _merge(spans)], hit
+        back = min(len(w), window - 1)
+        first += len(w) - back
+        at = at + int(starts[len(w) - back]) if back else done
 
 
-def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str], added: tuple[str, str, str], span_words: int):
+def _pass(text: str, table: dict[str, tuple[int, list[str]]], columns: list[str], added: tuple[str, str, str], span_words: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(table)
         for batch in slices(batches, text, 8 << 20):
             n_words, spans, items = [], [], []
             old = zip(batch.column(added[1]).to_pylist(), batch.column(added[2]).to_pylist())
             for raw, (s, i) in zip(as_bytes(batch.column(text)).to_pylist(), old):
-                n, s, i = scan_text(raw, machine, [(x["first"], x["last"]) for x in s], set(i), span_words)
+                n, s, i = scan_text(raw, machine, [tuple(x[k] for k in ("first", "last", "start", "end")) for x in s], set(i), span_words, window)
                 n_words.append(n)
                 spans.append(s)
                 items.append(sorted(i))
@@ -135,7 +148,7 @@ def scan(
     for b in range(blocks):  # each block's rows are bounded by block_bytes on average
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         table = windows([(r.i, r.t) for r in part.toLocalIterator()], window)
-        out = out.mapInArrow(_pass(text_col, table, columns, added, span_words), schema)
+        out = out.mapInArrow(_pass(text_col, table, columns, added, span_words, window), schema)
     return out
 
 

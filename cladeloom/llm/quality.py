@@ -16,6 +16,7 @@ empty table gives an empty result; ids may be null.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, pieces, slices
 
 MAX_ROWS = 6_000
 DIMENSIONS = 1 << 12
@@ -50,22 +51,43 @@ _LOWER[97:123] = True
 
 
 def measures(raw: bytes) -> dict[str, float]:
-    """What the labellers look at, over the whole text."""
-    w = raw.split()
-    n = len(w)
-    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    """What the labellers look at, over the whole text, taken piece by piece."""
+    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if len(raw) < 1 << 22 else sum(
+        np.bincount(np.frombuffer(raw, np.uint8, min(1 << 22, len(raw) - i), i), minlength=256) for i in range(0, len(raw), 1 << 22)
+    )
+    n = stutters = known = 0
+    kinds: set[bytes] = set()
+    last = None
+    for piece in pieces(raw):
+        w = piece.split()
+        n += len(w)
+        stutters += sum(map(eq, w, w[1:])) + (bool(w) and w[0] == last)
+        known += sum(map(FUNCTION_WORDS.__contains__, piece.lower().split()))
+        kinds.update(w)
+        last = w[-1] if w else last
     letters = int(count[_UPPER].sum() + count[_LOWER].sum()) or 1
-    lines = [x for x in raw.split(b"\n") if x.strip()]
+    lines = again = at = 0
+    seen: set[bytes] = set()
+    while at <= len(raw):
+        end = raw.find(b"\n", at)
+        end = len(raw) if end < 0 else end
+        line = raw[at:end]
+        at = end + 1
+        if line.strip():
+            lines += 1
+            mark = line if len(line) < 64 else hashlib.blake2b(line, digest_size=16).digest()
+            again += mark in seen
+            seen.add(mark)
     return {
         "words": n,
         "symbols": float(count[_SYMBOL].sum()) / (n or 1),
         "upper": float(count[_UPPER].sum()) / letters,
         "shouts": float(count[33]) / (n or 1),
-        "stutter": sum(map(eq, w, w[1:])) / (n or 1),
-        "again": 1 - len(set(lines)) / (len(lines) or 1),
-        "function": sum(map(FUNCTION_WORDS.__contains__, raw.lower().split())) / (n or 1),
+        "stutter": stutters / (n or 1),
+        "again": again / (lines or 1),
+        "function": known / (n or 1),
         "length": len(raw) / (n or 1),
-        "variety": len(set(w)) / (n or 1),
+        "variety": len(kinds) / (n or 1),
     }
 
 
@@ -136,11 +158,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Acc
 def features(raw: bytes, m: dict[str, float], size: int = DIMENSIONS) -> np.ndarray:
     """Hashed byte trigrams (logarithms, unit length) and hashed terms for
     the measures' magnitudes."""
-    d = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    d = np.frombuffer(raw, np.uint8)
     x = np.zeros(size, np.float32)
     bits = np.uint32(32 - (size.bit_length() - 1))
     for i in range(0, max(0, len(d) - 2), 1 << 20):
-        part = d[i : i + (1 << 20) + 2]
+        part = d[i : i + (1 << 20) + 2].astype(np.uint32)
         h = ((part[:-2] << np.uint32(16)) + (part[1:-1] << np.uint32(8)) + part[2:]) * np.uint32(2654435761) >> bits
         x += np.bincount(h, minlength=size).astype(np.float32)
     x = np.log1p(x)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, join_hot, keep_rows, materialise, slices, text_tag
+from .common import as_bytes, discard, join_hot, keep_rows, materialise, pieces, slices, text_tag
 from .components import components
 
 SHINGLE = 3
@@ -46,29 +46,41 @@ _CHUNK = 1 << 14
 _SPACE = 10_000  # table numbers of one space
 
 
+def shingles(raw: bytes, size: int, hashed) -> Iterator[np.ndarray]:
+    """Hashes of all of a text's word shingles (fewer words: the whole
+    sequence), piece after piece of the text."""
+    rest: list[bytes] = []
+    found = False
+    for piece in pieces(raw):
+        w = rest + piece.lower().split()
+        n = max(0, len(w) - size + 1)
+        rest = w[n:]
+        if n:
+            found = True
+            yield np.fromiter(map(hashed, map(b" ".join, zip(*(w[i:] for i in range(size))))), "<u8", n)
+    if rest and not found:
+        yield np.array([hashed(b" ".join(rest))], "<u8")
+
+
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash: a bit is set if over half the shingles' hashes have it."""
     import xxhash
 
-    w = raw.lower().split()
-    if not w:
-        return 0
-    n = max(1, len(w) - size + 1)
-    hashed = map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(w[i:] for i in range(size)))) if len(w) >= size else [b" ".join(w)])
-    counts = np.zeros(64, np.int64)
-    for first in range(0, n, _PART):
-        h = np.fromiter(hashed, "<u8", min(_PART, n - first))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingles(raw, size, partial(xxhash.xxh64_intdigest, seed=SEED)):
+        n += len(hashes)
+        for first in range(0, len(hashes), _PART):
+            h = hashes[first : first + _PART]
+            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def grams(raw: bytes, size: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Distinct hashes of a text's word shingles (fewer words: the whole)."""
+    """Distinct hashes of a text's word shingles (no words: that of nothing)."""
     import xxhash
 
-    w = raw.lower().split()
-    parts = map(b" ".join, zip(*(w[i:] for i in range(size)))) if len(w) >= size else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64)).view(np.int64)
+    found = [*shingles(raw, size, xxhash.xxh3_64_intdigest)] or [np.array([xxhash.xxh3_64_intdigest(b"")], np.uint64)]
+    return np.unique(np.concatenate(found)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tag: bool = False) -> DataFrame:

@@ -567,3 +567,38 @@ def test_warc_round_trip(spark):
     nothing = scratch_path(spark, "test-warc")
     warc.write(pages.limit(0), nothing)
     assert warc.read(spark, nothing).count() == 0
+
+
+# ------------------------------------------------------------ very long texts
+
+
+@pytest.mark.parametrize("limit", [1, 40, 300])
+def test_pieces_change_nothing(rows, limit, monkeypatch):
+    """Texts split in many pieces give what whole texts give."""
+    from cladeloom.llm import common
+
+    texts = [(t or "").encode() for _, t in rows] + [b"", b"  ", b"one", "Ü ß x\ny ".encode() * 40, b"x" * 900 + b" " + b"y" * 900, b"a a\na a\n" * 60]
+    machine = decontam.automaton(decontam.windows([(1, "One two three, four five SIX seven eight nine."), (2, "tau"), (3, "über"), (4, " ".join(texts[3].decode().split()[4:30]))]))
+
+    def all_of(t, limit):
+        return (
+            simhash.fingerprint(t), simhash.grams(t).tolist(), quality.measures(t), toxicity.terms(t).tolist(), decontam.scan_text(t, machine, limit=limit),
+            [x for c in lmscore.chunks([t], 3, 10**9) for _, lead, part in c for x in part[lead:]],
+        )
+
+    want = [all_of(t, 1 << 30) for t in texts]
+    monkeypatch.setattr(common.pieces, "__defaults__", (limit,))
+    assert all(b"".join(common.pieces(t)) == t for t in texts)
+    assert [all_of(t, limit) for t in texts] == want
+
+
+def test_memory_of_a_long_text():
+    """The words of a text of 30 MB are never all held."""
+    import tracemalloc
+
+    t = b" ".join(b"word%d" % (i % 9000) for i in range(3_200_000))
+    tracemalloc.start()
+    simhash.fingerprint(t), quality.measures(t), toxicity.terms(t), decontam.scan_text(t, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6, peak  # a list of the words alone has 170 MB, its five shifted copies as much again
