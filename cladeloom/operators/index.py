@@ -83,8 +83,3 @@ def group_probability(postings: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.select("hog_id").join(chains, "hog_id", "left").join(F.broadcast(total)).select(
         "hog_id", (F.coalesce("cum", F.lit(0)) / F.col("total")).alias("hog_prob")
     )
-
-
-def number_preorder(groups: DataFrame) -> DataFrame:
-    """groups with pre: their rank in the order of paths."""
-    return groups.withColumn("pre", F.row_number().over(Window.orderBy("path")))

@@ -5,15 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else the context's checkpoint folder. A local
+    folder is made only where all tasks run in this process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext._jsc.sc().isLocal():
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cladeloom-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get()
@@ -30,16 +34,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def number_rows(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """df with consecutive numbers in the given order, without one task that
     holds all rows: a range sort, then each partition's count as its offset.
-    Only one count for each partition reaches the driver."""
+    The offsets, one row for each partition, are broadcast."""
     sort = [c if not isinstance(c, str) else F.col(c) for c in order]
     dealt = settle(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    counts = {r["__part"]: (r["n"], r["low"]) for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("low")).collect()}
-    offset, shift = start, F.lit(None).cast("long")
-    for part in sorted(counts):
-        n, low = counts[part]
-        shift = F.when(F.col("__part") == part, F.lit(offset - low)).otherwise(shift)
-        offset += n
-    return dealt.withColumn(name, F.col("__row") + shift).drop("__part", "__row")
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", (before + start - F.col("low")).alias("__shift"))
+    return dealt.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import statistics as st
+from ..functions.identifiers import protein_id
 from ..functions.sequences import K, check_k, sanitise
 from ..operators import build, hierarchy, index
 from ..operators import search as srch
@@ -145,8 +146,7 @@ def create_from_orthoxml(spark: SparkSession, path: str, orthoxml_path: str, tre
         extra = orthoxml.read_references(spark, *references)
         found = build.resolve_references(genes.select("gene", F.col("prot_id").alias("ref")), genes.select("gene", F.col("prot_id").alias("name")), extra)
         genes = genes.join(found.select("gene", "xref"), "gene").withColumn("prot_id", F.col("xref")).drop("xref")
-    ranges = genes.groupBy("species").agg(F.min("gene").alias("min_id"), F.max("gene").alias("max_id"))
-    of_gene = build.species_of_genes(genes.select("gene").distinct(), ranges)
+    of_gene = genes.select("gene", "species").dropDuplicates(["gene"])
     grouped = orthoxml.read_groups(spark, orthoxml_path).join(of_gene, "gene")
     below = hierarchy.all_leaves(scope, "name", "parent").select(F.explode("path").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_below"))
     sizes = build.group_sizes(grouped.withColumn("ord", F.col("ord")), below)
@@ -159,6 +159,32 @@ def create_from_orthoxml(spark: SparkSession, path: str, orthoxml_path: str, tre
     return create(spark, path, levels, entries, records, taxa, known_taxa=known, source="orthoxml", **options)
 
 
+def create_from_browser(spark: SparkSession, path: str, levels: DataFrame, genomes: DataFrame, entries: DataFrame, taxonomy: DataFrame, taxa: DataFrame, **options) -> Database:
+    """Build from the browser's tables, however they were exported.
+
+    levels(fam, id, level, completeness, n_genes, ord); genomes(code, sci_name,
+    ncbi_id, entry_off, n_entries); entries(entry_nr, code, group, seq) with
+    the code of their genome (without it, it is found by the genomes' ranges of
+    entry numbers); taxonomy(name, ncbi_id); taxa as create has them. A genome
+    is known in the tree by its scientific name, else by its code."""
+    in_tree = taxa.select(F.col("name").alias("known"))
+    found = genomes.join(F.broadcast(in_tree), F.col("sci_name") == F.col("known"), "left")
+    by_code = found.filter("known is null").drop("known").join(F.broadcast(in_tree), F.col("code") == F.col("known"))
+    species = found.filter("known is not null").select("code", "entry_off", F.col("known").alias("species")).unionByName(by_code.select("code", "entry_off", F.col("known").alias("species")))
+    if "code" not in entries.columns:
+        ranges = genomes.select(F.col("code").alias("species"), (F.col("entry_off") + 1).alias("min_id"), (F.col("entry_off") + F.col("n_entries")).alias("max_id"))
+        entries = build.species_of_genes(entries.withColumnRenamed("entry_nr", "gene"), ranges).withColumnRenamed("gene", "entry_nr").withColumnRenamed("species", "code")
+    named = entries.join(species, "code").select(
+        protein_id(F.col("code"), F.col("entry_nr") - F.col("entry_off")).alias("prot_id"), "species", "group", F.rtrim("seq").alias("seq")
+    )
+    named = settle(named, "entries")
+    codes = genomes.select(F.col("code").alias("name"), F.col("ncbi_id").alias("by_code"))
+    numbers = taxa.select("name").join(taxonomy.groupBy("name").agg(F.min("ncbi_id").alias("by_name")), "name", "left").join(codes, "name", "left")
+    known = numbers.select("name", F.when(F.col("name") == "LUCA", 0).otherwise(F.coalesce("by_name", "by_code")).cast("int").alias("ncbi_id")).filter("ncbi_id is not null")
+    records = named.select(F.col("prot_id").alias("header"), F.col("prot_id").alias("id"), "seq")
+    return create(spark, path, levels, named.select("prot_id", "species", "group"), records, taxa, known_taxa=known, source="browser", **options)
+
+
 def search_table(db: Database, queries: DataFrame, reference_taxon: str | None = None, include_extant_genes: bool = False, **options) -> DataFrame:
     """Results for queries(ord, qseqid, seq), sanitised."""
     closest = None

@@ -9,10 +9,11 @@ residues only; raw ones have X for everything else.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identifiers as ids
@@ -21,7 +22,9 @@ from .functions import statistics as st
 from .operators import build, hierarchy, index
 from .operators import search as srch
 from .operators.shared import settle, shared_dir, spread
-from .sources import fasta, results
+from .plans import engine
+from .sources import fasta, newick, orthoxml, results
+from .sources.files import checksums
 
 K = 6
 
@@ -33,6 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- binding
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/cladeloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def placed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang and the labels f, g, h of the three groups."""
     d = table(spark, sf_dir, "documents")
@@ -107,6 +114,17 @@ class Bound:
         return srch.search(self.queries, self.postings, self.groups, self.family_prob, K, **options)
 
 
+@lru_cache(maxsize=2)
+def _bound(application: str, sf_dir: str, raw: bool) -> Bound:
+    return Bound(SparkSession.active(), sf_dir, raw)
+
+
+def bound(spark: SparkSession, sf_dir: str, raw: bool = False) -> Bound:
+    """The stored groups and postings of the tables, made once in a Spark
+    application, as one database serves many searches."""
+    return _bound(spark.sparkContext.applicationId, sf_dir, raw)
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -287,25 +305,25 @@ def kmer_codes(spark, sf_dir):
 
 @query(f"WITH {base(RAW)} SELECT kmer, fam, lca FROM post")
 def kmer_lca(spark, sf_dir):
-    b = Bound(spark, sf_dir, raw=True)
+    b = bound(spark, sf_dir, raw=True)
     return b.postings.join(b.family_names, "fam_id").join(b.names, "hog_id").select("kmer", F.col("family").alias("fam"), F.col("ext_id").alias("lca"))
 
 
 @query(f"WITH {base(STRIP)} SELECT lca AS ext_id, count(*) AS n FROM post GROUP BY 1")
 def hog_own_counts(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     return index.own_counts(b.postings).join(b.names, "hog_id").select("ext_id", "n")
 
 
 @query(f"WITH {base(STRIP)} SELECT fam, round(p, 9) AS p FROM fp")
 def family_prob(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     return b.family_prob.join(b.family_names, "fam_id").select(F.col("family").alias("fam"), F.round("fam_prob", 9).alias("p"))
 
 
 @query(f"WITH {base(STRIP)},{PROBABILITY} SELECT id AS ext_id, round(p, 9) AS p FROM hp")
 def hog_prob(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     return index.group_probability(b.postings, b.plain_groups).join(b.names, "hog_id").select("ext_id", F.round("hog_prob", 9).alias("p"))
 
 
@@ -329,21 +347,21 @@ def chain_counts(spark, sf_dir):
 
 @query(f"WITH {base(STRIP)} SELECT item_id, fam, cnt, lo, hi FROM fc")
 def family_hits(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     c = srch.family_counts(b.found).join(b.family_names, "fam_id")
     return c.select(F.col("ord").alias("item_id"), F.col("family").alias("fam"), F.col("count").alias("cnt"), F.col("low").cast("long").alias("lo"), F.col("high").cast("long").alias("hi"))
 
 
 @query(f"WITH {base(RAW)} SELECT item_id, fam, cnt, lo, hi FROM fc")
 def family_hits_raw(spark, sf_dir):
-    b = Bound(spark, sf_dir, raw=True)
+    b = bound(spark, sf_dir, raw=True)
     c = srch.family_counts(b.found).join(b.family_names, "fam_id")
     return c.select(F.col("ord").alias("item_id"), F.col("family").alias("fam"), F.col("count").alias("cnt"), F.col("low").cast("long").alias("lo"), F.col("high").cast("long").alias("hi"))
 
 
 @query(f"WITH {base(STRIP)},{significance()} SELECT item_id, fam, round(s * ln(s / p) + (1 - s) * ln((1 - s) / (1 - p)), 6) AS kl FROM c2")
 def kl_divergence(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     rows = srch.family_counts(b.found).join(srch.query_sizes(b.queries, K), "ord").join(b.family_prob, "fam_id")
     c, n, p = F.col("count"), F.col("n"), F.col("fam_prob")
     rows = rows.filter(c >= st.expected(p, n)).filter(st.covers(F.col("low"), F.col("high"), K)).join(b.family_names, "fam_id")
@@ -352,70 +370,69 @@ def kl_divergence(spark, sf_dir):
 
 @query(f"WITH {base(STRIP)},{significance(1e-2)} SELECT item_id, fam, cnt, round(pvalue, 6) AS pvalue, round(normcount, 6) AS normcount, round(overlap, 6) AS overlap FROM sig")
 def family_pvalue(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     rows = b.significant(1e-2).join(b.family_names, "fam_id").select(F.col("ord").alias("item_id"), F.col("family").alias("fam"), F.col("count").alias("cnt"), "pvalue", "normcount", "overlap")
     return rounded(rows, "pvalue", "normcount", "overlap")
 
 
 @query(f"WITH {base(STRIP)},{significance(1e-2)} SELECT item_id, fam, rank FROM ranked WHERE rank <= 5")
 def family_topn(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     rows = srch.top_families(b.significant(1e-2), 5).join(b.family_names, "fam_id")
     return rows.select(F.col("ord").alias("item_id"), F.col("family").alias("fam"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{CHAIN} SELECT item_id, id, cum, round(score, 6) AS score FROM (SELECT item_id, fam AS id, cum, score FROM rf UNION ALL SELECT item_id, g, cum, score FROM rg UNION ALL SELECT item_id, h, cum, score FROM rh)")
 def hog_scores(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     scored, _ = b.scored()
     return scored.join(b.names, "hog_id").select(F.col("ord").alias("item_id"), F.col("ext_id").alias("id"), "cum", F.round("score", 6).alias("score"))
 
 
 @query(f"{CHAIN_3} SELECT item_id, id, CAST(depth AS BIGINT) AS depth FROM path")
 def best_path(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     path = srch.best_path(*b.scored(1e-2, 3)).join(b.names, "hog_id")
     return path.select(F.col("ord").alias("item_id"), F.col("ext_id").alias("id"), F.col("depth").cast("long").alias("depth"))
 
 
 @query(f"{CHAIN_3} SELECT c.item_id, c.fam, coalesce(pick.id, c.fam) AS id FROM chosen c LEFT JOIN pick ON pick.item_id = c.item_id AND pick.fam = c.fam")
 def placement_top3(spark, sf_dir):
-    b = Bound(spark, sf_dir)
+    b = bound(spark, sf_dir)
     placed = srch.place(srch.best_path(*b.scored(1e-2, 3))).join(b.names, "hog_id").join(b.family_names, "fam_id")
     return placed.select(F.col("ord").alias("item_id"), F.col("family").alias("fam"), F.col("ext_id").alias("id"))
 
 
 @query(f"{CHAIN} {result()}")
 def search_full(spark, sf_dir):
-    return shown(Bound(spark, sf_dir).results())
+    return shown(bound(spark, sf_dir).results())
 
 
 @query(f"{CHAIN_3} {result()}")
 def search_top3(spark, sf_dir):
-    return shown(Bound(spark, sf_dir).results(alpha=1e-2, top_n=3))
+    return shown(bound(spark, sf_dir).results(alpha=1e-2, top_n=3))
 
 
 @query(f"{CHAIN} {result(False)}")
 def search_family_only(spark, sf_dir):
-    return shown(Bound(spark, sf_dir).results(family_only=True))
+    return shown(bound(spark, sf_dir).results(family_only=True))
 
 
-@query(f"{CHAIN} SELECT qseqid, hogid, family_count, qseqlen FROM ({result()})")
+@query(
+    f"{CHAIN} SELECT qseqid, hogid, hoglevel, family_p, family_count, family_normcount, subfamily_score, subfamily_count, qseqlen, subfamily_medianseqlen, qseq_overlap FROM ({result()})"
+)
 def results_round_trip(spark, sf_dir):
     """The result file, written in parallel and read back."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/cladeloom/results-{uuid.uuid4().hex[:12]}"
-    results.write_results(Bound(spark, sf_dir).results(), path)
-    return results.read_results(spark, path)[0].select("qseqid", "hogid", "family_count", "qseqlen")
+    path = fresh_path(spark, "results")
+    results.write_results(bound(spark, sf_dir).results(), path)
+    got = results.read_results(spark, path)[0].withColumns({n: F.col(n).cast("long") for n in ("family_count", "subfamily_count", "qseqlen", "subfamily_medianseqlen")})
+    return rounded(got, "family_p", "family_normcount", "subfamily_score", "qseq_overlap")
 
 
 @query(f"SELECT CAST(item_id AS VARCHAR) AS qseqid, {RAW} AS seq FROM benchmark WHERE length({RAW}) >= 6")
 def fasta_scan(spark, sf_dir):
     """Items written as FASTA records and read back as queries."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/cladeloom/fasta-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, "fasta")
     clean = sq.sanitise(F.coalesce("text", F.lit("")))
     table(spark, sf_dir, "benchmark").select(F.format_string(">%s some words\n%s\n%s", F.col("item_id").cast("string"), F.substring(clean, 1, 60), F.substring(clean, 61, 1 << 30)).alias("value")).write.text(path)
     return fasta.read_queries(spark, path, K).select("qseqid", "seq")
@@ -562,27 +579,45 @@ def hog_taxa(spark, sf_dir):
     return hierarchy.group_taxa(groups, members, taxa).select(F.col("hog_id").alias("id"), "tax")
 
 
-@query("SELECT n_nationkey % 4 AS id, n_regionkey IN (0, 2) AND n_nationkey % 2 = 0 AS implied, CASE WHEN n_regionkey = 0 THEN 'x' END AS t FROM nation WHERE false UNION ALL SELECT * FROM (VALUES (1, false, 'A'), (2, true, 'B'), (3, false, 'C'), (4, false, 'Z')) v")
+FOREST = """
+r AS (SELECT DISTINCT source AS f, source || '.' || CASE WHEN lang IN ('en', 'de') THEN 'north' ELSE 'west' END AS g, source || '.' || lang AS h,
+             CASE WHEN lang IN ('en', 'de') THEN 'north' ELSE 'west' END AS side, lang FROM documents),
+n AS (SELECT f AS id, 'all' AS tax, bool_or(side = 'north') AS below FROM r GROUP BY f
+      UNION ALL SELECT g, max(side), bool_or(lang = 'de') FROM r GROUP BY g
+      UNION ALL SELECT h, max(lang), false FROM r GROUP BY h)"""
+
+
+def forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Sources at taxon all, their halves at north or west, their languages;
+    and the lineage of German."""
+    d = table(spark, sf_dir, "documents")
+    side = F.when(F.col("lang").isin("en", "de"), F.lit("north")).otherwise(F.lit("west"))
+    r = d.select(F.col("source").alias("f"), F.concat_ws(".", "source", side).alias("g"), F.concat_ws(".", "source", "lang").alias("h"), side.alias("side"), "lang").distinct()
+    top = r.select(F.col("f").alias("hog_id"), F.lit(None).cast("string").alias("parent"), F.lit("all").alias("tax"))
+    rows = top.unionByName(r.select(F.col("g").alias("hog_id"), F.col("f").alias("parent"), F.col("side").alias("tax"))).unionByName(r.select(F.col("h").alias("hog_id"), F.col("g").alias("parent"), F.col("lang").alias("tax")))
+    return rows.distinct(), F.array(F.lit("all"), F.lit("north"), F.lit("de"))
+
+
+@query(f"WITH {FOREST} SELECT id, tax IN ('all', 'north', 'de') AND NOT below AS implied FROM n")
 def taxon_implied(spark, sf_dir):
-    """A fixed forest: root at A with a child at B below it; lineage A, B, C."""
-    g = spark.createDataFrame([(1, None, "A"), (2, 1, "B"), (3, 2, "D"), (4, None, "Z")], "hog_id int, parent int, tax string")
-    line = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
-    return hierarchy.taxon_implied(g, line).select(F.col("hog_id").alias("id"), "implied", F.when(F.col("hog_id") == 3, F.lit("C")).otherwise(F.col("tax")).alias("t"))
+    return hierarchy.taxon_implied(*forest(spark, sf_dir)).select(F.col("hog_id").alias("id"), "implied")
 
 
-@query("SELECT * FROM (VALUES (1, 'A'), (2, 'C'), (3, 'D'), (4, 'Z')) v(id, closest)")
+@query(f"WITH {FOREST} SELECT id, CASE WHEN tax IN ('all', 'north', 'de') AND NOT below THEN 'de' ELSE tax END AS closest FROM n")
 def closest_taxon(spark, sf_dir):
-    g = spark.createDataFrame([(1, None, "A"), (2, 1, "B"), (3, 2, "D"), (4, None, "Z")], "hog_id int, parent int, tax string")
-    return hierarchy.closest_taxon(g, F.array(F.lit("A"), F.lit("B"), F.lit("C"))).select(F.col("hog_id").alias("id"), F.col("closest_taxon").alias("closest"))
+    return hierarchy.closest_taxon(*forest(spark, sf_dir)).select(F.col("hog_id").alias("id"), F.col("closest_taxon").alias("closest"))
 
 
-@query(f"WITH {base(STRIP)} SELECT kmer, fam FROM (SELECT DISTINCT f AS fam, substr(seq, CAST(i AS INT), 6) AS kmer FROM d, unnest(range(1, length(seq) - 4)) AS t(i) WHERE lang = 'fr' AND length(seq) >= 6) GROUP BY kmer, fam")
+@query(
+    f"WITH {base(STRIP)} SELECT kmer, fam, CASE WHEN count(DISTINCT h) = 1 THEN min(h) WHEN count(DISTINCT g) = 1 THEN min(g) ELSE fam END AS lca FROM "
+    "(SELECT f AS fam, g, h, substr(seq, CAST(i AS INT), 6) AS kmer FROM d, unnest(range(1, length(seq) - 4)) AS t(i) WHERE lang = 'fr' AND length(seq) >= 6) GROUP BY kmer, fam"
+)
 def hidden_taxa(spark, sf_dir):
     """The index without three of the four species."""
     taxa = spark.createDataFrame([(p[-1], p[-2] if len(p) > 1 else None, p) for p in (["all"], ["all", "north"], ["all", "west"], ["all", "north", "en"], ["all", "north", "de"], ["all", "west", "fr"], ["all", "west", "es"])], "name string, parent string, path array<string>")
     g = settle(bound_groups(spark, sf_dir), "groups")
     post = index.build(sequences(spark, sf_dir, g), g, K, build.hidden_species(taxa, ["north", "es"]))
-    return post.join(g.filter("parent is null").select("fam_id", F.col("ext_id").alias("fam")), "fam_id").select("kmer", "fam")
+    return post.join(g.filter("parent is null").select("fam_id", F.col("ext_id").alias("fam")), "fam_id").join(g.select("hog_id", F.col("ext_id").alias("lca")), "hog_id").select("kmer", "fam", "lca")
 
 
 @query("SELECT id AS ext_id, string_agg(doc, ',' ORDER BY doc) AS genes FROM (SELECT unnest([coalesce(source, '?'), coalesce(source, '?') || '.' || coalesce(lang, '?'), coalesce(source, '?') || '.' || coalesce(lang, '?') || '.b' || (doc_id % 3)]) AS id, CAST(doc_id AS VARCHAR) AS doc FROM documents) GROUP BY 1")
@@ -605,9 +640,13 @@ def duplicate_ids(spark, sf_dir):
     return build.repeated_ids(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("prot_id")))
 
 
-@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+@query("SELECT n_nationkey AS nation, CAST(length(n_name) + 1 AS BIGINT) AS length, md5(n_name || chr(10)) AS md5 FROM nation")
 def md5(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("md5"))
+    """A file for each nation, and the files' checksums."""
+    path = fresh_path(spark, "md5")
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    got = checksums(spark, f"{path}/*/*.txt")
+    return got.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("nation"), "length", "md5")
 
 
 @query("SELECT c_custkey AS gene, coalesce(n.n_name, c.c_name) AS xref FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey < 2")
@@ -630,3 +669,178 @@ def numbered_rows(spark, sf_dir):
     from .operators.shared import number_rows
 
     return number_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), [F.desc("c_acctbal"), F.asc("id")], "n", 1).select("id", "n")
+
+
+# ---------------------------------------------------------------- building from files
+
+#: The SQL side of the world that world_files writes.
+WORLD = """
+j AS (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS j FROM nation WHERE n_nationkey % 2 = 1),
+w AS (SELECT c_custkey AS gene, 'C' || c_custkey AS prot_id, n_name AS species, n.n_nationkey AS ncbi_id, r_name AS region, r_regionkey + 1 AS fam,
+             coalesce('.' || j || CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END, '') AS branch, length(c_name || c_mktsegment) AS seq_len
+      FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN j ON j.n_nationkey = n.n_nationkey)"""
+
+
+def world_files(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """An OrthoXML, a Newick and a FASTA path: nations are species, customers
+    genes, regions groups; nations of odd number were duplicated within their
+    region, customers of even number being the first branch."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def joined(text: Column, when: Column | None = None) -> Column:
+        kept = F.struct("c_custkey", text.alias("x")) if when is None else F.when(when, F.struct("c_custkey", text.alias("x")))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda v: v["x"]), "")
+
+    gene, even = F.format_string('<gene id="%d" protId="C%d"/>', "c_custkey", "c_custkey"), F.col("c_custkey") % 2 == 0
+    ref = F.format_string('<geneRef id="%d"/>', "c_custkey")
+    nations = c.groupBy("n_nationkey", "n_name", "r_regionkey", "r_name").agg(joined(gene).alias("genes"), joined(ref).alias("refs"), joined(ref, even).alias("a"), joined(ref, ~even).alias("b"))
+    name = F.format_string('<property name="TaxRange" value="%s"/>', "n_name")
+    group = lambda inner: F.concat(F.lit("<orthologGroup>"), name, inner, F.lit("</orthologGroup>"))
+    inner = F.when(F.col("n_nationkey") % 2 == 1, F.concat(F.lit("<paralogGroup>"), group(F.col("a")), group(F.col("b")), F.lit("</paralogGroup>"))).otherwise(group(F.col("refs")))
+    species = nations.select(
+        F.lit(1).alias("part"), F.col("n_nationkey").cast("long").alias("at"),
+        F.concat(F.format_string('<species name="%s" NCBITaxId="%d"><database><genes>', "n_name", "n_nationkey"), "genes", F.lit("</genes></database></species>")).alias("x"),
+    )
+    regions = nations.select("r_regionkey", "r_name", "n_nationkey", inner.alias("x")).groupBy("r_regionkey", "r_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "x"))), lambda v: v["x"]), "").alias("x")
+    ).select(
+        F.lit(3).alias("part"), F.col("r_regionkey").cast("long").alias("at"),
+        F.concat(F.format_string('<orthologGroup id="HOG:%07d"><property name="TaxRange" value="%s"/>', F.col("r_regionkey") + 1, "r_name"), "x", F.lit("</orthologGroup>")).alias("x"),
+    )
+    ends = spark.createDataFrame([(0, 0, '<orthoXML xmlns="http://orthoXML.org/2011/">'), (2, 0, "<groups>"), (4, 0, "</groups></orthoXML>")], "part int, at long, x string")
+    xml, tree, fa = fresh_path(spark, "orthoxml"), fresh_path(spark, "newick"), fresh_path(spark, "fasta")
+    species.unionByName(regions).unionByName(ends).orderBy("part", "at").coalesce(1).select("x").write.text(xml)
+    lines = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(
+        F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(F.format_string("'%s':1", "n_name"))), ","), F.lit(")")).alias("x")
+    )
+    lines.agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(F.format_string("%s'%s':1", "x", "r_name"))), ","), F.lit(")all;")).alias("x")).coalesce(1).write.text(tree)
+    table(spark, sf_dir, "customer").select(F.format_string(">C%d a customer\n%s%s", "c_custkey", "c_name", "c_mktsegment")).write.text(fa)
+    return f"{xml}/*.txt", f"{tree}/*.txt", fa
+
+
+@query(f"WITH {WORLD} SELECT gene, prot_id, species, ncbi_id FROM w")
+def orthoxml_genes(spark, sf_dir):
+    return orthoxml.read_genes(spark, world_files(spark, sf_dir)[0]).select("gene", "prot_id", "species", "ncbi_id")
+
+
+@query(f"WITH {WORLD} SELECT species, ncbi_id, min(gene) AS min_id, max(gene) AS max_id FROM w GROUP BY 1, 2")
+def orthoxml_species(spark, sf_dir):
+    return orthoxml.read_species(spark, world_files(spark, sf_dir)[0])
+
+
+@query(f"WITH {WORLD} SELECT fam, printf('HOG:%07d', fam) || branch AS id, gene FROM w")
+def orthoxml_members(spark, sf_dir):
+    """Genes under their branch labels."""
+    return orthoxml.read_members(spark, world_files(spark, sf_dir)[0]).select("fam", "id", "gene")
+
+
+@query(
+    f"WITH {WORLD} SELECT fam, printf('HOG:%07d', fam) || branch AS id, species AS level, count(*) AS n FROM w GROUP BY ALL "
+    "UNION ALL SELECT fam, printf('HOG:%07d', fam), region, count(*) FROM w GROUP BY ALL"
+)
+def orthoxml_groups(spark, sf_dir):
+    return orthoxml.read_groups(spark, world_files(spark, sf_dir)[0]).groupBy("fam", "id", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS name, r_name AS parent, 2 AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'all', 1 FROM region UNION ALL SELECT 'all', NULL, 0")
+def newick_taxa(spark, sf_dir):
+    return newick.taxa_table(newick.read_tree(spark, world_files(spark, sf_dir)[1])).select("name", "parent", "level")
+
+
+def built(spark: SparkSession, sf_dir: str) -> engine.Database:
+    xml, tree, fa = world_files(spark, sf_dir)
+    return engine.create_from_orthoxml(spark, fresh_path(spark, "database"), xml, tree, [fa], min_size=1)
+
+
+@query(f"WITH {WORLD} SELECT prot_id AS ext_id, species, fam || branch AS hog, seq_len FROM w")
+def orthoxml_build(spark, sf_dir):
+    """A database built from files: its members, their groups and sequences."""
+    db = built(spark, sf_dir)
+    return db.members.join(db.groups.select("hog_id", F.col("ext_id").alias("hog")), "hog_id").select("ext_id", "species", "hog", "seq_len")
+
+
+@query(
+    "SELECT * FROM (SELECT 'nr species' AS key, CAST(count(*) AS VARCHAR) AS value FROM nation UNION ALL SELECT 'root level', 'all' UNION ALL SELECT 'k-mer length', '6' "
+    "UNION ALL SELECT 'alphabet size', '21' UNION ALL SELECT 'min fam size', '1' UNION ALL SELECT 'filter logic', 'OR' UNION ALL SELECT 'hidden taxa', '-' UNION ALL SELECT 'source', 'orthoxml')"
+)
+def database_info(spark, sf_dir):
+    return built(spark, sf_dir).metadata.filter(F.col("key").isin("nr species", "root level", "k-mer length", "alphabet size", "min fam size", "filter logic", "hidden taxa", "source"))
+
+
+@query(
+    "SELECT 'C' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || lpad(CAST(c_custkey - lo + 1 AS VARCHAR), 5, '0') AS ext_id, n_name AS species, "
+    "CAST(rank AS VARCHAR) AS hog, length(c_name || c_mktsegment) AS seq_len FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    "JOIN (SELECT c_nationkey AS k, min(c_custkey) AS lo FROM customer GROUP BY 1) ON k = n_nationkey "
+    "JOIN (SELECT c_mktsegment AS m, row_number() OVER (ORDER BY c_mktsegment) AS rank FROM customer GROUP BY 1) ON m = c_mktsegment WHERE n_regionkey < 3"
+)
+def browser_build(spark, sf_dir):
+    """A database from the five browser tables: nations of three regions are
+    genomes of the tree, customers entries, market segments groups."""
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    code = F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    genomes = c.groupBy("n_nationkey", "n_name").agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi")).select(
+        code.alias("code"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lit("")).alias("sci_name"), F.col("n_nationkey").alias("ncbi_id"),
+        (F.col("lo") - 1).alias("entry_off"), (F.col("hi") - F.col("lo") + 1).alias("n_entries"), "n_name",
+    )
+    names = genomes.select(F.col("n_name"), F.when(F.col("sci_name") == "", F.col("code")).otherwise(F.col("sci_name")).alias("name"))
+    entries = c.select(F.col("c_custkey").alias("entry_nr"), code.alias("code"), F.concat(F.lit("HOG:"), "c_mktsegment").alias("group"), F.concat("c_name", "c_mktsegment").alias("seq"))
+    levels = c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_genes")).select(
+        F.dense_rank().over(Window.orderBy("c_mktsegment")).cast("long").alias("fam"), F.concat(F.lit("HOG:"), "c_mktsegment").alias("id"), F.lit("all").alias("level"), F.lit(1.0).alias("completeness"), "n_genes",
+    ).withColumn("ord", F.col("fam"))
+    taxa = names.join(n, "n_name").filter("n_regionkey < 3").select("name", F.lit("all").alias("parent"), F.lit(1).alias("level"), F.array(F.lit("all"), F.col("name")).alias("path")).unionByName(
+        spark.createDataFrame([("all", None, 0, ["all"])], "name string, parent string, level int, path array<string>"))
+    db = engine.create_from_browser(spark, fresh_path(spark, "browser"), levels, genomes.drop("n_name"), entries, spark.createDataFrame([("all", 1)], "name string, ncbi_id int"), taxa)
+    got = db.members.join(db.groups.select("hog_id", F.col("ext_id").alias("hog")), "hog_id").join(names.select(F.col("name").alias("species"), "n_name"), "species")
+    return got.select("ext_id", F.col("n_name").alias("species"), "hog", "seq_len")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c_nationkey, c_mktsegment, c_name) - 1 AS BIGINT) AS row, c_nationkey AS fam, c_mktsegment AS id, c_name AS level FROM customer")
+def level_table(spark, sf_dir):
+    return build.level_table(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("fam"), F.col("c_mktsegment").alias("id"), F.col("c_name").alias("level")))
+
+
+@query("SELECT f AS family, depth, n FROM (SELECT DISTINCT source AS f FROM documents) JOIN (SELECT source AS s, unnest([1, 2, 3]) AS depth, unnest([1, count(DISTINCT lang), count(DISTINCT lang || doc_id % 3)]) AS n FROM documents GROUP BY 1) ON s = f")
+def level_sizes(spark, sf_dir):
+    g = settle(bound_groups(spark, sf_dir), "groups")
+    return build.level_sizes(g).join(g.filter("parent is null").select("fam_id", F.col("ext_id").alias("family")), "fam_id").select("family", "depth", "n")
+
+
+@query(f"WITH {LEVELS}, old AS (SELECT fam, root, row_number() OVER (ORDER BY fam, root) AS fam_id FROM good WHERE fam % 7 <> 0) SELECT CAST(o.fam_id AS INT) AS fam_id, id AS source_id FROM rows r JOIN old o USING (fam, root) WHERE inside")
+def oldest_families(spark, sf_dir):
+    """Root groups at the root taxon only."""
+    levels, taxa = bound_levels(spark, sf_dir)
+    got = build.select_groups(levels, taxa, min_size=15, min_completeness=0.5, logic="AND", root_taxon="all", include_younger=False)
+    return got.select("fam_id", "source_id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS ref, n_name AS xref FROM nation")
+def reference_file(spark, sf_dir):
+    path = fresh_path(spark, "references")
+    rows = table(spark, sf_dir, "nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name").alias("x"))
+    rows.unionByName(spark.createDataFrame([("# a comment",)], "x string")).write.text(path)
+    return orthoxml.read_references(spark, path)
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS qseqid, CAST(NULL AS VARCHAR) AS hogid, CAST(NULL AS BIGINT) AS family_count, CAST(7 + item_id % 5 AS BIGINT) AS qseqlen FROM benchmark")
+def search_of_unknowns(spark, sf_dir):
+    """Queries of X alone have their row and no place."""
+    b = bound(spark, sf_dir)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("qseqid"), F.expr("repeat('X', cast(6 + item_id % 5 as int))").alias("seq"))
+    found = srch.search(q, b.postings, b.groups, b.family_prob, K)
+    return found.select("qseqid", "hogid", F.col("family_count").cast("long").alias("family_count"), F.col("qseqlen").cast("long").alias("qseqlen"))
+
+
+@query(f"SELECT doc_id, regexp_replace(translate({_ASCII}, 'STNQYVRM', 'AADEFIKL'), '[^ACDEFGHIKLPWX]', 'X', 'g') AS seq FROM documents")
+def sanitise_reduced(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sq.sanitise(F.coalesce("text", F.lit("")), True).alias("seq"))
+
+
+@query(
+    "WITH g AS (SELECT DISTINCT source || '.' || lang || '.b' || (doc_id % 3) AS h FROM documents), t AS (SELECT DISTINCT source || '.en' AS top FROM documents UNION SELECT DISTINCT source FROM documents) "
+    "SELECT h AS id, top FROM g JOIN t ON h = top OR starts_with(h, top || '.')"
+)
+def is_descendant(spark, sf_dir):
+    d = placed_documents(spark, sf_dir)
+    lower, tops = d.select(F.col("h").alias("id"), F.col("f")).distinct(), d.select(F.col("f"), F.explode(F.array(F.col("f"), F.concat("f", F.lit(".en")))).alias("top")).distinct()
+    return lower.join(tops, "f").filter(ids.is_descendant(F.col("id"), F.col("top"))).select("id", "top")

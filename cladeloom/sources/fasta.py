@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import K, sanitise
-from .files import expand
+from .files import compressed_otherwise, expand
 
 SCHEMA = "ord long, id string, header string, seq string"
 
 
 def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     """ord, id (first word of the header), header, seq of every record. Plain,
-    gz and bz2 files are split into records by the text reader; xz files,
-    which it cannot open, are read one by one."""
-    packed = [p for p in paths if p.endswith(".xz")]
-    plain = [p for p in paths if not p.endswith(".xz")]
+    gz and bz2 files are split into records by the text reader; files that it
+    cannot open (xz, or compressed without saying so in the name) are read one
+    by one, known by their first bytes."""
+    packed = [p for p in paths if compressed_otherwise(spark, p)]
+    plain = [p for p in paths if p not in packed]
     parts = []
     if plain:
         raw = spark.read.option("lineSep", "\n>").text(plain).select(F.regexp_replace("value", "^\\s*>?", "").alias("r"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: The first bytes of each kind of compressed file.
 MAGIC = {b"\x1f\x8b": gzip.decompress, b"BZh": bz2.decompress, b"\xfd7zXZ\x00": lzma.decompress}
 
+#: The names by which the text reader knows them.
+NAMED = {b"\x1f\x8b": ".gz", b"BZh": ".bz2"}
+
 
 def expand(data: bytes) -> bytes:
     """Plain bytes of a file's content, whatever its name says."""
@@ -21,6 +24,26 @@ def expand(data: bytes) -> bytes:
     return data
 
 
+def compressed_otherwise(spark: SparkSession, path: str) -> bool:
+    """Whether files of the path begin like a compressed file that the text
+    reader would not know by its name. Looks at a few bytes of each."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(where) or []:
+        for f in [status] if status.isFile() else fs.listStatus(status.getPath()):
+            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(f.getPath())
+                try:
+                    head = bytes(b for b in (stream.read() for _ in range(6)) if b >= 0)
+                finally:
+                    stream.close()
+                kind = next((m for m in MAGIC if head.startswith(m)), None)
+                if kind is not None and not f.getPath().getName().endswith(NAMED.get(kind, "\0")):
+                    return True
+    return False
+
+
 def read_small(spark: SparkSession, path: str) -> str:
     """A whole file of metadata size (a tree, a list) as text."""
     row = spark.read.format("binaryFile").load(path).select("content").first()
