@@ -16,7 +16,7 @@ from ..operators import build, hierarchy, index
 from ..operators import search as srch
 from ..operators.shared import settle, spread
 from ..sources import fasta, newick, orthoxml, results
-from ..sources.files import checksums, read_small
+from ..sources.files import checksums, file_sizes, read_small
 
 SCHEMA_VERSION = "1.0"
 TABLES = ("taxa", "groups", "families", "members", "postings", "metadata")
@@ -199,7 +199,12 @@ def search_table(db: Database, queries: DataFrame, reference_taxon: str | None =
 
 
 def search_file(db: Database, query_path: str, out: str | None = None, **options) -> DataFrame:
-    """Results for a FASTA file; with `out` also written as one result file."""
+    """Results for a FASTA file; with `out` also written as one result file.
+    A file that is not there or holds nothing is an error before any search."""
+    if not file_sizes(db.spark, query_path):
+        raise FileNotFoundError(query_path)
+    if not sum(file_sizes(db.spark, query_path)):
+        raise ValueError(f"the query file {query_path} is empty")
     found = search_table(db, fasta.read_queries(db.spark, query_path, db.k, db.reduced), **options)
     if out is not None:
         said = db.settings()

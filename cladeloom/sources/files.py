@@ -24,23 +24,30 @@ def expand(data: bytes) -> bytes:
     return data
 
 
+def _files(spark: SparkSession, path: str) -> list:
+    """The file system and status of each file that the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for s in fs.globStatus(where) or [] for f in ([s] if s.isFile() else fs.listStatus(s.getPath()))]
+    return [(fs, f) for f in found if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+
+
+def file_sizes(spark: SparkSession, path: str) -> list[int]:
+    return [f.getLen() for _, f in _files(spark, path)]
+
+
 def compressed_otherwise(spark: SparkSession, path: str) -> bool:
     """Whether files of the path begin like a compressed file that the text
     reader would not know by its name. Looks at a few bytes of each."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(where) or []:
-        for f in [status] if status.isFile() else fs.listStatus(status.getPath()):
-            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
-                stream = fs.open(f.getPath())
-                try:
-                    head = bytes(b for b in (stream.read() for _ in range(6)) if b >= 0)
-                finally:
-                    stream.close()
-                kind = next((m for m in MAGIC if head.startswith(m)), None)
-                if kind is not None and not f.getPath().getName().endswith(NAMED.get(kind, "\0")):
-                    return True
+    for fs, f in _files(spark, path):
+        stream = fs.open(f.getPath())
+        try:
+            head = bytes(b for b in (stream.read() for _ in range(6)) if b >= 0)
+        finally:
+            stream.close()
+        kind = next((m for m in MAGIC if head.startswith(m)), None)
+        if kind is not None and not f.getPath().getName().endswith(NAMED.get(kind, "\0")):
+            return True
     return False
 
 

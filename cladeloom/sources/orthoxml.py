@@ -110,13 +110,16 @@ def group_rows(top: ET.Element, ord_: int) -> tuple[list[tuple], list[tuple]]:
     return groups, members
 
 
-def events(data: bytes) -> Iterator[tuple[str, ET.Element]]:
-    """('species', element) and ('group', top-level group), freed after use."""
+def events(data: bytes, groups: bool = True) -> Iterator[tuple[str, ET.Element]]:
+    """('species', element) and ('group', top-level group), freed after use.
+    Without groups the file is read no further than to where they begin."""
     depth_of_groups, depth = None, 0
     for what, el in ET.iterparse(io.BytesIO(expand(data)), events=("start", "end")):
         if what == "start":
             depth += 1
             if local(el) == "groups":
+                if not groups:
+                    return
                 depth_of_groups = depth
             continue
         if local(el) == "species":
@@ -133,7 +136,7 @@ def species_rows(el: ET.Element) -> list[tuple]:
     return [(name, int(taxid) if taxid else None, int(g.get("id")), g.get("protId") or g.get("geneId"), g.get("geneId")) for g in el.iter() if local(g) == "gene"]
 
 
-def _scan(spark: SparkSession, path: str, schema: str, rows_of: Callable[[str, ET.Element, int], list[tuple]]) -> DataFrame:
+def _scan(spark: SparkSession, path: str, schema: str, rows_of: Callable[[str, ET.Element, int], list[tuple]], groups: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
     types = files.sparkSession.createDataFrame([], schema).schema
     names = [f.name for f in types.fields]
@@ -143,7 +146,7 @@ def _scan(spark: SparkSession, path: str, schema: str, rows_of: Callable[[str, E
         for batch in batches:
             for data in batch.column("content"):
                 held, ord_ = [], 0
-                for kind, el in events(data.as_py()):
+                for kind, el in events(data.as_py(), groups):
                     held += rows_of(kind, el, ord_)
                     ord_ += 1 << 20
                     if len(held) >= 10_000:
@@ -157,7 +160,7 @@ def _scan(spark: SparkSession, path: str, schema: str, rows_of: Callable[[str, E
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
     """species, ncbi_id, gene, prot_id, gene_id."""
-    return _scan(spark, path, GENES, lambda kind, el, _: species_rows(el) if kind == "species" else [])
+    return _scan(spark, path, GENES, lambda kind, el, _: species_rows(el) if kind == "species" else [], groups=False)
 
 
 def read_species(spark: SparkSession, path: str) -> DataFrame:
@@ -200,5 +203,10 @@ def group_newick(top: ET.Element, name: Callable[[int], str] | None = None, taxa
     return f"{text(top)};"
 
 
+def group_nhx(top: ET.Element, **options) -> str:
+    """As NHX: no comments are attached, so it is the Newick text."""
+    return group_newick(top, **options)
+
+
 def group_xml(top: ET.Element) -> str:
     return ET.tostring(top, encoding="unicode")

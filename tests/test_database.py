@@ -157,6 +157,25 @@ def test_stream(db, world, tmp_path):
     assert got[("q1", 0)] == "1.1a" and got[("again", 1)] == "1.1a" and len(got) == 7
 
 
+def test_query_files(spark, db, world, tmp_path):
+    """Missing and empty files are errors; a gz file needs no name that says so."""
+    import gzip
+
+    with pytest.raises(FileNotFoundError):
+        engine.search_file(db, str(tmp_path / "none.fa"))
+    (tmp_path / "empty.fa").write_text("")
+    with pytest.raises(ValueError):
+        engine.search_file(db, str(tmp_path / "empty.fa"))
+    (tmp_path / "packed").write_bytes(gzip.compress((world / "query.fa").read_bytes()))
+    names = lambda p: sorted(r.qseqid for r in fasta.read_queries(spark, str(p)).collect())
+    assert names(tmp_path / "packed") == names(world / "query.fa")
+
+
+def test_species_are_read_without_groups():
+    data = b"<o><species name='a'><genes><gene id='1' protId='p'/></genes></species><groups><broken"
+    assert [k for k, _ in orthoxml.events(data, groups=False)] == ["species"]
+
+
 def test_cli(spark, db, world, capsys):
     assert main(["info", "--db", db.path], spark) == 0
     assert "k-mer length" in capsys.readouterr().out
