@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, small_batches
+from .common import scratch_path, slices
 from .tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -194,11 +194,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, capacity: in
         if ids:
             yield flush()
 
-    with small_batches(docs.sparkSession):
-        rows.mapInArrow(run, "shard long, name string, attempt string, tokens long, sha256 string").write.parquet(f"{path}/manifest")
-    manifest = docs.sparkSession.read.parquet(f"{path}/manifest")
-    warc._commit(manifest, path)
-    return manifest.drop("attempt")
+    return warc.publish(rows.mapInArrow(run, "shard long, name string, attempt string, tokens long, sha256 string"), path)
 
 
 def read_pieces(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:

@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, scratch_path, small_batches
+from .common import as_bytes, discard, join_hot, materialise, scratch_path
 
 LEAST_REVISIT = 1000
-ROLL_BYTES = 256 << 20
-SHARD_BYTES = 32 << 20
+ROLL_BYTES = 8 << 20  # compressed; a range of SHARD_BYTES of text fills about one file and a half
+SHARD_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
 MANIFEST = "name string, attempt string, records long, bytes long, sha256 string"
@@ -145,7 +145,7 @@ def revisits(pages: DataFrame) -> DataFrame:
         "page_id", F.unhex(F.sha2(F.encode(F.col("html"), "UTF-8"), 256)).alias("key"), F.octet_length("html").alias("n")
     ).filter(F.col("n") >= LEAST_REVISIT)
     best = rows.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    return rows.join(best, "key").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
+    return join_hot(rows, best, ["key"], "rows", rows.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, level: int = 6, date: str = DATE) -> DataFrame:
@@ -160,11 +160,18 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes
     ).unionByName(seen.select(F.lit(0).alias("kind"), "page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "key", F.col("refers_to").cast("long")))
     dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
     listed = dealt.mapInArrow(_writer(path, roll_bytes, level, date), MANIFEST)
-    with small_batches(spark):
-        listed.write.parquet(f"{path}/manifest")
-    manifest = spark.read.parquet(f"{path}/manifest")
-    _commit(manifest, path)
-    return manifest.drop("attempt")
+    return publish(listed, path)
+
+
+def publish(listed: DataFrame, path: str) -> DataFrame:
+    """Run the writing tasks of listed (name, attempt, ..), give the files of
+    the attempts that counted their names, and last of all write the manifest:
+    where there is one, all files that it names are complete."""
+    attempts = materialise(listed, "attempts")
+    _commit(attempts, path)
+    attempts.drop("attempt").write.parquet(f"{path}/manifest")
+    discard(attempts)
+    return attempts.sparkSession.read.parquet(f"{path}/manifest")
 
 
 def _commit(manifest: DataFrame, base: str) -> None:
