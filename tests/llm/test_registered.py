@@ -13,6 +13,7 @@ import pytest
 from test_small import plain_components, plain_cut, plain_fingerprint
 
 from cladeloom.llm import binary, quality, registry, toxicity
+from cladeloom.llm.common import scratch_path
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
@@ -163,3 +164,32 @@ def test_quality(spark, sf):
         x = quality.features(raw, quality.measures(raw))
         z = scorer.bias + sum(float(a) * float(b) for a, b in zip(x, scorer.weights))
         assert abs(got[i].score - 1 / (1 + np.exp(-z))) < 1e-3 and got[i].kept == (got[i].score >= 0.5)
+
+
+def test_pipeline_survivors(spark):
+    """Planted copies, near copies and leaks go, one of each group stays; nulls,
+    repeated ids and rows, and columns with the names the stages use are kept."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text and len(r.text.split()) > 12)
+    words = lambda n: [f"{rng.choice('bcdfgklmn')}{rng.randrange(10**7)}" for _ in range(n)]
+    clean = [" ".join(words(rng.randrange(60, 400))) for _ in range(40)]
+    near = clean[1].split()
+    near[30] = "other"
+    rows = [(i, t) for i, t in enumerate(clean)]
+    rows += [(100, clean[0].replace(" ", "\n")), (101, " ".join(near)), (102, clean[2] + " " + item + " " + clean[3][:100]), (103, None), (104, ""), (105, "  ")]
+    rows += [(5, " ".join(words(90))), (6, clean[6]), (6, clean[6]), (None, " ".join(words(80))), (None, clean[7]), (106, clean[8] + " " + " ".join(words(8)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__tag` string, rows int, stay int, root long, `__k` string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", 1, 2, 3, "k") for i, t in rows], schema).repartition(4)
+    for _, stage in p.STAGES[1:4]:
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(path := scratch_path(spark, "test-stage"))
+        docs = spark.read.parquet(path)
+        assert len(docs.columns) == 10
+    kept = Counter((r.doc_id, r.text) for r in docs.collect())
+    want = Counter((i, t) for i, t in enumerate(clean) if i != 7)
+    want += Counter([(105, "  "), rows[46], rows[49], (None, clean[7])])
+    assert kept == want
+    packed = p.STAGES[4][1](spark, docs, SF)
+    assert packed.count() >= sum(want.values())
