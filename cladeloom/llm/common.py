@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FILTER_BITS = 1 << 26  # of a broadcast Bloom filter
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``
     of the session, else the context's checkpoint folder. Only where neither
@@ -156,20 +159,32 @@ def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs that verdict (id, tag, stay, rows; one row for each id
     and text_tag, stay 0 or 1) lets stay.
 
+    Only rows whose id may be one from which rows go are shuffled, with their
+    texts; a Bloom filter of those ids (over 16 bits for each, FILTER_BITS at
+    most) is broadcast in words of 64 bits, and what it rules out stays where
+    it is.
+    A full filter lets more rows pass and loses none.
+
     Rows are found by id and tag together, so a hot text is spread by its ids
     and a repeated id by its texts; rows that repeat both are found by a
     broadcast where they are many. Of them one stays, the least in the order
     of all columns. Null ids match each other.
     """
-    n, k, t, stay, rows, row = fresh(docs.columns, "__n", "__k", "__t", "__stay", "__rows", "__row")
+    n, k, t, stay, rows, row, word, bits = fresh(docs.columns, "__n", "__k", "__t", "__stay", "__rows", "__row", "__word", "__bits")
     def named(c: Column) -> list[Column]:
         return [c.isNull().alias(n), F.coalesce(c.cast("string"), F.lit("")).alias(k)]
 
     v = verdict.filter("stay < rows").select(*named(F.col("id")), F.col("tag").alias(t), F.col("stay").alias(stay), F.col("rows").alias(rows))
-    most = verdict.agg(F.sum("rows")).first()[0] or 0
-    tagged = docs.select("*", *named(F.col(id_col)), text_tag(F.col(text_col)).alias(t))
-    joined = join_hot(tagged, v, [n, k, t], rows, most, how="left")
-    free = joined.filter(F.col(stay).isNull()).select(*docs.columns)
+    most, number = verdict.agg(F.sum("rows"), F.count_if(F.col("stay") < F.col("rows"))).first()
+    size = min(FILTER_BITS, max(64, 1 << (16 * number).bit_length()))  # few sizes, so that compiled plans serve again
+    place = F.pmod(F.xxhash64(n, k), F.lit(size))
+    at, bit = F.floor(place / 64).alias(word), (place % 64).cast("int")
+    words = v.select(at, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    probed = docs.select("*", *named(F.col(id_col))).withColumn(word, at).join(F.broadcast(words), word, "left")
+    maybe = F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))
+    asked = materialise(probed.filter(maybe).select(*docs.columns, n, k, text_tag(F.col(text_col)).alias(t)), "asked")
+    joined = join_hot(asked, v, [n, k, t], rows, most or 0, how="left")
+    free = probed.filter(~maybe).select(*docs.columns).unionByName(joined.filter(F.col(stay).isNull()).select(*docs.columns))
     if v.filter(F.col(stay) > 0).isEmpty():
         return free
     some = joined.filter(F.col(stay) > 0).groupBy(n, k, t).agg(F.min(F.struct(*docs.columns)).alias(row))

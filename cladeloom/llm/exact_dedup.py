@@ -30,12 +30,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, keep_rows, materialise, scratch_path, text_tag
+from .common import FILTER_BITS, join_hot, keep_rows, materialise, scratch_path, text_tag
 
 #: The six ASCII white-space characters that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bits of the filter of hits that is broadcast, at most (2 to the 20th words).
-FILTER_BITS = 1 << 26
 
 
 def normalised(text: Column) -> Column:

@@ -569,6 +569,51 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, nothing).count() == 0
 
 
+# ------------------------------------------------------------ removal of rows
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    none = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_removal_shuffles_only_what_may_go(spark):
+    """The texts of rows that stay are not shuffled to find the few that go."""
+    from cladeloom.llm import common
+
+    rng = random.Random(8)
+    docs = common.materialise(spark.createDataFrame([(i, rng.randbytes(2000).hex()) for i in range(2000)], "doc_id long, text string").repartition(4), "test-docs")
+    verdict = docs.select(F.col("doc_id").alias("id"), common.text_tag(F.col("text")).alias("tag"), (F.col("doc_id") % 100 != 7).cast("long").alias("stay"), F.lit(1).cast("long").alias("rows"))
+    verdict = common.materialise(verdict, "test-verdict")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be broadcast
+    try:
+        before = shuffled_bytes(spark)
+        left = [r.doc_id for r in common.keep_rows(docs, verdict).collect()]
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sorted(left) == [i for i in range(2000) if i % 100 != 7]
+    assert moved < 1_000_000, moved  # the texts have 8 MB
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_removal_under_any_filter(spark, docs, rows, bits, monkeypatch):
+    """A filter that is full lets every row pass and changes nothing."""
+    from cladeloom.llm import common
+
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    held = Counter((i, t or "") for i, t in rows)
+    for every in (1, 2, 3):  # all texts, every second, every third go but for one row, or wholly
+        go = {key: n % 2 for n, key in enumerate(sorted(held, key=str)) if not n % every}
+        verdict = spark.createDataFrame([(i, hashlib.sha256(t.encode()).digest(), go.get((i, t), held[i, t]), held[i, t]) for i, t in held], "id long, tag binary, stay long, rows long")
+        got = Counter((r.doc_id, r.text or "") for r in common.keep_rows(docs, verdict).collect())
+        assert got == Counter({key: n for key in held if (n := min(held[key], go.get(key, held[key])))})
+
+
 # ------------------------------------------------------------ very long texts
 
 
