@@ -155,6 +155,26 @@ def text_tag(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
 
+def named_id(c: Column, null: str, text: str) -> list[Column]:
+    """An identifier as two columns that are never null."""
+    return [c.isNull().alias(null), F.coalesce(c.cast("string"), F.lit("")).alias(text)]
+
+
+def maybe_among(docs: DataFrame, ids: DataFrame, names: list[str], id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose id is surely not one of ids (with named_id's two
+    columns, called `names`), and the others; both have those columns. A Bloom
+    filter of 16 bits for each id, FILTER_BITS at most, is broadcast in words
+    of 64 bits; a full one only lets more rows be asked about."""
+    word, bits = fresh([*docs.columns, *names], "__word", "__bits")
+    size = min(FILTER_BITS, max(64, 1 << (16 * ids.count()).bit_length()))  # few sizes, so that compiled plans serve again
+    place = F.pmod(F.xxhash64(*names), F.lit(size))
+    at, bit = F.floor(place / 64).alias(word), (place % 64).cast("int")
+    words = ids.select(at, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    probed = docs.select("*", *named_id(F.col(id_col), *names)).withColumn(word, at).join(F.broadcast(words), word, "left")
+    maybe = F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))
+    return probed.filter(~maybe).drop(word, bits), probed.filter(maybe).drop(word, bits)
+
+
 def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that verdict (id, tag, stay, rows; one row for each id
     and text_tag, stay 0 or 1) lets stay.
@@ -170,21 +190,13 @@ def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_
     broadcast where they are many. Of them one stays, the least in the order
     of all columns. Null ids match each other.
     """
-    n, k, t, stay, rows, row, word, bits = fresh(docs.columns, "__n", "__k", "__t", "__stay", "__rows", "__row", "__word", "__bits")
-    def named(c: Column) -> list[Column]:
-        return [c.isNull().alias(n), F.coalesce(c.cast("string"), F.lit("")).alias(k)]
-
-    v = verdict.filter("stay < rows").select(*named(F.col("id")), F.col("tag").alias(t), F.col("stay").alias(stay), F.col("rows").alias(rows))
-    most, number = verdict.agg(F.sum("rows"), F.count_if(F.col("stay") < F.col("rows"))).first()
-    size = min(FILTER_BITS, max(64, 1 << (16 * number).bit_length()))  # few sizes, so that compiled plans serve again
-    place = F.pmod(F.xxhash64(n, k), F.lit(size))
-    at, bit = F.floor(place / 64).alias(word), (place % 64).cast("int")
-    words = v.select(at, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
-    probed = docs.select("*", *named(F.col(id_col))).withColumn(word, at).join(F.broadcast(words), word, "left")
-    maybe = F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))
-    asked = materialise(probed.filter(maybe).select(*docs.columns, n, k, text_tag(F.col(text_col)).alias(t)), "asked")
+    n, k, t, stay, rows, row = fresh(docs.columns, "__n", "__k", "__t", "__stay", "__rows", "__row")
+    v = verdict.filter("stay < rows").select(*named_id(F.col("id"), n, k), F.col("tag").alias(t), F.col("stay").alias(stay), F.col("rows").alias(rows))
+    most = verdict.agg(F.sum("rows")).first()[0]
+    untouched, probed = maybe_among(docs, v, [n, k], id_col)
+    asked = materialise(probed.select(*docs.columns, n, k, text_tag(F.col(text_col)).alias(t)), "asked")
     joined = join_hot(asked, v, [n, k, t], rows, most or 0, how="left")
-    free = probed.filter(~maybe).select(*docs.columns).unionByName(joined.filter(F.col(stay).isNull()).select(*docs.columns))
+    free = untouched.select(*docs.columns).unionByName(joined.filter(F.col(stay).isNull()).select(*docs.columns))
     if v.filter(F.col(stay) > 0).isEmpty():
         return free
     some = joined.filter(F.col(stay) > 0).groupBy(n, k, t).agg(F.min(F.struct(*docs.columns)).alias(row))

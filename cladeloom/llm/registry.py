@@ -6,6 +6,7 @@ from .bestfit import op3_best_fit_packing
 from .binary import op7_token_binary
 from .decontam import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .lines import OP11_SQL, op11_line_dedup
 from .lmscore import OP6_SQL, op6_lm_score
 from .quality import op2_quality
 from .simhash import op5_simhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 SQL = {
@@ -31,4 +33,5 @@ SQL = {
     "op4_exact_dedup": OP4_SQL,
     "op6_lm_score": OP6_SQL,
     "op10_warc": OP10_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
