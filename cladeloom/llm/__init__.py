@@ -1,5 +1,5 @@
 """Operators for preparing language-model training text.
 
-Ten operators, one module each; ``registry`` holds their driver queries and
+One module for each operator; ``registry`` holds their driver queries and
 the SQL twins. Nothing outside this folder imports it.
 """
