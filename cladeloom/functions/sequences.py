@@ -11,6 +11,9 @@ ALPHABET_13 = "ACDEFGHIKLPWX"
 MERGED_FROM = "STNQYVRM"
 MERGED_INTO = "AADEFIKL"
 
+#: Digits of numbers in bases up to 36.
+DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
 K = 6
 MAX_K = 7
 
@@ -47,14 +50,28 @@ def radix_weights(k: int, reduced: bool = False) -> list[int]:
     return [n ** (k - 1 - i) for i in range(k)]
 
 
+def digits(seq: Column, reduced: bool = False) -> Column:
+    """Each residue as the digit that conv reads in base of the alphabet's size."""
+    letters = alphabet(reduced)
+    return F.translate(seq, letters, DIGITS[: len(letters)])
+
+
 def kmer_code(kmer: Column, k: int, reduced: bool = False) -> Column:
     """The k-mer as a number in base of the alphabet's size."""
+    check_k(k)
+    return F.conv(digits(kmer, reduced), len(alphabet(reduced)), 10).cast("long")
+
+
+def kmer_of(code: Column, k: int, reduced: bool = False) -> Column:
+    """The k-mer of a code."""
     letters = alphabet(reduced)
-    digits = [(F.instr(F.lit(letters), F.substring(kmer, i + 1, 1)) - 1).cast("long") * w for i, w in enumerate(radix_weights(k, reduced))]
-    out = digits[0]
-    for d in digits[1:]:
-        out = out + d
-    return out
+    return F.concat(*[F.substring(F.lit(letters), (F.floor(code / w) % len(letters)).cast("int") + 1, F.lit(1)) for w in radix_weights(k, reduced)])
+
+
+def explode_codes(rows: DataFrame, seq: str, k: int, keep: list[str], reduced: bool = False) -> DataFrame:
+    """keep, code: a row for every place of every sequence of at least k residues."""
+    places = explode_kmers(rows.withColumn(seq, digits(F.col(seq), reduced)), seq, k, keep)
+    return places.select(*keep, F.conv("kmer", len(alphabet(reduced)), 10).cast("long").alias("code"))
 
 
 def explode_kmers(rows: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:

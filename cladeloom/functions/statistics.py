@@ -36,26 +36,50 @@ def passes_divergence(count: Column, n: Column, p: Column, alpha: float = ALPHA)
     return divergence(count, n, p) > F.lit(-math.log(alpha)) / n
 
 
-def log_choose(n: Column, x: Column) -> Column:
-    less = F.least(x, n - x).cast("int")
-    terms = F.when(less > 0, F.sequence(F.lit(1), F.when(less > 0, less).otherwise(F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(terms, F.lit(0.0), lambda s, i: s + F.ln((n - less + i) / i))
+#: Ln n! less Stirling's approximation of it, for n below 16.
+STIRLING = [0.0, *(math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16))]
+
+
+def stirling_error(n: Column) -> Column:
+    """ln n! less Stirling's approximation."""
+    z = n.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680) / (z * z)) / (z * z)) / (z * z)) / z
+    return F.when(n < len(STIRLING), F.element_at(F.array(*[F.lit(x) for x in STIRLING]), F.least(n, F.lit(len(STIRLING) - 1)).cast("int") + 1)).otherwise(series)
+
+
+def deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x; the mean itself for x = 0."""
+    return F.when(x > 0, x * F.log1p((x - mean) / mean) - (x - mean)).otherwise(mean)
+
+
+def log_term(x: Column, n: Column, p: Column) -> Column:
+    """ln P(X = x) for X ~ Binomial(n, p), 0 < x < n: the saddle-point form, in
+    which no large logarithms cancel."""
+    q = 1 - p
+    return (
+        stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, n * p) - deviance(n - x, n * q)
+        + 0.5 * F.ln(n / (2 * math.pi * x * (n - x)))
+    )
 
 
 def neg_log_tail(x: Column, n: Column, p: Column) -> Column:
-    """-ln P(X >= x) for X ~ Binomial(n, p), where x is at least n p (so the
-    terms of the tail fall). The sum of the ratios to the first term stands
-    for the tail; nothing is lost to underflow."""
-    first = log_choose(n, x) + F.when(x > 0, x * F.ln(p)).otherwise(F.lit(0.0)) + F.when(x < n, (n - x) * F.ln(1 - p)).otherwise(F.lit(0.0))
-    rest = F.when(x < n, F.sequence((x + 1).cast("int"), F.when(x < n, n).otherwise(x + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] * ((n - j + 1) / j) * (p / (1 - p))
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    total = F.aggregate(rest, start, step, lambda acc: acc["total"])
-    return F.when(x <= 0, F.lit(0.0)).when(p >= 1, F.lit(0.0)).otherwise(-(first + F.ln(total)))
+    """-ln P(X >= x) for X ~ Binomial(n, p), where x is at least n p: the first
+    term times the continued fraction of the regularised incomplete beta
+    function with a = x and b = n - x + 1, evaluated from its end. It needs
+    some 10 cube roots of n steps near the mean and ends by itself after 2 b."""
+    a, b = x.cast("double"), (n - x + 1).cast("double")
+    steps = F.least(2 * b, 40 + F.ceil(10 * F.cbrt(n.cast("double")))).cast("int")
+
+    def coefficient(j: Column) -> Column:
+        m = F.floor(j / 2).cast("double")
+        even = m * (b - m) * p / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * p / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.when(j % 2 == 0, even).otherwise(odd)
+
+    inside = (x > 0) & (x < n)
+    fraction = F.aggregate(F.sequence(F.when(inside, steps).otherwise(F.lit(1)), F.lit(1), F.lit(-1)), F.lit(1.0), lambda c, j: 1 + coefficient(j) / c)
+    tail = -(log_term(x, n, p) + F.log1p(-p) - F.ln(fraction))
+    return F.when((x <= 0) | (p >= 1), F.lit(0.0)).when(x >= n, -n * F.ln(p)).otherwise(tail)
 
 
 def corrected(neg_log_p: Column, n_families: Column) -> Column:

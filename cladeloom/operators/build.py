@@ -102,9 +102,11 @@ def check_sequences(members: DataFrame) -> None:
 
 
 def median_lengths(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """hog_id, median_seqlen of all proteins at or below; halves are cut off."""
-    below = members.select("hog_id", "seq_len").join(closure(groups, "hog_id"), members.hog_id == F.col("node")).select(F.col("ancestor").alias("hog_id"), "seq_len")
-    return below.groupBy("hog_id").agg(F.median("seq_len").cast("int").alias("median_seqlen"))
+    """hog_id, median_seqlen of all proteins at or below; halves are cut off.
+    Groups above get the groups' length histograms, not their proteins."""
+    own = members.groupBy("hog_id", "seq_len").agg(F.count(F.lit(1)).alias("n"))
+    below = own.join(closure(groups, "hog_id"), own.hog_id == F.col("node")).groupBy(F.col("ancestor").alias("hog_id"), "seq_len").agg(F.sum("n").alias("n"))
+    return below.groupBy("hog_id").agg(F.percentile("seq_len", 0.5, F.col("n")).cast("int").alias("median_seqlen"))
 
 
 def group_sizes(group_genes: DataFrame, species_below: DataFrame) -> DataFrame:

@@ -10,33 +10,53 @@ before the shuffle; paths are looked up afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequences import K, explode_kmers
+from ..functions.sequences import K, explode_codes
 from .hierarchy import common_path
-from .shared import settle
+from .shared import bucket_count, read_buckets, settle, shared_dir, write_buckets
 
 
-def build(sequences: DataFrame, groups: DataFrame, k: int = K, hidden: DataFrame | None = None) -> DataFrame:
-    """(kmer, fam_id, hog_id). sequences(hog_id, species, seq), groups(hog_id,
+def build(sequences: DataFrame, groups: DataFrame, k: int = K, hidden: DataFrame | None = None, reduced: bool = False) -> DataFrame:
+    """(code, fam_id, hog_id), code being the k-mer as a number. sequences(hog_id, species, seq), groups(hog_id,
     fam_id, pre, path). Sequences of hidden species (column species) are not
     indexed. K-mers with X are indexed like others."""
     rows = sequences if hidden is None else sequences.join(hidden.select("species"), "species", "left_anti")
     placed = rows.join(groups.select("hog_id", "fam_id", "pre"), "hog_id").select("fam_id", "pre", "seq")
-    spans = explode_kmers(placed, "seq", k, ["fam_id", "pre"]).groupBy("kmer", "fam_id").agg(F.min("pre").alias("low"), F.max("pre").alias("high"))
+    spans = explode_codes(placed, "seq", k, ["fam_id", "pre"], reduced).groupBy("code", "fam_id").agg(F.min("pre").alias("low"), F.max("pre").alias("high"))
     return lowest(spans, groups)
 
 
 def lowest(spans: DataFrame, groups: DataFrame) -> DataFrame:
-    """(kmer, fam_id, low, high) -> (kmer, fam_id, hog_id)."""
+    """(code, fam_id, low, high) -> (code, fam_id, hog_id)."""
     ends = groups.select("pre", F.col("hog_id").alias("own"), "path")
     pairs = spans.filter("low <> high").select("low", "high").distinct()
     met = pairs.join(ends.withColumnRenamed("pre", "low").withColumnRenamed("path", "a").drop("own"), "low").join(
         ends.withColumnRenamed("pre", "high").withColumnRenamed("path", "b").drop("own"), "high"
     ).select("low", "high", F.element_at(common_path(F.col("a"), F.col("b")), -1).alias("hog_id"))
     one = spans.filter("low = high").join(ends.select(F.col("pre").alias("low"), F.col("own").alias("hog_id")), "low")
-    return one.select("kmer", "fam_id", "hog_id").unionByName(spans.join(met, ["low", "high"]).select("kmer", "fam_id", "hog_id"))
+    return one.select("code", "fam_id", "hog_id").unionByName(spans.join(met, ["low", "high"]).select("code", "fam_id", "hog_id"))
+
+
+#: Columns of stored postings, bucketed by code.
+POSTINGS = "code long, fam_id int, hog_id long"
+
+
+def store(postings: DataFrame, path: str | None = None) -> tuple[str, int]:
+    """Write postings in buckets of their code; the path and their number."""
+    spark = postings.sparkSession
+    path = path or f"{shared_dir(spark)}/cladeloom/postings-{uuid.uuid4().hex[:12]}"
+    made = settle(postings.select("code", F.col("fam_id").cast("int").alias("fam_id"), F.col("hog_id").cast("long").alias("hog_id")), "unsorted")
+    buckets = bucket_count(made)
+    write_buckets(made, "code", buckets, path)
+    return path, buckets
+
+
+def stored(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    return read_buckets(spark, "code", buckets, path, POSTINGS)
 
 
 def own_counts(postings: DataFrame) -> DataFrame:
@@ -46,9 +66,8 @@ def own_counts(postings: DataFrame) -> DataFrame:
 
 def family_probability(postings: DataFrame) -> DataFrame:
     """fam_id, fam_prob: the postings of the family's k-mers over all postings."""
-    # A k-mer has one posting for each family at most, so no window is large.
-    counted = postings.select("fam_id", F.count(F.lit(1)).over(Window.partitionBy("kmer")).alias("df"))
-    occurrences = counted.groupBy("fam_id").agg(F.sum("df").alias("occ"))
+    spread = postings.groupBy("code").agg(F.count(F.lit(1)).alias("df"))
+    occurrences = postings.select("code", "fam_id").join(spread, "code").groupBy("fam_id").agg(F.sum("df").alias("occ"))
     total = postings.agg(F.count(F.lit(1)).alias("total"))
     return occurrences.join(F.broadcast(total)).select("fam_id", (F.col("occ") / F.col("total")).alias("fam_prob"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statistics as st
-from ..functions.sequences import K, distinct_kmers, reported_length, with_x
+from ..functions.sequences import K, distinct_kmers, kmer_code, reported_length, with_x
 from .index import heaviest_chains
 from .shared import settle
 
@@ -33,10 +33,33 @@ def query_sizes(queries: DataFrame, k: int = K) -> DataFrame:
     )
 
 
-def hits(queries: DataFrame, postings: DataFrame, k: int = K) -> DataFrame:
-    """ord, kmer, pos, fam_id, hog_id. The postings are joined as they stand;
-    Catalyst broadcasts the query k-mers where their size allows."""
-    return query_kmers(queries, k).join(postings, "kmer")
+#: Distinct query k-mers up to which a search reads only row groups near them, and the number of ranges of codes.
+FEW_CODES = 4096
+RANGES = 64
+
+
+def near(postings: DataFrame, codes: DataFrame) -> DataFrame:
+    """The postings in at most RANGES ranges that hold all codes, parted at
+    their widest gaps, where the codes are few (a micro-batch): the scan then
+    skips the row groups between. Only the scan changes; no hit is lost."""
+    few = sorted(r.code for r in codes.select("code").distinct().limit(FEW_CODES + 1).collect())
+    if not few or len(few) > FEW_CODES:
+        return postings
+    widest = sorted(sorted(range(1, len(few)), key=lambda i: few[i - 1] - few[i])[: RANGES - 1])
+    ends = zip([0, *widest], [*widest, len(few)])
+    within = [F.col("code").between(few[a], few[b - 1]) for a, b in ends]
+    while len(within) > 1:
+        within = [x | y for x, y in zip(within[::2], within[1::2])] + within[len(within) // 2 * 2 :]
+    return postings.filter(within[0])
+
+
+def hits(queries: DataFrame, postings: DataFrame, k: int = K, reduced: bool = False) -> DataFrame:
+    """ord, code, pos, fam_id, hog_id. The query k-mers go to the postings:
+    these are stored in buckets of their code and are neither shuffled nor
+    sorted, while the queries' side is hashed."""
+    asked = query_kmers(queries, k).select("ord", kmer_code(F.col("kmer"), k, reduced).alias("code"), "pos")
+    asked = settle(asked, "asked")
+    return asked.hint("shuffle_hash").join(near(postings, asked), "code")
 
 
 def family_counts(found: DataFrame) -> DataFrame:
@@ -108,15 +131,20 @@ def place(path: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def gene_sets(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """hog_id, subfamily_geneset: all member identifiers at or below, by comma."""
-    below = members.join(groups.select(F.explode("path").alias("at"), F.col("hog_id").alias("hog_id")), "hog_id")
+def gene_sets(members: DataFrame, groups: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """hog_id, subfamily_geneset: all member identifiers at or below each chosen
+    group (column hog_id; all groups without it), by comma. Only groups below a
+    chosen one meet the members, so the names are as many as the output's."""
+    pairs = groups.select(F.explode("path").alias("at"), "hog_id")
+    if chosen is not None:
+        pairs = pairs.join(chosen.select(F.col("hog_id").alias("at")).distinct(), "at", "left_semi")
+    below = members.join(pairs, "hog_id")
     return below.groupBy(F.col("at").alias("hog_id")).agg(F.array_join(F.array_sort(F.collect_list("ext_id")), ",").alias("subfamily_geneset"))
 
 
 def search(
     queries: DataFrame, postings: DataFrame, groups: DataFrame, families: DataFrame, k: int = K, threshold: float = THRESHOLD, alpha: float = st.ALPHA,
-    top_n: int = TOP_N, family_only: bool = False, members: DataFrame | None = None, closest: DataFrame | None = None, compatible: bool = True,
+    top_n: int = TOP_N, family_only: bool = False, members: DataFrame | None = None, closest: DataFrame | None = None, compatible: bool = True, reduced: bool = False,
 ) -> DataFrame:
     """The result table. queries(ord, qseqid, seq), sanitised; those shorter
     than k are left out. groups(hog_id, ext_id, fam_id, parent, depth, path,
@@ -126,7 +154,7 @@ def search(
     zero are null. With members(hog_id, ext_id) the genes of the chosen group
     are listed, with closest(hog_id, closest_taxon) its closest taxon."""
     asked = queries.filter(F.length("seq") >= k)
-    found = settle(hits(asked, postings, k), "hits")  # the index is probed once; what follows reads the hits
+    found = settle(hits(asked, postings, k, reduced), "hits")  # the index is probed once; what follows reads the hits
     lengths = asked.select("ord", F.length("seq").alias("len"))
     chosen = settle(top_families(significant(family_counts(found), query_sizes(asked, k), families, k, alpha, lengths), top_n), "chosen")
     if family_only:
@@ -139,7 +167,8 @@ def search(
     )
     more = []
     if members is not None:
-        rows = rows.join(gene_sets(members, groups), "hog_id", "left")
+        rows = settle(rows, "placed")
+        rows = rows.join(gene_sets(members, groups, rows), "hog_id", "left")
         more.append("subfamily_geneset")
     if closest is not None:
         rows = rows.join(closest, "hog_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -31,6 +32,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a bucket that are aimed at, bytes of its row groups.
+BUCKET_ROWS = 4_000_000
+ROW_GROUP = 1 << 20
+
+
+def bucket_count(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
+
+
+def write_buckets(df: DataFrame, key: str, buckets: int, path: str) -> None:
+    """df as Parquet files, one for each bucket of the key's hash, sorted by the
+    key in small row groups: a join on the key moves only its other side, and a
+    range of keys reads few row groups."""
+    name = f"cladeloom_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+    dealt.write.option("path", path).option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", 5000).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+
+
+def read_buckets(spark: SparkSession, key: str, buckets: int, path: str, schema: str) -> DataFrame:
+    """The files of write_buckets as a bucketed table, known to this session's
+    catalog by a name that follows from the path."""
+    name = f"cladeloom_{hashlib.md5(path.encode()).hexdigest()}"
+    where = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(name)
+
+
 def number_rows(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """df with consecutive numbers in the given order, without one task that
     holds all rows: a range sort, then each partition's count as its offset.

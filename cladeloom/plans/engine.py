@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics as st
 from ..functions.identifiers import protein_id
-from ..functions.sequences import K, check_k, sanitise
+from ..functions.sequences import K, check_k, kmer_code, sanitise
 from ..operators import build, hierarchy, index
 from ..operators import search as srch
 from ..operators.shared import settle, spread
 from ..sources import fasta, newick, orthoxml, results
 from ..sources.files import checksums, file_sizes, read_small
 
-SCHEMA_VERSION = "1.0"
+SCHEMA_VERSION = "1.1"
 TABLES = ("taxa", "groups", "families", "members", "postings", "metadata")
 
 
@@ -27,7 +27,8 @@ class Database:
     """Tables: taxa(name, parent, level, path, ncbi_id), groups(hog_id, ext_id,
     fam_id, parent, depth, path, pre, level, n_genes, completeness,
     median_seqlen, hog_prob), families(fam_id, fam_prob, root), members(ext_id,
-    species, hog_id, seq_len), postings(kmer, fam_id, hog_id), metadata(key, value)."""
+    species, hog_id, seq_len), postings(code, fam_id, hog_id) in buckets of
+    the code, metadata(key, value)."""
 
     spark: SparkSession
     path: str
@@ -35,8 +36,17 @@ class Database:
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(name)
+        if name == "postings":
+            return self._postings()
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def _postings(self) -> DataFrame:
+        said = self.settings()
+        if "postings buckets" not in said:  # schema 1.0: sorted by the k-mer itself
+            old = self.spark.read.parquet(f"{self.path}/postings")
+            return old.select(kmer_code(F.col("kmer"), int(said["k-mer length"]), said["alphabet size"] == "13").alias("code"), "fam_id", "hog_id")
+        return index.stored(self.spark, f"{self.path}/postings", int(said["postings buckets"]))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
@@ -100,7 +110,7 @@ def create(
     asked = hidden or []
     unseen = build.hidden_species(taxa, asked)
     to_index = spread(members, "prot_id").withColumn("seq", sanitise(F.col("seq"), reduced))
-    postings = settle(index.build(to_index, groups, k, unseen if asked else None), "postings")
+    postings = settle(index.build(to_index, groups, k, unseen if asked else None, reduced), "postings")
     family = index.family_probability(postings)
     roots = groups.filter("parent is null").select("fam_id", F.col("hog_id").alias("root"))
     full = groups.join(index.group_probability(postings, groups), "hog_id").join(build.median_lengths(members, groups), "hog_id", "left").select(
@@ -113,12 +123,12 @@ def create(
     }
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}")
-    postings.repartitionByRange("kmer").sortWithinPartitions("kmer").write.parquet(f"{path}/postings")  # row groups prune by k-mer
+    _, buckets = index.store(postings, f"{path}/postings")
     top = root_taxon or scope.filter("parent is null").first().name
     said = {
         "schema version": SCHEMA_VERSION, "source": source, "root level": top, "create timestamp": datetime.now().isoformat(),
         "min fam size": str(min_size), "min fam completeness": str(min_completeness), "filter logic": logic, "include younger fams": str(include_younger),
-        "k-mer length": str(k), "alphabet size": str(13 if reduced else 21),
+        "k-mer length": str(k), "postings buckets": str(buckets), "alphabet size": str(13 if reduced else 21),
         "nr species": str(hierarchy.all_leaves(scope, "name", "parent").count()),
         "nr indexed species": str(build.visible_species(scope, unseen)), "hidden taxa": ",".join(asked) or "-",
     }
@@ -195,7 +205,7 @@ def search_table(db: Database, queries: DataFrame, reference_taxon: str | None =
         lineage = F.array(*[F.lit(x) for x in line[0].path])
         closest = hierarchy.closest_taxon(db.groups.select("hog_id", "parent", F.col("level").alias("tax")), lineage)
     members = db.members.select("hog_id", "ext_id") if include_extant_genes else None
-    return srch.search(queries, db.postings, db.groups, db.families, db.k, members=members, closest=closest, **options)
+    return srch.search(queries, db.postings, db.groups, db.families, db.k, reduced=db.reduced, members=members, closest=closest, **options)
 
 
 def search_file(db: Database, query_path: str, out: str | None = None, **options) -> DataFrame:

@@ -84,7 +84,7 @@ class Bound:
     def __init__(self, spark: SparkSession, sf_dir: str, raw: bool = False):
         groups = settle(bound_groups(spark, sf_dir), "groups")
         self.seqs = sequences(spark, sf_dir, groups, raw)
-        self.postings = settle(index.build(self.seqs, groups, K), "postings")
+        self.postings = index.stored(spark, *index.store(index.build(self.seqs, groups, K)))
         self.family_prob = index.family_probability(self.postings)
         self.names = groups.select("hog_id", "ext_id")
         self.family_names = groups.filter("parent is null").select("fam_id", F.col("ext_id").alias("family"))
@@ -306,7 +306,7 @@ def kmer_codes(spark, sf_dir):
 @query(f"WITH {base(RAW)} SELECT kmer, fam, lca FROM post")
 def kmer_lca(spark, sf_dir):
     b = bound(spark, sf_dir, raw=True)
-    return b.postings.join(b.family_names, "fam_id").join(b.names, "hog_id").select("kmer", F.col("family").alias("fam"), F.col("ext_id").alias("lca"))
+    return b.postings.join(b.family_names, "fam_id").join(b.names, "hog_id").select(sq.kmer_of(F.col("code"), K).alias("kmer"), F.col("family").alias("fam"), F.col("ext_id").alias("lca"))
 
 
 @query(f"WITH {base(STRIP)} SELECT lca AS ext_id, count(*) AS n FROM post GROUP BY 1")
@@ -617,7 +617,7 @@ def hidden_taxa(spark, sf_dir):
     taxa = spark.createDataFrame([(p[-1], p[-2] if len(p) > 1 else None, p) for p in (["all"], ["all", "north"], ["all", "west"], ["all", "north", "en"], ["all", "north", "de"], ["all", "west", "fr"], ["all", "west", "es"])], "name string, parent string, path array<string>")
     g = settle(bound_groups(spark, sf_dir), "groups")
     post = index.build(sequences(spark, sf_dir, g), g, K, build.hidden_species(taxa, ["north", "es"]))
-    return post.join(g.filter("parent is null").select("fam_id", F.col("ext_id").alias("fam")), "fam_id").join(g.select("hog_id", F.col("ext_id").alias("lca")), "hog_id").select("kmer", "fam", "lca")
+    return post.join(g.filter("parent is null").select("fam_id", F.col("ext_id").alias("fam")), "fam_id").join(g.select("hog_id", F.col("ext_id").alias("lca")), "hog_id").select(sq.kmer_of(F.col("code"), K).alias("kmer"), "fam", "lca")
 
 
 @query("SELECT id AS ext_id, string_agg(doc, ',' ORDER BY doc) AS genes FROM (SELECT unnest([coalesce(source, '?'), coalesce(source, '?') || '.' || coalesce(lang, '?'), coalesce(source, '?') || '.' || coalesce(lang, '?') || '.b' || (doc_id % 3)]) AS id, CAST(doc_id AS VARCHAR) AS doc FROM documents) GROUP BY 1")
