@@ -72,6 +72,17 @@ def number_rows(df: DataFrame, order: list, name: str, start: int = 0) -> DataFr
     return dealt.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value up to and with each row in the given order: a
+    range sort, a window in each of its partitions, and the sums of the
+    partitions before, one row for each, which are broadcast."""
+    dealt = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "sorted")
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = dealt.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn(name, own).join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt over all cores where it comes from fewer files than there are
     cores: rows are about to be multiplied, and a file of one row group is one
