@@ -159,9 +159,9 @@ def create_from_orthoxml(spark: SparkSession, path: str, orthoxml_path: str, tre
     of_gene = genes.select("gene", "species").dropDuplicates(["gene"])
     grouped = orthoxml.read_groups(spark, orthoxml_path).join(of_gene, "gene")
     below = hierarchy.all_leaves(scope, "name", "parent").select(F.explode("path").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_below"))
-    sizes = build.group_sizes(grouped.withColumn("ord", F.col("ord")), below)
+    sizes = build.group_sizes(grouped, below)
     inside = orthoxml.read_members(spark, orthoxml_path).join(of_gene, "gene").join(scope.select(F.col("name").alias("species")), "species", "left_semi")
-    levels = sizes.unionByName(build.gene_levels(inside.withColumn("ord", F.col("ord") + (1 << 19))))
+    levels = sizes.unionByName(build.gene_levels(inside))
     names = genes.select("gene", "prot_id").dropDuplicates(["gene"])
     entries = inside.join(names, "gene").select("prot_id", "species", F.col("id").alias("group"))
     known = genes.filter("ncbi_id is not null").groupBy(F.col("species").alias("name")).agg(F.min("ncbi_id").alias("ncbi_id"))

@@ -1,27 +1,31 @@
 """OrthoXML: species, genes and nested groups as tables.
 
-Each file is parsed as a stream of elements by one task; a top-level group is
-freed once its rows are out, so memory follows the largest group. Files are
-read by Spark, whatever store they are in.
+One file is read by many tasks (module splits): each species and each top-level
+group is found by counting tags and parsed by itself, so memory follows the
+largest group. Files are read by Spark, whatever store they are in.
 """
 
 from __future__ import annotations
 
-import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.identifiers import GROUP_PATTERN
-from .files import expand
+from ..operators import tours
+from .splits import elements
 
 GENES = "species string, ncbi_id int, gene long, prot_id string, gene_id string"
 GROUPS = "fam long, id string, level string, node int, ord long, gene long"
 MEMBERS = "fam long, id string, ord long, gene long"
+NODE_COLUMNS = "fam long, node int, kind string, label string, distance double, enter int, leave int, n_children int, first boolean"
+TOPS = ("orthologGroup", "paralogGroup")
+NODES = (*TOPS, "geneRef")
 
 
 def local(el: ET.Element) -> str:
@@ -95,7 +99,8 @@ def gene_of(el: ET.Element, gene: int) -> ET.Element | None:
 
 def group_rows(top: ET.Element, ord_: int) -> tuple[list[tuple], list[tuple]]:
     """Rows (fam, id, level, node, ord, gene) for each ortholog group and gene
-    at or below it, and (fam, id, ord, gene) for each gene."""
+    at or below it, and (fam, id, ord, gene) for each gene; ord counts from
+    ord_, groups before genes, each at most once for a tag of the group."""
     fam, _, label = labelled(top)
     groups, members, node = [], [], 0
     for el in top.iter():
@@ -106,29 +111,32 @@ def group_rows(top: ET.Element, ord_: int) -> tuple[list[tuple], list[tuple]]:
             groups += [(fam, written(fam, label[el]), level, node, ord_ + node, g) for g in genes]
             node += 1
         elif kind == "geneRef":
-            members.append((fam, written(fam, label[el]), ord_ + node, int(el.get("id"))))
-    return groups, members
-
-
-def events(data: bytes, groups: bool = True) -> Iterator[tuple[str, ET.Element]]:
-    """('species', element) and ('group', top-level group), freed after use.
-    Without groups the file is read no further than to where they begin."""
-    depth_of_groups, depth = None, 0
-    for what, el in ET.iterparse(io.BytesIO(expand(data)), events=("start", "end")):
-        if what == "start":
-            depth += 1
-            if local(el) == "groups":
-                if not groups:
-                    return
-                depth_of_groups = depth
+            members.append((fam, written(fam, label[el]), len(members), int(el.get("id"))))
+    return groups, [(fam, name, ord_ + node + i, gene) for fam, name, i, gene in members]
+
+
+def node_rows(top: ET.Element) -> list[tuple]:
+    """(fam, node, kind, label, distance, enter, leave, n_children, first) of a
+    group's genes and groups in document order: its tour, read off the document."""
+    fam, _, _ = labelled(top)
+    out: list[list] = []
+    at = 0
+    stack: list = [(top, True)]
+    while stack:
+        el, first = stack.pop()
+        if isinstance(el, int):
+            out[el][6], at = at, at + 1
             continue
-        if local(el) == "species":
-            yield "species", el
-            el.clear()
-        elif depth_of_groups is not None and depth == depth_of_groups + 1 and local(el) in ("orthologGroup", "paralogGroup"):
-            yield "group", el
-            el.clear()
-        depth -= 1
+        kind = local(el)
+        said = properties(el)
+        got = said.get("distance") or scores(el).get("distance")
+        below = [c for c in el if local(c) in NODES]
+        label = el.get("id", "") if kind == "geneRef" else said.get("TaxRange", "")
+        out.append([fam, len(out), kind, label, float(got) if got not in (None, "None") else None, at, 0, len(below), first])
+        at += 1
+        stack.append((len(out) - 1, False))
+        stack += [(c, i == 0) for i, c in reversed(list(enumerate(below)))]
+    return [tuple(x) for x in out]
 
 
 def species_rows(el: ET.Element) -> list[tuple]:
@@ -136,31 +144,28 @@ def species_rows(el: ET.Element) -> list[tuple]:
     return [(name, int(taxid) if taxid else None, int(g.get("id")), g.get("protId") or g.get("geneId"), g.get("geneId")) for g in el.iter() if local(g) == "gene"]
 
 
-def _scan(spark: SparkSession, path: str, schema: str, rows_of: Callable[[str, ET.Element, int], list[tuple]], groups: bool = True) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("content")
-    types = files.sparkSession.createDataFrame([], schema).schema
-    names = [f.name for f in types.fields]
-    arrow = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "bigint": pa.int64()}[f.dataType.simpleString()] for f in types.fields]
+def _parsed(spark: SparkSession, path: str, names: tuple[str, ...], schema: str, rows_of: Callable[[ET.Element, int], list[tuple]]) -> DataFrame:
+    """rows_of(element, order number) over the outermost elements of the names."""
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content"):
-                held, ord_ = [], 0
-                for kind, el in events(data.as_py(), groups):
-                    held += rows_of(kind, el, ord_)
-                    ord_ += 1 << 20
-                    if len(held) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), arrow)], names=names)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), arrow)], names=names)
+            held: list[tuple] = []
+            for ord_, text in zip(batch.column("ord").to_pylist(), batch.column("text")):
+                held += rows_of(ET.fromstring(text.as_py()), ord_)
+                if len(held) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
-    return files.mapInArrow(run, schema)
+    return elements(spark, path, names).mapInArrow(run, schema)
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
-    """species, ncbi_id, gene, prot_id, gene_id."""
-    return _scan(spark, path, GENES, lambda kind, el, _: species_rows(el) if kind == "species" else [], groups=False)
+    """species, ncbi_id, gene, prot_id, gene_id. What follows the species may
+    be broken: it is not parsed."""
+    return _parsed(spark, path, ("species",), GENES, lambda el, _: species_rows(el))
 
 
 def read_species(spark: SparkSession, path: str) -> DataFrame:
@@ -170,12 +175,18 @@ def read_species(spark: SparkSession, path: str) -> DataFrame:
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """A row for every ortholog group and gene at or below it."""
-    return _scan(spark, path, GROUPS, lambda kind, el, o: group_rows(el, o)[0] if kind == "group" else [])
+    return _parsed(spark, path, TOPS, GROUPS, lambda el, o: group_rows(el, o)[0])
 
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:
     """A row for every gene with the label it stands under."""
-    return _scan(spark, path, MEMBERS, lambda kind, el, o: group_rows(el, o)[1] if kind == "group" else [])
+    return _parsed(spark, path, TOPS, MEMBERS, lambda el, o: group_rows(el, o)[1])
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """A row for every group and gene with its place in its top-level group's
+    tour (tree), as operators.tours makes it for other forests."""
+    return _parsed(spark, path, TOPS, "tree long, " + NODE_COLUMNS, lambda el, o: [(o, *x) for x in node_rows(el)])
 
 
 def read_references(spark: SparkSession, *paths: str) -> DataFrame:
@@ -183,30 +194,25 @@ def read_references(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.csv(list(paths), sep="\t", comment="#", schema="ref string, xref string")
 
 
-def group_newick(top: ET.Element, name: Callable[[int], str] | None = None, taxa: bool = True, distance: Callable[[ET.Element], float | None] | None = None) -> str:
-    """A group as Newick: genes by number (or by name), groups by taxon."""
+def node_label(name: Column | None = None, taxa: bool = True, distance: Column | None = None) -> Column:
+    """How a node stands in Newick: genes by number (or by name), groups by
+    taxon, and the distance where there is one."""
+    gene = F.col("kind") == "geneRef"
+    label = F.when(gene, F.col("label") if name is None else name).otherwise(F.col("label") if taxa else F.lit(""))
+    far = F.col("distance") if distance is None else distance
+    return F.concat(label, F.when(far.isNotNull(), F.format_string(":%.6f", far)).otherwise(F.lit("")))
 
-    def own_distance(el: ET.Element) -> float | None:
-        got = properties(el).get("distance") or scores(el).get("distance")
-        return float(got) if got is not None else None
-
-    def text(el: ET.Element) -> str | None:
-        kind = local(el)
-        if kind not in ("geneRef", "orthologGroup", "paralogGroup"):
-            return None
-        label = (name(int(el.get("id"))) if name else el.get("id", "")) if kind == "geneRef" else (properties(el).get("TaxRange", "") if taxa else "")
-        d = (distance or own_distance)(el)
-        label += f":{d:f}" if d is not None else ""
-        below = [t for t in map(text, el) if t is not None]
-        return f"({', '.join(below)}){label}" if below else label
 
-    return f"{text(top)};"
+def groups_newick(nodes: DataFrame, name: Column | None = None, taxa: bool = True, distance: Column | None = None) -> DataFrame:
+    """tree, fam, newick of all groups at once, from read_nodes."""
+    return tours.newick(nodes, node_label(name, taxa, distance), ["tree", "fam"])
 
 
-def group_nhx(top: ET.Element, **options) -> str:
+def groups_nhx(nodes: DataFrame, **options) -> DataFrame:
     """As NHX: no comments are attached, so it is the Newick text."""
-    return group_newick(top, **options)
+    return groups_newick(nodes, **options).withColumnRenamed("newick", "nhx")
 
 
-def group_xml(top: ET.Element) -> str:
-    return ET.tostring(top, encoding="unicode")
+def groups_xml(spark: SparkSession, path: str) -> DataFrame:
+    """tree, xml: each top-level group as its own document."""
+    return elements(spark, path, TOPS).select(F.col("ord").alias("tree"), F.col("text").alias("xml"))

@@ -88,7 +88,6 @@ def test_letters_and_nested_counters():
     assert got == {"1": "1.1a.1a", "2": "1.1a.1b", "3": "1.1b", "4": "1.2a", "5": "1.2b.2a"}
     assert orthoxml.gene_of(top, 5).get("id") == "5" and orthoxml.gene_of(top, 9) is None
     assert orthoxml.annotations(top) == [{}] and orthoxml.levels_of(top) == []
-    assert orthoxml.group_newick(top) == "(((1, 2), 3), (4, (5)));"
 
 
 def test_level_table(spark, tmp_path):
@@ -171,9 +170,9 @@ def test_query_files(spark, db, world, tmp_path):
     assert names(tmp_path / "packed") == names(world / "query.fa")
 
 
-def test_species_are_read_without_groups():
-    data = b"<o><species name='a'><genes><gene id='1' protId='p'/></genes></species><groups><broken"
-    assert [k for k, _ in orthoxml.events(data, groups=False)] == ["species"]
+def test_species_are_read_without_groups(spark, tmp_path):
+    (tmp_path / "cut.xml").write_text("<o><species name='a'><genes><gene id='1' protId='p'/></genes></species><groups><broken")
+    assert [(r.species, r.gene) for r in orthoxml.read_genes(spark, str(tmp_path / "cut.xml")).collect()] == [("a", 1)]
 
 
 def test_cli(spark, db, world, capsys):
