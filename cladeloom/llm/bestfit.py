@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, released, slices
 from .tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 names=[id_col, "piece", "start", "length", "ids_crc32"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             break
         parts = max(1, -(-n // part_items))
         dealt = todo.repartition(parts, F.xxhash64(F.lit(turn), *names))
-        packed = materialise(dealt.mapInArrow(_packer(turn, capacity), todo.selectExpr(*names, "0L as sequence_id", "0L as offset", "true as opened").schema), "packed")
+        packed = materialise(dealt.mapInArrow(released(_packer(turn, capacity)), todo.selectExpr(*names, "0L as sequence_id", "0L as offset", "true as opened").schema), "packed")
         bins = packed.agg(F.count_distinct("sequence_id")).first()[0]
         if kept is not None and bins >= kept[1]:
             break

@@ -3,11 +3,13 @@ to whole texts as bytes, row removal by id."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 
 FILTER_BITS = 1 << 26  # of a broadcast Bloom filter
+ROW_GROUP = 8 << 20  # bytes of a scratch table that a writing task holds
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +49,7 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with small_batches(spark):
-        df.write.options(**options).parquet(path)
+        df.write.options(**{"parquet.block.size": ROW_GROUP, **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -120,6 +123,23 @@ def small_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 256) ->
             spark.conf.set(k, v)
 
 
+def released(run: Callable) -> Callable:
+    """run, after which the worker gives the memory of its batches back to the
+    system: workers live as long as the session, and many stages use them."""
+
+    @wraps(run)
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return through
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, lengthened until no column has them (in any case)."""
     taken, out = {c.lower() for c in columns}, []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, slices
+from .common import as_bytes, fresh, released, slices
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -148,7 +148,7 @@ def scan(
     for b in range(blocks):  # each block's rows are bounded by block_bytes on average
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         table = windows([(r.i, r.t) for r in part.toLocalIterator()], window)
-        out = out.mapInArrow(_pass(text_col, table, columns, added, span_words, window), schema)
+        out = out.mapInArrow(released(_pass(text_col, table, columns, added, span_words, window)), schema)
     return out
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, join_hot, keep_rows, materialise, pieces, slices, text_tag
+from .common import as_bytes, discard, join_hot, keep_rows, materialise, pieces, released, slices, text_tag
 from .components import components
 
 SHINGLE = 3
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x, size) for x in raw], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fp.view(np.int64))], names=[*carried, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -189,7 +189,7 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     crowded = shared.filter(F.col("n") > split).select("fp", F.explode(deeper).alias("d")).select("d.t", "d.key", "fp")
     rows = shared.filter(F.col("n") <= split).select("t", "key", "fp").unionByName(crowded)
     dealt = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    return dealt.mapInArrow(_edges_of(radius), "space long, a long, b long").distinct()
+    return dealt.mapInArrow(released(_edges_of(radius)), "space long, a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tag: bool = False) -> tuple[DataFrame, DataFrame, int]:
@@ -235,8 +235,8 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 
 def crowded_cells(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Cells (ascending) that hold clearly more shingles than chance puts there, and how many."""
-    parts = sets.select("grams").mapInArrow(_count_cells, "chunk long, counts binary").repartition("chunk")
-    cells = materialise(parts.mapInArrow(_sum_cells, "cell long, n long"), "cells")
+    parts = sets.select("grams").mapInArrow(released(_count_cells), "chunk long, counts binary").repartition("chunk")
+    cells = materialise(parts.mapInArrow(released(_sum_cells), "cell long, n long"), "cells")
     mean = (cells.agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
     got = cells.filter(F.col("n") > mean + 4 * mean**0.5 + 4).orderBy("cell").toArrow()
     return got.column("cell").to_numpy(), got.column("n").to_numpy()
@@ -357,7 +357,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, roots: DataFrame, least: float)
     """Edges (a, b) of the roots of those pairs (x, y) that reach `least`."""
     known = sets.select("no", "n", "sketch").dropDuplicates(["no"]).join(roots, "no")
     ends = pairs.join(known.toDF("x", "nx", "sx", "a"), "x").join(known.toDF("y", "ny", "sy", "b"), "y").filter("a <> b")
-    open_ = materialise(ends.mapInArrow(_close(least), "x long, y long, a long, b long"), "pairs")
+    open_ = materialise(ends.mapInArrow(released(_close(least)), "x long, y long, a long, b long"), "pairs")
     asked = open_.select(F.explode(F.array("x", "y")).alias("no")).distinct()
     held = sets.select("no", "grams").join(asked, "no", "left_semi").dropDuplicates(["no"])
     both = open_.join(held.toDF("x", "gx"), "x").join(held.toDF("y", "gy"), "y")
@@ -395,14 +395,14 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingl
                 [batch.column("no"), pa.array(map(len, found), pa.int64()), pa.array([sketch(x) for x in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["no", "n", "sketch", "grams"]
             )
 
-    sets = materialise(held.select(number, "text").mapInArrow(run, "no long, n long, sketch binary, grams array<long>"), "grams")
-    prefixes = sets.select("no", "grams").mapInArrow(_prefixes(*crowded_cells(sets), least), "t long, no long, n int, room int")
-    met = materialise(prefixes.repartition("t").sortWithinPartitions("t", "no").mapInArrow(_shared, "t long, no long, n long, room long"), "shared")
+    sets = materialise(held.select(number, "text").mapInArrow(released(run), "no long, n long, sketch binary, grams array<long>"), "grams")
+    prefixes = sets.select("no", "grams").mapInArrow(released(_prefixes(*crowded_cells(sets), least)), "t long, no long, n int, room int")
+    met = materialise(prefixes.repartition("t").sortWithinPartitions("t", "no").mapInArrow(released(_shared), "t long, no long, n long, room long"), "shared")
     now = materialise(texts.select(number, "root", F.col("root").alias("over")), "roots")
     for turns in (*TURNS, None):
         known = now.select("no", F.col("over").alias("root"))
         dealt = met.join(known, "no").repartition("t").sortWithinPartitions("t", "no")
-        pairs = dealt.mapInArrow(_stars(turns, least) if turns else _pairs(least), "x long, y long").distinct()
+        pairs = dealt.mapInArrow(released(_stars(turns, least) if turns else _pairs(least)), "x long, y long").distinct()
         near = _verified(pairs, sets, known, least)
         more = components(near, "stars").select(F.col("node").alias("over"), F.col("root").alias("further"))
         sizes = now.groupBy("over").agg(F.count(F.lit(1)).alias("n"))

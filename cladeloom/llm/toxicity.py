@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, fresh, materialise, pieces, slices, text_tag
+from .common import as_bytes, discard, fresh, materialise, pieces, released, slices, text_tag
 from .decontam import words
 
 MAX_ROWS = 12_000
@@ -150,7 +150,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
             sets = [terms(x).view(np.int64) for x in as_bytes(batch.column("__text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), batch.column("__tag"), pa.array(sets, pa.list_(pa.int64()))], names=["__id", "__y", "__tag", "__terms"])
 
-    found = rows.mapInArrow(run, rows.selectExpr("__id", "__y", "__tag", "array(0L) as __terms").schema)
+    found = rows.mapInArrow(released(run), rows.selectExpr("__id", "__y", "__tag", "array(0L) as __terms").schema)
     one = found.groupBy("__id").agg(F.max("__y").alias("y"), F.min(F.struct("__tag", "__terms")).alias("first"))
     return materialise(one.select(F.col("__id").alias("id"), "y", F.col("first.__terms").alias("terms")), "labelled")
 
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
             kept = [x[np.isin(x.view(np.uint64), table)] for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(kept, pa.list_(pa.int64()))], names=["id", "y", "terms"])
 
-    got = rows.mapInArrow(run, rows.schema).toArrow()
+    got = rows.mapInArrow(released(run), rows.schema).toArrow()
     order = np.argsort(np.array([str(x) for x in got.column("id").to_pylist()]), kind="stable") if got.num_rows else []
     column = got.column("terms").to_pylist()
     sets = [np.array(column[int(i)], np.int64).view(np.uint64) for i in order]
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", name: str = "
             s = [model.score(terms(x)) for x in as_bytes(batch.column(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(s, pa.float64())], names=[*columns, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+    return docs.mapInArrow(released(run), docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def filter_toxic(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

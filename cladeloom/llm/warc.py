@@ -1,9 +1,10 @@
 """Deterministic sharded WARC writer and its reader.
 
 Writing: payload digests are compared first (numbers only); the rows that
-revisit another record then join the pages by a union, and one range sort by
-page id deals both to shards, so the payloads are shuffled once and no group
-of copies meets in one task. Each task writes its range in order as one gzip
+revisit another record then join the pages by a union, and both are dealt to
+shards of page ids. The shards' boundaries are prefix sums of the html's bytes
+by page id, so they depend on the pages alone and shards are even in bytes;
+the payloads are shuffled once and no group of copies meets in one task. Each task writes its range in order as one gzip
 member per record with regenerated headers and digests, and rolls to a new
 file once `roll_bytes` of compressed data are reached. A file is written under
 a name of its own attempt; the manifest, itself written by Spark, lists the
@@ -26,11 +27,14 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import running_sum
 from .common import as_bytes, discard, join_hot, materialise, scratch_path
 
 LEAST_REVISIT = 1000
@@ -148,17 +152,38 @@ def revisits(pages: DataFrame) -> DataFrame:
     return join_hot(rows, best, ["key"], "rows", rows.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
 
 
+def boundaries(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """The first page_id of each shard but the first one, which also has the
+    nulls: a page belongs to the shard that the html of the pages before it
+    fills to. They follow from the pages alone, not from their partitions. One
+    number for each shard_bytes of html reaches the driver."""
+    sizes = pages.filter("page_id is not null").groupBy("page_id").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("size"))
+    placed = running_sum(sizes, ["page_id"], "size", "upto").withColumn("shard", F.floor((F.col("upto") - F.col("size")) / shard_bytes))
+    return sorted(r.first for r in placed.groupBy("shard").agg(F.min("page_id").alias("first")).filter("shard > 0").collect())
+
+
+def shard_of(first: list[int]):
+    """The shard of a page_id, by binary search; null pages are in shard 0."""
+
+    @F.arrow_udf("int")
+    def find(page: pa.Array) -> pa.Array:
+        known = pc.fill_null(page, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(np.array(first, np.int64), known, side="right"), pa.int32())
+
+    return find
+
+
 def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, level: int = 6, date: str = DATE) -> DataFrame:
     """Archive pages(page_id, url, html) under `path`; returns the manifest
     (name, records, bytes, sha256), which is also kept in path/manifest."""
     spark = pages.sparkSession
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     seen = materialise(revisits(pages), "revisits")
     none = F.lit(None)
     rows = pages.select(
         F.lit(1).alias("kind"), "page_id", "url", F.col("html"), none.cast("binary").alias("key"), none.cast("long").alias("refers_to")
     ).unionByName(seen.select(F.lit(0).alias("kind"), "page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "key", F.col("refers_to").cast("long")))
-    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    first = boundaries(pages, shard_bytes)
+    dealt = rows.repartitionById(len(first) + 1, shard_of(first)(F.col("page_id"))).sortWithinPartitions("page_id", "kind", "url", "html")
     listed = dealt.mapInArrow(_writer(path, roll_bytes, level, date), MANIFEST)
     return publish(listed, path)
 
