@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import identifiers as ids
 from .functions import sequences as sq
 from .functions import statistics as st
-from .operators import build, hierarchy, index
+from .operators import build, hierarchy, index, tours
 from .operators import search as srch
 from .operators.shared import settle, shared_dir, spread
 from .plans import engine
@@ -497,6 +497,45 @@ def tree_lca(spark, sf_dir):
     return hierarchy.lowest_common_of(c.join(t.select("id", "path"), "id"), ["seg", "part"])
 
 
+# ---------------------------------------------------------------- tours
+
+EVENTS = f"""{TREE},
+kids AS (SELECT count(*) AS n, regexp_replace(path, ' [^ ]+$', '') AS up FROM tree WHERE depth > 1 GROUP BY 2),
+ev AS (SELECT split_part(path, ' ', 1) AS tree, id, path AS k, true AS going_in, depth = 1 OR up IS NOT NULL AS inner_node FROM tree LEFT JOIN kids ON up = path
+       UNION ALL SELECT split_part(path, ' ', 1), id, path || ' ~', false, depth = 1 OR up IS NOT NULL FROM tree LEFT JOIN kids ON up = path),
+num AS (SELECT *, CAST(row_number() OVER (PARTITION BY tree ORDER BY k) - 1 AS BIGINT) AS place FROM ev)"""
+
+
+@query(f"WITH {EVENTS} SELECT tree, place, CASE WHEN NOT inner_node THEN 'leaf' WHEN going_in THEN 'prefix' ELSE 'postfix' END AS hook, id AS value FROM num WHERE inner_node OR going_in")
+def tree_traverse(spark, sf_dir):
+    """All three hooks of a visit of the whole forest."""
+    t = tours.tour(customer_tree(spark, sf_dir))
+    return tours.traverse(t, leaf=F.col("id"), prefix=F.col("id"), postfix=F.col("id")).withColumnRenamed("at", "place")
+
+
+@query(
+    "WITH n AS (SELECT n_regionkey, 'n' || n_nationkey AS id, CASE WHEN count(c_custkey) > 0 THEN '(' || string_agg('c' || c_custkey, ', ' ORDER BY 'c' || c_custkey) || ')' ELSE '' END || 'n' || n_nationkey AS x "
+    "FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey) "
+    "SELECT 'r' || r_regionkey AS tree, CASE WHEN count(n.id) > 0 THEN '(' || string_agg(x, ', ' ORDER BY n.id) || ')' ELSE '' END || 'r' || r_regionkey || ';' AS newick "
+    "FROM region LEFT JOIN n ON n_regionkey = r_regionkey GROUP BY r_regionkey"
+)
+def tree_newick(spark, sf_dir):
+    """The forest as text, all trees in one aggregate."""
+    return tours.newick(tours.tour(customer_tree(spark, sf_dir)), F.col("id"))
+
+
+@query(
+    f"WITH {TREE}, v AS (SELECT id, path || ' ' AS path, CAST(length(id) AS BIGINT) AS x, depth = 3 OR NOT EXISTS (SELECT 1 FROM tree b WHERE b.path LIKE tree.path || ' %') AS leaf FROM tree) "
+    "SELECT a.id, CAST(sum(CASE WHEN starts_with(b.path, a.path) THEN b.x ELSE 0 END) AS BIGINT) AS below, CAST(sum(CASE WHEN starts_with(a.path, b.path) THEN b.x ELSE 0 END) AS BIGINT) AS upto, "
+    "CAST(sum(CASE WHEN starts_with(b.path, a.path) AND b.leaf THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves FROM v a JOIN v b ON starts_with(b.path, a.path) OR starts_with(a.path, b.path) GROUP BY 1"
+)
+def tree_sums(spark, sf_dir):
+    """Sums at or below and on the path to every node, by prefix sums."""
+    t = settle(tours.tour(customer_tree(spark, sf_dir)), "tour")
+    value = F.length("id").cast("long")
+    return tours.below_sums(t, "id", value, "below").join(tours.path_sums(t, "id", value, "upto"), "id").join(tours.leaves_below(t, "id", "n_leaves"), "id")
+
+
 # ---------------------------------------------------------------- build
 
 
@@ -742,6 +781,19 @@ def orthoxml_groups(spark, sf_dir):
     return orthoxml.read_groups(spark, world_files(spark, sf_dir)[0]).groupBy("fam", "id", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "WITH c AS (SELECT n_regionkey, r_name, n_nationkey, n_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), "
+    "p AS (SELECT n_regionkey, r_name, n_nationkey, n_name, coalesce('(' || string_agg(CAST(c_custkey AS VARCHAR), ', ' ORDER BY c_custkey) || ')', '') || n_name AS whole, "
+    "coalesce('(' || string_agg(CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) END, ', ' ORDER BY c_custkey) || ')', '') || n_name AS a, "
+    "coalesce('(' || string_agg(CASE WHEN c_custkey % 2 = 1 THEN CAST(c_custkey AS VARCHAR) END, ', ' ORDER BY c_custkey) || ')', '') || n_name AS b FROM c GROUP BY n_regionkey, r_name, n_nationkey, n_name) "
+    "SELECT CAST(n_regionkey + 1 AS BIGINT) AS fam, '(' || string_agg(CASE WHEN n_nationkey % 2 = 1 THEN '(' || a || ', ' || b || ')' ELSE whole END, ', ' ORDER BY n_nationkey) || ')' || r_name || ';' AS newick "
+    "FROM p GROUP BY n_regionkey, r_name"
+)
+def orthoxml_newick(spark, sf_dir):
+    """All groups of a file as Newick in one aggregate."""
+    return orthoxml.groups_newick(orthoxml.read_nodes(spark, world_files(spark, sf_dir)[0])).select("fam", "newick")
+
+
 @query("SELECT n_name AS name, r_name AS parent, 2 AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'all', 1 FROM region UNION ALL SELECT 'all', NULL, 0")
 def newick_taxa(spark, sf_dir):
     return newick.taxa_table(newick.read_tree(spark, world_files(spark, sf_dir)[1])).select("name", "parent", "level")
@@ -800,6 +852,36 @@ def level_table(spark, sf_dir):
     return build.level_table(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("fam"), F.col("c_mktsegment").alias("id"), F.col("c_name").alias("level")))
 
 
+@query(
+    "SELECT id, level, row FROM (SELECT CAST(row_number() OVER (ORDER BY c_nationkey, c_mktsegment, c_name) - 1 AS BIGINT) AS row, c_nationkey AS fam, c_mktsegment AS id, c_name AS level FROM customer) "
+    "WHERE fam = (SELECT max(c_nationkey) FROM customer)"
+)
+def level_lookup(spark, sf_dir):
+    """The levels of one family from the stored level table."""
+    c = table(spark, sf_dir, "customer")
+    path = fresh_path(spark, "levels")
+    build.write_levels(c.select(F.col("c_nationkey").alias("fam"), F.col("c_mktsegment").alias("id"), F.col("c_name").alias("level")), path)
+    return build.level_map(spark.read.parquet(path), c.agg(F.max("c_nationkey")).first()[0])
+
+
+@query(
+    "WITH d AS (SELECT coalesce(source, '?') AS f, coalesce(lang, '?') AS lang, CASE WHEN lang IN ('en', 'de') THEN 'north' ELSE 'west' END AS side FROM documents), "
+    "b AS (SELECT side AS name, count(DISTINCT lang) AS n FROM d GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT lang) FROM d), "
+    "r AS (SELECT f AS id, 'all' AS level, lang FROM d UNION ALL SELECT f || '.' || side, side, lang FROM d) "
+    "SELECT id, level, count(*) AS n_genes, round(count(DISTINCT lang) / max(n), 9) AS completeness FROM r JOIN b ON name = level GROUP BY 1, 2"
+)
+def completeness_levels(spark, sf_dir):
+    """Sizes and completeness of groups of three taxa."""
+    side = F.when(F.col("lang").isin("en", "de"), F.lit("north")).otherwise(F.lit("west"))
+    d = placed_documents(spark, sf_dir).withColumn("side", side)
+    both = lambda top, low: F.explode(F.array(F.struct(F.lit("all").alias("level"), top.alias("id")), F.struct(F.col("side").alias("level"), low.alias("id"))))
+    rows = d.select("doc_id", "lang", both(F.col("f"), F.concat_ws(".", "f", "side")).alias("g")).select(
+        F.lit(1).alias("fam"), "g.id", "g.level", F.lit(0).alias("ord"), F.col("doc_id").alias("gene"), F.col("lang").alias("species")
+    )
+    below = rows.groupBy(F.col("level").alias("name")).agg(F.count_distinct("species").alias("n_below"))
+    return build.group_sizes(rows, below).select("id", "level", "n_genes", F.round("completeness", 9).alias("completeness"))
+
+
 @query("SELECT f AS family, depth, n FROM (SELECT DISTINCT source AS f FROM documents) JOIN (SELECT source AS s, unnest([1, 2, 3]) AS depth, unnest([1, count(DISTINCT lang), count(DISTINCT lang || doc_id % 3)]) AS n FROM documents GROUP BY 1) ON s = f")
 def level_sizes(spark, sf_dir):
     g = settle(bound_groups(spark, sf_dir), "groups")
