@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     mk.add_argument("--hidden_taxa", help="file with a taxon name on each line")
     mk.add_argument("--reduced_alphabet", action="store_true")
     mk.add_argument("--k", type=int, default=6)
+    mk.add_argument("--overwrite", action="store_true", help="publish a new version of a database that exists")
     se = sub.add_parser("search", help="place query sequences")
     se.add_argument("--db", required=True)
     se.add_argument("--query", required=True)
@@ -50,7 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         hidden = engine.read_names(spark, args.hidden_taxa) if args.hidden_taxa else None
         engine.create_from_orthoxml(
             spark, args.db, args.orthoxml, args.species_tree, args.sequences, args.xrefs or None, k=args.k, reduced=args.reduced_alphabet, min_size=args.min_fam_size,
-            min_completeness=args.min_fam_completeness, logic=args.logic, root_taxon=args.root_taxon, hidden=hidden,
+            min_completeness=args.min_fam_completeness, logic=args.logic, root_taxon=args.root_taxon, hidden=hidden, overwrite=args.overwrite,
         )
         return 0
     db = engine.Database.open(spark, args.db)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from .hierarchy import all_leaves, closure, with_paths
-from .shared import number_rows, settle
+from .shared import number_rows, running_last, settle
 
 MIN_SIZE = 6
 MIN_COMPLETENESS = 0.5
@@ -125,13 +125,23 @@ def gene_levels(genes: DataFrame) -> DataFrame:
 
 
 def species_of_genes(genes: DataFrame, species: DataFrame) -> DataFrame:
-    """genes(gene, ..) with the species whose id range holds them.
-    species(species, min_id, max_id). The ranges are cut into bins of their
-    mean width, so the join is on equal bins and no pair outside is formed."""
-    width = species.agg(F.avg(F.col("max_id") - F.col("min_id") + 1)).first()[0] or 1
-    w = max(1, int(width))
-    bins = species.select("*", F.explode(F.sequence(F.floor(F.col("min_id") / w), F.floor(F.col("max_id") / w))).alias("bin"))
-    return genes.withColumn("bin", F.floor(F.col("gene") / w)).join(bins, "bin").filter("gene between min_id and max_id").drop("bin", "min_id", "max_id")
+    """genes(gene, ..) with the species whose range of numbers holds them.
+    species(species, min_id, max_id); ranges that overlap are an error.
+
+    Ranges' starts and genes are sorted together once, and each gene takes the
+    last start before it, carried over from partition to partition: the widths
+    of the ranges and repeated numbers of genes make no difference."""
+    start = F.struct("min_id", "max_id", "species")
+    starts = species.select(F.col("min_id").cast("long").alias("__key"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__n"), start.alias("__start"), F.lit(None).cast(genes.select(F.struct(*genes.columns)).schema[0].dataType).alias("__gene"))
+    width = starts.schema["__start"].dataType
+    asked = genes.select(F.col("gene").cast("long").alias("__key"), F.lit(1).alias("__kind"), F.monotonically_increasing_id().alias("__n"), F.lit(None).cast(width).alias("__start"), F.struct(*genes.columns).alias("__gene"))
+    inside = starts.filter("__start.min_id <= __start.max_id")
+    ends = inside.withColumn("__kind", F.lit(2)).withColumn("__key", F.col("__start.max_id").cast("long"))
+    numbered = number_rows(inside.unionByName(ends).select("__key", "__kind", F.col("__start.species").alias("__s")), ["__key", "__kind", "__s"], "__i")
+    if not numbered.filter(((F.col("__i") % 2 == 0) & (F.col("__kind") != 0)) | ((F.col("__i") % 2 == 1) & (F.col("__kind") != 2))).isEmpty():
+        raise ValueError("ranges of gene numbers overlap")
+    found = running_last(inside.unionByName(asked), ["__key", "__kind", "__n"], "__start", "__last")
+    return found.filter((F.col("__kind") == 1) & (F.col("__key") <= F.col("__last.max_id"))).select("__gene.*", F.col("__last.species").alias("species"))
 
 
 def hidden_species(taxa: DataFrame, names: list[str]) -> DataFrame:

@@ -83,6 +83,17 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     return dealt.withColumn(name, own).join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
 
 
+def running_last(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the last value that is not null up to and with each row: as
+    running_sum, the value that a partition ends with being carried on."""
+    dealt = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "sorted")
+    own = F.last(value, True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy("__part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__end"))
+    before = F.last("__end", True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("__part", before.alias("__before"))
+    return dealt.withColumn(name, own).join(F.broadcast(carried), "__part").withColumn(name, F.coalesce(name, "__before")).drop("__part", "__before")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt over all cores where it comes from fewer files than there are
     cores: rows are about to be multiplied, and a file of one row group is one

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+import warnings
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -32,20 +34,22 @@ class Database:
 
     spark: SparkSession
     path: str
+    data: str  # the folder of this snapshot's tables
+    said: str  # and of its metadata
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(name)
         if name == "postings":
             return self._postings()
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(self.said if name == "metadata" else f"{self.data}/{name}")
 
     def _postings(self) -> DataFrame:
         said = self.settings()
         if "postings buckets" not in said:  # schema 1.0: sorted by the k-mer itself
-            old = self.spark.read.parquet(f"{self.path}/postings")
+            old = self.spark.read.parquet(f"{self.data}/postings")
             return old.select(kmer_code(F.col("kmer"), int(said["k-mer length"]), said["alphabet size"] == "13").alias("code"), "fam_id", "hog_id")
-        return index.stored(self.spark, f"{self.path}/postings", int(said["postings buckets"]))
+        return index.stored(self.spark, f"{self.data}/postings", int(said["postings buckets"]))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -59,9 +63,10 @@ class Database:
     def open(cls, spark: SparkSession, path: str) -> Database:
         """Same version: opened; an older minor one: opened with a warning;
         a newer one or another major one: an error."""
-        import warnings
-
-        db = cls(spark, path)
+        newest = snapshots(spark, path)[-1:]
+        said = f"{path}/snapshots/{newest[0]:06d}" if newest else f"{path}/metadata"  # schema 1.0 had one version
+        place = {r.key: r.value for r in spark.read.parquet(said).collect()}.get("data folder")
+        db = cls(spark, path, f"{path}/{place}" if place else path, said)
         found = db.settings().get("schema version", "0.0")
         major, minor = (int(x) for x in found.split("."))
         ours = tuple(int(x) for x in SCHEMA_VERSION.split("."))
@@ -80,17 +85,35 @@ class Database:
         return self.settings()["alphabet size"] == "13"
 
 
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the published versions, oldest first: those whose
+    metadata was written to its end."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshots/*/_SUCCESS")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getParent().getName()) for f in store.globStatus(folder) or [])
+
+
 def create(
     spark: SparkSession, path: str, levels: DataFrame, entries: DataFrame, records: DataFrame, taxa: DataFrame, k: int = K, reduced: bool = False,
     min_size: int = build.MIN_SIZE, min_completeness: float = build.MIN_COMPLETENESS, logic: str = "OR", root_taxon: str | None = None,
-    include_younger: bool = True, hidden: list[str] | None = None, known_taxa: DataFrame | None = None, source: str = "tables",
+    include_younger: bool = True, hidden: list[str] | None = None, known_taxa: DataFrame | None = None, source: str = "tables", overwrite: bool = False,
 ) -> Database:
-    """Build a database under `path`.
+    """Build a database under `path`, as a version of its own: its tables go to
+    a new folder, and the metadata, written last, publishes it. Until then, and
+    for readers that have opened it, the version before stands. Where there is
+    one, `overwrite` must be asked for; old versions' files stay.
 
     levels(fam, id, level, completeness, n_genes, ord); entries(prot_id,
     species, group); records(header, id, seq) as read; taxa(name, parent,
     level, path of names)."""
     check_k(k)
+    before = snapshots(spark, path)
+    if before and not overwrite:
+        raise FileExistsError(path)
+    if before:
+        warnings.warn(f"a new version replaces the database {path}", stacklevel=2)
+    folder = f"data-{uuid.uuid4().hex[:12]}"
+    place = f"{path}/{folder}"
     if root_taxon is not None and taxa.filter(F.col("name") == root_taxon).count() != 1:
         raise ValueError(f"the root taxon {root_taxon} is not in the taxonomy exactly once")
     scope = build.prune(taxa, root_taxon)
@@ -122,18 +145,18 @@ def create(
         "members": members.select(F.col("prot_id").alias("ext_id"), "species", "hog_id", "seq_len"),
     }
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
-    _, buckets = index.store(postings, f"{path}/postings")
+        df.write.parquet(f"{place}/{name}")
+    _, buckets = index.store(postings, f"{place}/postings")
     top = root_taxon or scope.filter("parent is null").first().name
     said = {
-        "schema version": SCHEMA_VERSION, "source": source, "root level": top, "create timestamp": datetime.now().isoformat(),
+        "schema version": SCHEMA_VERSION, "data folder": folder, "source": source, "root level": top, "create timestamp": datetime.now().isoformat(),
         "min fam size": str(min_size), "min fam completeness": str(min_completeness), "filter logic": logic, "include younger fams": str(include_younger),
         "k-mer length": str(k), "postings buckets": str(buckets), "alphabet size": str(13 if reduced else 21),
         "nr species": str(hierarchy.all_leaves(scope, "name", "parent").count()),
         "nr indexed species": str(build.visible_species(scope, unseen)), "hidden taxa": ",".join(asked) or "-",
     }
-    said["database hash"] = table_hash(spark, path)
-    spark.createDataFrame(list(said.items()), "key string, value string").write.parquet(f"{path}/metadata")
+    said["database hash"] = table_hash(spark, place)
+    spark.createDataFrame(list(said.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/snapshots/{max(before, default=0) + 1:06d}")
     return Database.open(spark, path)
 
 
