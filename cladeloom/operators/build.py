@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from .hierarchy import all_leaves, closure, with_paths
+from .climbs import climb, steps
+from .hierarchy import all_leaves, with_paths
 from .shared import number_rows, running_last, settle
 
 MIN_SIZE = 6
@@ -103,9 +104,11 @@ def check_sequences(members: DataFrame) -> None:
 
 def median_lengths(members: DataFrame, groups: DataFrame) -> DataFrame:
     """hog_id, median_seqlen of all proteins at or below; halves are cut off.
-    Groups above get the groups' length histograms, not their proteins."""
+    Groups above get the groups' length histograms, summed by doubling: rows
+    are pairs of a group and a length, not of a protein and an ancestor."""
+    forest = groups.select("hog_id", "path")
     own = members.groupBy("hog_id", "seq_len").agg(F.count(F.lit(1)).alias("n"))
-    below = own.join(closure(groups, "hog_id"), own.hog_id == F.col("node")).groupBy(F.col("ancestor").alias("hog_id"), "seq_len").agg(F.sum("n").alias("n"))
+    below = climb(own, forest, steps(forest), ["seq_len"], [F.sum("n").alias("n")])
     return below.groupBy("hog_id").agg(F.percentile("seq_len", 0.5, F.col("n")).cast("int").alias("median_seqlen"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import K, explode_codes
+from . import climbs
 from .hierarchy import common_path
 from .shared import bucket_count, read_buckets, settle, shared_dir, write_buckets
 
@@ -79,19 +80,16 @@ def heaviest_chains(counts: DataFrame, groups: DataFrame, keys: list[str]) -> Da
 
     counts(keys, hog_id, n). No recursion: with P(d) the sum of counts on the
     path to d, cum(h) = max P(d) over counted d at or below h, less P(parent).
-    The counts are written once, since four branches of the plan read them."""
+    Nodes, sums and maxima are found by doubling, with rows in proportion to
+    the groups that are returned, however deep they lie."""
     counts = settle(counts, "counts")
     paths = groups.select("hog_id", "path")
-    hit = counts.join(paths, "hog_id").select(*keys, F.col("hog_id").alias("leaf"), "n", "path")
-    nodes = hit.select(*keys, F.explode("path").alias("hog_id")).distinct()
-    on_path = nodes.join(paths, "hog_id").select(*keys, "hog_id", F.explode("path").alias("at"))
-    own = counts.select(*keys, F.col("hog_id").alias("at"), "n")
-    sums = on_path.join(own, [*keys, "at"], "left").groupBy(*keys, "hog_id").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("upto"), F.coalesce(F.sum(F.when(F.col("at") != F.col("hog_id"), F.col("n"))), F.lit(0)).alias("before")
-    )
-    ends = hit.select(*keys, F.col("leaf").alias("hog_id"), "path").join(sums.select(*keys, "hog_id", "upto"), [*keys, "hog_id"])
-    best = ends.select(*keys, F.explode("path").alias("hog_id"), "upto").groupBy(*keys, "hog_id").agg(F.max("upto").alias("top"))
-    return sums.join(best, [*keys, "hog_id"]).select(*keys, "hog_id", "before", (F.col("top") - F.col("before")).alias("cum"))
+    far = climbs.steps(paths)
+    nodes = climbs.climb(counts, paths, far, keys, []).join(counts.select(*keys, "hog_id", "n"), [*keys, "hog_id"], "left")
+    upto = settle(climbs.gather(nodes.withColumn("upto", F.coalesce("n", F.lit(0))), paths, far, keys, "upto"), "sums")
+    best = climbs.climb(upto.filter("n is not null").select(*keys, "hog_id", F.col("upto").alias("top")), paths, far, keys, [F.max("top").alias("top")])
+    before = F.col("upto") - F.coalesce("n", F.lit(0))
+    return upto.join(best, [*keys, "hog_id"]).select(*keys, "hog_id", before.alias("before"), (F.col("top") - before).alias("cum"))
 
 
 def group_probability(postings: DataFrame, groups: DataFrame) -> DataFrame:
