@@ -926,3 +926,80 @@ def is_descendant(spark, sf_dir):
     d = placed_documents(spark, sf_dir)
     lower, tops = d.select(F.col("h").alias("id"), F.col("f")).distinct(), d.select(F.col("f"), F.explode(F.array(F.col("f"), F.concat("f", F.lit(".en")))).alias("top")).distinct()
     return lower.join(tops, "f").filter(ids.is_descendant(F.col("id"), F.col("top"))).select("id", "top")
+
+
+# ---------------------------------------------------------------- deep forests, files in ranges, checks
+
+
+#: Customers of a nation in chains of a hundred, each below the one before.
+DEEP = """
+o AS (SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal AS bal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
+t AS (SELECT id, nation, i // 100 AS chain, i, bal, CASE WHEN bal > 0 THEN CAST(floor(bal) AS BIGINT) % 9 + 1 END AS n FROM o)"""
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hog_id, path, bal, n (null: without a count) of DEEP."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("hog_id"), "c_nationkey", F.col("c_acctbal").alias("bal"))
+    placed = c.withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("hog_id")) - 1).withColumn("chain", F.floor(F.col("i") / 100))
+    line = Window.partitionBy("c_nationkey", "chain").orderBy("i")
+    count = F.when(F.col("bal") > 0, F.floor("bal").cast("long") % 9 + 1)
+    return settle(placed.select("hog_id", F.collect_list("hog_id").over(line).alias("path"), "bal", count.alias("n")), "chains")
+
+
+@query(
+    f"WITH {DEEP}, p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY nation, chain ORDER BY i), 0) AS upto FROM t), "
+    "m AS (SELECT *, max(CASE WHEN n IS NOT NULL THEN upto END) OVER (PARTITION BY nation, chain ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top FROM p) "
+    "SELECT id, CAST(upto - coalesce(n, 0) AS BIGINT) AS before, CAST(top - (upto - coalesce(n, 0)) AS BIGINT) AS cum FROM m WHERE top IS NOT NULL"
+)
+def deep_chains(spark, sf_dir):
+    """Heaviest chains where groups lie up to a hundred deep."""
+    g = chains(spark, sf_dir)
+    counts = g.filter("n is not null").select(F.lit(1).alias("one"), "hog_id", "n")
+    return index.heaviest_chains(counts, g, ["one"]).select(F.col("hog_id").cast("int").alias("id"), "before", "cum")
+
+
+@query(
+    f"WITH {DEEP} SELECT id, CAST(floor(median(CAST(floor(abs(bal)) AS BIGINT)) OVER (PARTITION BY nation, chain ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS BIGINT) AS median FROM t"
+)
+def deep_medians(spark, sf_dir):
+    """Medians of whole amounts at or below each customer of such chains."""
+    g = chains(spark, sf_dir)
+    members = g.select("hog_id", F.floor(F.abs("bal")).cast("int").alias("seq_len"))
+    return build.median_lengths(members, g).select(F.col("hog_id").cast("int").alias("id"), F.col("median_seqlen").cast("long").alias("median"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, md5({RAW}) AS seq_md5, CAST(length({RAW}) AS BIGINT) AS n FROM documents")
+def fasta_ranges(spark, sf_dir):
+    """Documents as records of compressed files, read back in ranges of 16 KB."""
+    path = fresh_path(spark, "records")
+    table(spark, sf_dir, "documents").select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" document\n"), sq.sanitise(F.coalesce("text", F.lit("")))).alias("value")).write.option("compression", "gzip").text(path)
+    return fasta.read_fasta(spark, path, split=16 << 10).select("id", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("seq").cast("long").alias("n"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS prot_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def unmatched_members(spark, sf_dir):
+    """Documents without a label, as members that no record matches by its
+    header or its first word (every second label names itself by the latter)."""
+    members = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("prot_id"))
+    name = F.col("doc_id").cast("string")
+    records = table(spark, sf_dir, "labels").select(name.alias("id"), F.when(F.col("doc_id") % 2 == 0, name).otherwise(F.concat(name, F.lit(" label"))).alias("header"), F.lit("A").alias("seq"))
+    return build.match_sequences(members, records).filter("seq is null")[["prot_id"]]
+
+
+@query(f"WITH {TREE}, l AS (SELECT path FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree x WHERE x.path LIKE t.path || ' %')) SELECT count(*) AS n FROM l WHERE NOT (path || ' ' LIKE '% n3 %' OR path || ' ' LIKE 'r1 %')")
+def indexed_species(spark, sf_dir):
+    """The leaves that stay visible when a nation and a region are hidden."""
+    t = named_tree(spark, sf_dir)
+    hidden = build.hidden_species(t, ["n3", "r1"])
+    return spark.range(1).select(F.lit(build.visible_species(t, hidden)).cast("long").alias("n"))
+
+
+def named_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(hierarchy.with_paths(customer_tree(spark, sf_dir)).withColumnRenamed("id", "name"), "tree")
+
+
+@query(f"WITH {TREE} SELECT id AS name, CASE WHEN depth = 2 THEN 'r2' WHEN depth = 3 THEN split_part(path, ' ', 2) END AS parent, CAST(depth AS BIGINT) AS depth FROM tree WHERE path = 'r2' OR path LIKE 'r2 %'")
+def pruned_tree(spark, sf_dir):
+    """The forest below a root taxon, which loses its parent."""
+    t = build.prune(named_tree(spark, sf_dir), "r2")
+    return t.select("name", F.when(F.col("name") != "r2", F.col("parent")).alias("parent"), F.size("path").cast("long").alias("depth"))
