@@ -24,6 +24,14 @@ anchor can have an equal partner.
    A bucket with more stretches than a block may hold is not gathered; its
    windows are counted by digest instead, which splits it by content.
 
+`passages` does the same for words: which words stand in a run of `words`
+words that another text has too, or a copy of the text. Anchors are the least
+hashes of PASSAGE_GRAM-word strings; runs of windows whose stretch of words is
+found in several texts are settled by counts, and only the windows of the other
+stretches of such anchors are compared one by one, by digest. Words are those
+of [0-9A-Za-z] and bytes from 0x80, A-Z lower-cased; hashes have 64 bits
+(a stretch: 128 with its anchor's), texts are told apart by 64 bits.
+
 Long texts are cut into overlapping pieces for the sample. A stretch is known
 by 192 bits (a 128-bit digest and the hash of its anchor), a text by 128 bits
 of its SHA-256; windows inside a bucket are compared byte by byte.
@@ -31,6 +39,7 @@ of its SHA-256; windows inside a bucket are compared byte by byte.
 Defined cases: null text is empty; texts shorter than `length` bytes keep
 everything; copies of a text repeat each other; strings may overlap
 themselves; matches never cross texts; an empty table gives an empty result.
+A passage that stands twice in one text only is no shared passage.
 """
 
 from __future__ import annotations
@@ -43,12 +52,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, join_hot, materialise, slices
+from .common import as_bytes, discard, fresh, join_hot, materialise, maybe_among, named_id, pieces, released, slices
 
 LENGTH = 400
 GRAM = 96
 BLOCK_ROWS = 4096
 BUCKET_ROWS = 16384
+PASSAGE = 51  # words
+PASSAGE_GRAM = 12
 PIECE = 1 << 19  # windows of a text sampled at once
 _PLACE = 20  # bits of a place in what is sampled at once
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -104,15 +115,15 @@ def difference_cover(r: int = 1) -> tuple[int, list[int]]:
     return 24 * r * r + 36 * r + 13, [0, *np.cumsum(steps).tolist()]
 
 
-def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows of the pieces that end at `ends` in data (fewer than
-    2^20 bytes): piece number, first and last window, anchor (all places in
-    data), anchor's hash. Hashes are compared by their high 44 bits, then by
-    place, so that the choice in a window depends on its bytes alone."""
+def anchored(h: np.ndarray, n: int, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of the pieces that end at `ends` among n places (fewer
+    than 2^20), h the hash of every gram: piece number, first and last window,
+    anchor (all places among the n), anchor's hash. Hashes are compared by
+    their high 44 bits, then by place, so that the choice in a window depends
+    on its content alone."""
     none = np.zeros(0, np.int64)
-    if len(data) < length:
+    if n < length:
         return none, none, none, none, np.zeros(0, np.uint64)
-    h = gram_hashes(data, gram)
     low = np.uint64((1 << _PLACE) - 1)
     keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     least = window_minima(keys, length - gram + 1)
@@ -138,6 +149,11 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
     return text, first, last, anchor, h[anchor]
 
 
+def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """The runs of the windows of `length` bytes of the pieces of data."""
+    return anchored(gram_hashes(data, gram) if len(data) >= length else np.zeros(0, np.uint64), len(data), ends, length, gram)
+
+
 def cover_runs(data: np.ndarray, ends: np.ndarray, length: int, r: int = 1) -> tuple[np.ndarray, ...]:
     """The same for the places of a difference cover, counted from each
     piece's start; the hash is that of the string that all windows of a run
@@ -361,20 +377,159 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     packed = packed_texts(docs, id_col, text_col, length)
     met = packed.join(wanted, (packed.key == wanted.key) & packed.id.eqNullSafe(wanted.id)).select(packed.key, "packed", "wanted")
     large = materialise(open_.filter(F.col("m") > bucket_rows).select("hash").distinct(), "large")
-    pieces = materialise(met.mapInArrow(_stretches(length), _RUN), "stretches")
-    small = pieces if large.isEmpty() else pieces.join(large, "hash", "left_anti").select(*pieces.columns)
+    cut = materialise(met.mapInArrow(_stretches(length), _RUN), "stretches")
+    small = cut if large.isEmpty() else cut.join(large, "hash", "left_anti").select(*cut.columns)
     dealt = small.repartition("hash").sortWithinPartitions("hash")
     found = whole.unionByName(dealt.mapInArrow(_blocks(length, block_rows), "key binary, first long, last long"))
     if not large.isEmpty():
-        split = pieces.join(large, "hash", "left_semi").select(*pieces.columns).dropDuplicates(["key", "first"])
+        split = cut.join(large, "hash", "left_semi").select(*cut.columns).dropDuplicates(["key", "first"])
         windows = split.mapInArrow(_window_digests(length), "key binary, digest binary, first long")
-        twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-        found = found.unionByName(windows.join(twice, "digest").select("key", "first", F.col("first").alias("last")))
+        windows = materialise(windows, "windows")
+        twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = found.unionByName(join_hot(windows, twice, ["digest"], "n", windows.count()).select("key", "first", F.col("first").alias("last")))
     spans = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     once = texts.filter("copies = 1").select("key", F.col("pick").alias("id"))
     counted = join_hot(rows.filter(F.col("n_bytes") >= length), texts.select("key", "copies"), ["key"], "copies", rows.count())
     short = rows.filter(F.col("n_bytes") < length).withColumn("copies", F.lit(1).cast("long"))
-    return materialise(counted.unionByName(short), "counted"), materialise(spans.join(once, "key"), "spans")
+    out = materialise(counted.unionByName(short), "counted"), materialise(spans.join(once, "key"), "spans")
+    for done in (every, groups, open_, several, cut, large):
+        discard(done)
+    return out
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[0x30:0x3A] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:] = True
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(_BASE, len(values)), out=h[1:])
+    return h
+
+
+def _between(sums: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of what stands from first to stop, wherever that is."""
+    return _mixed((sums[stop] - sums[first]) * _power(_INV, len(sums))[first])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the texts, one text after the other, and
+    the number of words up to the end of each text."""
+    found, at, base = [], [], 0
+    for part in pieces(b"\n".join(texts), PIECE):
+        data = _LOWER[np.frombuffer(part, np.uint8)]
+        edge = np.flatnonzero(np.diff(_IN_WORD[data].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        found.append(_between(_sums(_TABLE[data]), edge[::2], edge[1::2]))
+        at.append(edge[::2] + base)
+        base += len(part)
+    return np.concatenate(found), np.searchsorted(np.concatenate(at), np.cumsum([len(x) + 1 for x in texts]))
+
+
+_PASSAGE_RUN = "key binary, text long, hash long, stretch long, first long, last long"
+
+
+def _passage_runs(text_col: str, words: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, 1 << 18):
+            raw = [x for x in as_bytes(batch.column(text_col)).to_pylist() if len(x) >= 2 * words - 1]
+            if not raw:
+                continue
+            keys = [hashlib.sha256(x).digest()[:16] for x in raw]
+            short = np.frombuffer(b"".join(k[:8] for k in keys), "<i8")
+            hashes, ends = word_hashes(raw)
+            starts = np.concatenate(([0], ends[:-1]))
+            for at in range(0, len(hashes), PIECE):  # neighbours share words - 1 words
+                sums = _sums(hashes[at : at + PIECE + words - 1])
+                n = len(sums) - 1
+                places = np.arange(max(0, n - gram + 1))
+                text, first, last, _, h = anchored(_between(sums, places, places + gram), n, np.clip(ends - at, 0, n), words, gram)
+                stretch = _between(sums, first, last + words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys, pa.binary()).take(pa.array(text)), pa.array(short[text]), pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)),
+                        pa.array(first + at - starts[text]), pa.array(last + at - starts[text]),
+                    ],
+                    names=["key", "text", "hash", "stretch", "first", "last"],
+                )
+
+    return run
+
+
+def _passage_windows(words: int):
+    """The windows of the wanted runs with a digest of their words."""
+
+    def of(key: bytes, data: bytes, wanted: list[dict]) -> Iterator[pa.RecordBatch]:
+        hashes, _ = word_hashes([data])
+        first = np.unique(np.concatenate([np.arange(w["first"], w["last"] + 1) for w in wanted]))
+        for at in range(0, len(hashes), PIECE):
+            here = first[(first >= at) & (first < at + PIECE)]
+            if len(here):
+                digest = _between(_sums(hashes[at : at + PIECE + words - 1]), here - at, here - at + words)
+                text = int.from_bytes(key[:8], "little", signed=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(here), pa.binary()), pa.array(np.full(len(here), text)), pa.array(digest.view(np.int64)), pa.array(here)],
+                    names=["key", "text", "digest", "first"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for key, packed, wanted in zip(batch.column("key").to_pylist(), batch.column("packed"), batch.column("wanted").to_pylist()):
+                for part in of(key, _unpack(packed.as_py()), wanted):
+                    held.append(part)
+                    rows += part.num_rows
+                if rows >= 1 << 14:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
+def _covered(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [sum(b - a for a, b in merged([(s["first"], s["last"]) for s in spans], words)) for spans in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64())], names=["key", "n"])
+
+    return run
+
+
+def passages(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """key, copies, n: how many words of a text stand in a run of `words`
+    words that is in another text or a copy; texts without such are left out.
+    rows: id and key of each row of docs."""
+    texts = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("pick")), "passage_texts")
+    every = materialise(docs.select(F.col(text_col)).mapInArrow(released(_passage_runs(text_col, words, gram)), _PASSAGE_RUN), "passage_runs")
+    same, two = ["hash", "stretch"], F.col("a") < F.col("b")
+    count, least, most = F.count(F.lit(1)), F.min("text").alias("a"), F.max("text").alias("b")
+    groups = materialise(every.groupBy(*same).agg(count.alias("n"), least, most), "passage_groups")
+    buckets = materialise(groups.groupBy("hash").agg(count.alias("m"), F.min("a").alias("a"), F.max("b").alias("b")).filter((F.col("m") > 1) & two).select("hash", "m"), "passage_buckets")
+    told = join_hot(groups, buckets, ["hash"], "m", groups.count(), how="left").select(*same, "n", two.alias("settled"), F.col("m").isNotNull().alias("open"))
+    needed = materialise(told.filter("settled or open"), "passage_needed")
+    met = materialise(join_hot(every, needed, same, "n", every.count()).select("key", *same, "first", "last", "settled", "open"), "passage_met")
+
+    settled = met.filter("settled").groupBy("key", "first").agg(F.max("last").alias("last"))
+    alone = met.filter("open and not settled").groupBy("key", "first").agg(F.max("last").alias("last"))
+    partner = met.filter("open and settled").groupBy(*same).agg(F.min(F.struct("key", "first", "last")).alias("one")).select("one.*")
+    wanted = alone.unionByName(partner).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("wanted")).join(texts, "key").select("key", F.col("pick").alias("id"), "wanted")
+    wanted = materialise(wanted, "passage_wanted")
+    names = fresh([id_col, text_col], "__null", "__name")
+    _, asked = maybe_among(docs.select(id_col, text_col), wanted.select(*named_id(F.col("id"), *names)), names, id_col)
+    packed = packed_texts(asked, id_col, text_col, 2 * words - 1)
+    found = packed.join(wanted, (packed.key == wanted.key) & packed.id.eqNullSafe(wanted.id)).select(packed.key, "packed", "wanted")
+    windows = materialise(found.mapInArrow(released(_passage_windows(words)), "key binary, text long, digest long, first long"), "passage_windows")
+    twice = materialise(windows.groupBy("digest").agg(count.alias("n"), least, most).filter(two).select("digest", "n"), "passage_twice")
+    single = join_hot(windows, twice, ["digest"], "n", windows.count()).groupBy("key", "first").agg(F.max("first").alias("last"))
+    copied = every.groupBy("key").agg(F.max("last").alias("last")).join(texts.filter("copies > 1"), "key").select("key", F.lit(0).cast("long").alias("first"), "last")
+    spans = settled.unionByName(single).unionByName(copied).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    out = materialise(spans.mapInArrow(_covered(words), "key binary, n long").join(texts.select("key", "copies"), "key"), "passage_words")
+    for done in (every, groups, buckets, needed, met, wanted, windows, twice):
+        discard(done)
+    return out
 
 
 def merged(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -410,25 +565,31 @@ def _cut(length: int, kept: bool):
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, kept: bool = False, **options) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, kept: bool = False, passage: int = 0, **options) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256
-    and, if asked for, the kept bytes (null: nothing was removed)."""
+    and, if asked for, the kept bytes (null: nothing was removed) and, with
+    passage > 0, n_passage_words, the words in runs of `passage` words that
+    another row has too (a report; it removes nothing)."""
     rows, spans = repeated(docs, id_col, text_col, length, gram, **options)
     packed = packed_texts(docs, id_col, text_col, length)
     met = packed.join(spans, (packed.key == spans.key) & packed.id.eqNullSafe(spans.id)).select(packed.key, "packed", "spans")
     done = materialise(met.mapInArrow(_cut(length, kept), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "cut")
+    more = ["n_passage_words"] if passage else []
+    if passage:
+        of = passages(docs, rows, id_col, text_col, passage).withColumnRenamed("copies", "same")
+        rows = join_hot(rows, of, ["key"], "same", rows.count(), how="left").withColumn("n_passage_words", F.coalesce("n", F.lit(0)).cast("long")).drop("n", "same")
     copied, long = F.col("copies") > 1, F.col("n_bytes") >= length
     gone = hashlib.sha256(b"").hexdigest()
     settled = rows.filter(copied | ~long).select(
         F.col("id").alias(id_col), "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(copied, 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(gone)).otherwise(F.col("sha256")).alias("kept_sha256"), *([F.when(copied, F.lit(b"")).alias("kept")] if kept else []),
+        F.when(copied, F.lit(gone)).otherwise(F.col("sha256")).alias("kept_sha256"), *([F.when(copied, F.lit(b"")).alias("kept")] if kept else []), *more,
     )
     others = rows.filter(~copied & long).join(done, "key", "left").select(  # texts that are there once
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *(["kept"] if kept else []),
+        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *(["kept"] if kept else []), *more,
     )
     return settled.unionByName(others)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passage=PASSAGE)

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from test_small import plain_components, plain_cut, plain_fingerprint
+from test_small import plain_components, plain_cut, plain_fingerprint, plain_passages
 
 from cladeloom.llm import binary, quality, registry, toxicity
 from cladeloom.llm.common import scratch_path
@@ -86,9 +86,10 @@ def test_simhash(spark, sf):
 
 def test_repeated_strings(spark, sf):
     got = result(spark, sf, "op8_suffix_array_dedup")
-    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    want = plain_cut(sf[1], 400)
-    assert Counter(tuple(r) for r in got.collect()) == want
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
+    want, rows = plain_cut(sf[1], 400), got.collect()
+    assert Counter(tuple(r)[:5] for r in rows) == want
+    assert Counter((r.doc_id, r.n_passage_words) for r in rows) == plain_passages(sf[1], 51)
     assert sum(k[2] > 0 for k in want) > 100
 
 

@@ -481,6 +481,41 @@ def test_repeats(spark, bucket, cover, length, monkeypatch):
     assert suffixes.cut_repeats(table.limit(0)).count() == 0
 
 
+def plain_passages(rows, words):
+    """How many words of each row stand in runs of `words` words that another row has."""
+    ts = [(i, re.findall(rb"[0-9a-z\x80-\xff]+", bytes(t or "", "utf-8").lower())) for i, t in rows]
+    found = defaultdict(set)
+    for k, (_, w) in enumerate(ts):
+        for j in range(len(w) - words + 1):
+            found[tuple(w[j : j + words])].add(k)
+    out = Counter()
+    for i, w in ts:
+        hit = np.zeros(len(w), bool)
+        for j in range(len(w) - words + 1):
+            if len(found[tuple(w[j : j + words])]) > 1:
+                hit[j : j + words] = True
+        out[(i, int(hit.sum()))] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [40, 1 << 19])
+def test_passages(spark, piece, monkeypatch):
+    """Ends of passages, copies, a passage twice in one text only, other case and
+    punctuation, repeated ids, null, empty and long texts."""
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    rng = random.Random(9)
+    new = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    part = [new(n) for n in (11, 12, 13, 20, 60, 200)]
+    rows = [(k, " ".join(rng.choice([*part, new(4), new(15)]) for _ in range(rng.randrange(1, 6)))) for k in range(50)]
+    own = new(30)
+    rows += [(60, f"{own} x {own}"), (61, f"{own} x {new(3)} {own}".replace(own[:40], "y")), (62, (new(9) + " " + part[2]).upper().replace(" ", " -- ")), (63, None), (64, ""), (None, part[3])]
+    rows += [(65, part[0]), (66, new(40)), (67, rows[0][1]), (67, rows[0][1]), (68, "a " * 300), (69, "ü " * 90 + part[5]), (70, new(12)), (70, part[4])]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, key string").repartition(4)
+    got = suffixes.cut_repeats(table, length=5000, passage=12)
+    assert Counter((r.doc_id, r.n_passage_words) for r in got.collect()) == plain_passages(rows, 12)
+    assert suffixes.cut_repeats(table.limit(0), passage=12).count() == 0
+
+
 # ------------------------------------------------------------ toxicity and quality
 
 
