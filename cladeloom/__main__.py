@@ -17,9 +17,11 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     mk = sub.add_parser("mkdb", help="build a database")
     mk.add_argument("--db", required=True)
-    mk.add_argument("--orthoxml", required=True)
-    mk.add_argument("--species_tree", required=True)
-    mk.add_argument("--sequences", required=True, nargs="+")
+    built_from = mk.add_mutually_exclusive_group(required=True)
+    built_from.add_argument("--orthoxml", help="with --species_tree and --sequences")
+    built_from.add_argument("--browser", help="folder of the browser's tables in Parquet, with speciestree.nwk or --species_tree")
+    mk.add_argument("--species_tree")
+    mk.add_argument("--sequences", nargs="+", default=[])
     mk.add_argument("--xrefs", nargs="*", default=[])
     mk.add_argument("--min_fam_size", type=int, default=6)
     mk.add_argument("--min_fam_completeness", type=float, default=0.5)
@@ -45,14 +47,23 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    top = parser()
+    args = top.parse_args(argv)
+    if args.command == "mkdb" and args.orthoxml and not (args.species_tree and args.sequences):
+        top.error("--orthoxml needs --species_tree and --sequences")
+    if args.command == "mkdb" and args.browser and (args.sequences or args.xrefs):
+        top.error("--browser takes neither --sequences nor --xrefs")
     spark = spark or SparkSession.builder.appName("cladeloom").getOrCreate()
     if args.command == "mkdb":
         hidden = engine.read_names(spark, args.hidden_taxa) if args.hidden_taxa else None
-        engine.create_from_orthoxml(
-            spark, args.db, args.orthoxml, args.species_tree, args.sequences, args.xrefs or None, k=args.k, reduced=args.reduced_alphabet, min_size=args.min_fam_size,
-            min_completeness=args.min_fam_completeness, logic=args.logic, root_taxon=args.root_taxon, hidden=hidden, overwrite=args.overwrite,
+        options = dict(
+            k=args.k, reduced=args.reduced_alphabet, min_size=args.min_fam_size, min_completeness=args.min_fam_completeness, logic=args.logic,
+            root_taxon=args.root_taxon, hidden=hidden, overwrite=args.overwrite,
         )
+        if args.browser:
+            engine.create_from_browser_files(spark, args.db, args.browser, args.species_tree, **options)
+        else:
+            engine.create_from_orthoxml(spark, args.db, args.orthoxml, args.species_tree, args.sequences, args.xrefs or None, **options)
         return 0
     db = engine.Database.open(spark, args.db)
     if args.command == "info":

@@ -17,7 +17,7 @@ from ..functions.sequences import K, check_k, kmer_code, sanitise
 from ..operators import build, hierarchy, index
 from ..operators import search as srch
 from ..operators.shared import settle, spread
-from ..sources import fasta, newick, orthoxml, results
+from ..sources import browser, fasta, newick, orthoxml, results
 from ..sources.files import checksums, file_sizes, read_small
 
 SCHEMA_VERSION = "1.1"
@@ -218,6 +218,14 @@ def create_from_browser(spark: SparkSession, path: str, levels: DataFrame, genom
     return create(spark, path, levels, named.select("prot_id", "species", "group"), records, taxa, known_taxa=known, source="browser", **options)
 
 
+def create_from_browser_files(spark: SparkSession, path: str, folder: str, tree_path: str | None = None, **options) -> Database:
+    """Build from the browser's tables in Parquet (sources/browser.py); the
+    species tree is the folder's speciestree.nwk, if no other is named."""
+    taxa = newick.taxa_table(newick.read_tree(spark, tree_path or f"{folder}/speciestree.nwk"))
+    found = browser.read_browser(spark, folder)
+    return create_from_browser(spark, path, found.levels, found.genomes, found.entries, found.taxonomy, taxa, **options)
+
+
 def search_table(db: Database, queries: DataFrame, reference_taxon: str | None = None, include_extant_genes: bool = False, **options) -> DataFrame:
     """Results for queries(ord, qseqid, seq), sanitised."""
     closest = None

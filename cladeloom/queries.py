@@ -23,7 +23,7 @@ from .operators import build, hierarchy, index, tours
 from .operators import search as srch
 from .operators.shared import settle, shared_dir, spread
 from .plans import engine
-from .sources import fasta, newick, orthoxml, results
+from .sources import browser, fasta, newick, orthoxml, results
 from .sources.files import checksums
 
 K = 6
@@ -847,6 +847,23 @@ def browser_build(spark, sf_dir):
     return got.select("ext_id", F.col("n_name").alias("species"), "hog", "seq_len")
 
 
+@query(f"SELECT doc_id, md5({RAW}) AS seq_md5, CAST(length({RAW}) AS BIGINT) AS n FROM documents")
+def browser_sequences(spark, sf_dir):
+    """Documents as entries of a sequence buffer, cut out of chunks that end
+    in the middle of every sequence."""
+    from .operators.shared import running_sum
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_nr"), sq.sanitise(F.coalesce("text", F.lit(""))).alias("s")).withColumn("n", F.length("s").cast("long"))
+    held = running_sum(d.withColumn("m", F.col("n") + 1), ["entry_nr"], "m", "end").withColumn("off", F.col("end") - F.col("m"))
+    half = (F.col("n") / 2).cast("int")
+    chunks = held.select(F.explode(F.array(
+        F.struct(F.col("off").alias("start"), F.substring(F.col("s"), F.lit(1), half).alias("data")),
+        F.struct((F.col("off") + half).alias("start"), F.concat(F.substring(F.col("s"), half + 1, F.length("s")), F.lit(" ")).alias("data")),
+    )).alias("c")).select("c.*")
+    got = browser.cut_sequences(held.select("entry_nr", "off", "n"), chunks)
+    return got.select(F.col("entry_nr").alias("doc_id"), F.md5("seq").alias("seq_md5"), F.length("seq").cast("long").alias("n"))
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY c_nationkey, c_mktsegment, c_name) - 1 AS BIGINT) AS row, c_nationkey AS fam, c_mktsegment AS id, c_name AS level FROM customer")
 def level_table(spark, sf_dir):
     return build.level_table(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("fam"), F.col("c_mktsegment").alias("id"), F.col("c_name").alias("level")))
