@@ -4,8 +4,9 @@ probabilities of families and groups that follow from it.
 
 Groups are numbered in pre-order (column pre), so the lowest common ancestor
 of any set is that of its least and its greatest number. Building an index is
-then a hash aggregate of two integers for each (k-mer, family), combined
-before the shuffle; paths are looked up afterwards.
+then an aggregate of two integers for each (k-mer, family), combined block by
+block in the tasks (kmers.py) and again before the shuffle; paths are looked up
+afterwards.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequences import K, explode_codes
+from ..functions.sequences import K
 from . import climbs
 from .hierarchy import common_path
+from .kmers import spans
 from .shared import bucket_count, read_buckets, settle, shared_dir, write_buckets
 
 
@@ -27,19 +29,16 @@ def build(sequences: DataFrame, groups: DataFrame, k: int = K, hidden: DataFrame
     indexed. K-mers with X are indexed like others."""
     rows = sequences if hidden is None else sequences.join(hidden.select("species"), "species", "left_anti")
     placed = rows.join(groups.select("hog_id", "fam_id", "pre"), "hog_id").select("fam_id", "pre", "seq")
-    spans = explode_codes(placed, "seq", k, ["fam_id", "pre"], reduced).groupBy("code", "fam_id").agg(F.min("pre").alias("low"), F.max("pre").alias("high"))
-    return lowest(spans, groups)
+    return lowest(settle(spans(placed, k, reduced), "spans"), groups)
 
 
-def lowest(spans: DataFrame, groups: DataFrame) -> DataFrame:
-    """(code, fam_id, low, high) -> (code, fam_id, hog_id)."""
-    ends = groups.select("pre", F.col("hog_id").alias("own"), "path")
-    pairs = spans.filter("low <> high").select("low", "high").distinct()
-    met = pairs.join(ends.withColumnRenamed("pre", "low").withColumnRenamed("path", "a").drop("own"), "low").join(
-        ends.withColumnRenamed("pre", "high").withColumnRenamed("path", "b").drop("own"), "high"
-    ).select("low", "high", F.element_at(common_path(F.col("a"), F.col("b")), -1).alias("hog_id"))
-    one = spans.filter("low = high").join(ends.select(F.col("pre").alias("low"), F.col("own").alias("hog_id")), "low")
-    return one.select("code", "fam_id", "hog_id").unionByName(spans.join(met, ["low", "high"]).select("code", "fam_id", "hog_id"))
+def lowest(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(code, fam_id, low, high) -> (code, fam_id, hog_id). Common ancestors are
+    found once for each pair of groups that occurs; spans are joined once."""
+    ends = groups.select("pre", "path")
+    met = found.select("low", "high").distinct().join(ends.withColumnsRenamed({"pre": "low", "path": "a"}), "low").join(ends.withColumnsRenamed({"pre": "high", "path": "b"}), "high")
+    met = settle(met.select("low", "high", F.element_at(common_path(F.col("a"), F.col("b")), -1).alias("hog_id")), "met")
+    return found.join(met, ["low", "high"]).select("code", "fam_id", "hog_id")
 
 
 #: Columns of stored postings, bucketed by code.
@@ -47,10 +46,11 @@ POSTINGS = "code long, fam_id int, hog_id long"
 
 
 def store(postings: DataFrame, path: str | None = None) -> tuple[str, int]:
-    """Write postings in buckets of their code; the path and their number."""
+    """Write postings in buckets of their code; the path and their number. They
+    are read twice, counted first."""
     spark = postings.sparkSession
     path = path or f"{shared_dir(spark)}/cladeloom/postings-{uuid.uuid4().hex[:12]}"
-    made = settle(postings.select("code", F.col("fam_id").cast("int").alias("fam_id"), F.col("hog_id").cast("long").alias("hog_id")), "unsorted")
+    made = postings.select("code", F.col("fam_id").cast("int").alias("fam_id"), F.col("hog_id").cast("long").alias("hog_id"))
     buckets = bucket_count(made)
     write_buckets(made, "code", buckets, path)
     return path, buckets

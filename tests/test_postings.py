@@ -6,13 +6,14 @@ import glob
 import random
 from decimal import Decimal, getcontext
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cladeloom.functions import sequences as sq
 from cladeloom.functions import statistics as st
-from cladeloom.operators import index
+from cladeloom.operators import index, kmers
 from cladeloom.operators import search as srch
 
 
@@ -111,3 +112,29 @@ def test_tail_of_large_samples(spark):
     df = spark.createDataFrame(cases, "x long, n long, p double, want double")
     for r in df.withColumn("got", st.neg_log_tail(F.col("x"), F.col("n"), F.col("p"))).collect():
         assert abs(r.got - r.want) <= 1e-9 * max(r.want, 1e-3), r
+
+
+@pytest.mark.parametrize("k,reduced,block", [(6, False, 64), (3, True, 7), (7, False, 1 << 20)])
+def test_spans_are_combined_in_blocks(k, reduced, block):
+    """Each block gives a k-mer of a family once, whatever the block cuts."""
+    rng, letters = random.Random(block), sq.alphabet(reduced)
+    rows = [(fam, pre, "".join(rng.choice(letters[:3]) for _ in range(n))) for fam, pre, n in [(2, 9, 40), (1, 3, 0), (1, 4, k), (2, 8, 300), (1, 3, k - 1), (1, 2, 90), (7, 1, 200)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string()))], names=["fam_id", "pre", "seq"])
+    want, at = {}, {}
+    place = 0
+    for fam, pre, s in rows:
+        for i in range(len(s) - k + 1):
+            key = (sum(letters.index(c) * len(letters) ** (k - 1 - j) for j, c in enumerate(s[i : i + k])), fam)
+            want.setdefault(key, []).append(pre)
+            at.setdefault(key, set()).add((place + i) // block)
+        place += len(s)
+    found = {}
+    for out in kmers.spans_of(k, reduced, block)(iter([batch.slice(0, 3), batch.slice(7)])):
+        assert out.num_rows
+    for out in kmers.spans_of(k, reduced, block)(iter([batch])):
+        for r in out.to_pylist():
+            found.setdefault((r["code"], r["fam_id"]), []).append((r["low"], r["high"]))
+    assert {c: (min(x)[0], max(y for _, y in x)) for c, x in found.items()} == {c: (min(x), max(x)) for c, x in want.items()}
+    assert all(len(found[c]) == len(at[c]) for c in want)
+    with pytest.raises(ValueError, match="sanitised"):
+        list(kmers.spans_of(k, reduced)(iter([pa.RecordBatch.from_pydict({"fam_id": [1], "pre": [1], "seq": ["acdefgh"]})])))
