@@ -30,6 +30,9 @@ _PREFIX = re.compile(r"(</?)[\w.-]+:")
 #: Order numbers: of each split 2 to the 42nd, of each tag two.
 SPLIT_BITS = 42
 
+#: Pieces of an element that are held one by one.
+PIECES = 4096
+
 
 def tag_of(piece: str, names: tuple[str, ...]) -> tuple[int, bool]:
     """How many elements of the names the piece's tag opens (-1: closes one),
@@ -122,13 +125,18 @@ def _cut(names: tuple[str, ...], known: dict[tuple[int, int], tuple[int, bool, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, reader, number, tag = None, Reader(names), 0, 0
         part: list[str] = []
+        packed: list[str] = []  # what part held before: pieces are small, and each would cost more than its text
         ord_, opens = 0, False
         out: list[tuple] = []
 
+        def pack() -> None:
+            packed.append(_PREFIX.sub(r"\1", "".join(part)))
+            part.clear()
+
         def ended(closes: bool) -> None:
-            nonlocal part
-            out.append((number, ord_, opens, closes, _PREFIX.sub(r"\1", "".join(part))))
-            part = []
+            pack()
+            out.append((number, ord_, opens, closes, "".join(packed)))
+            packed.clear()
 
         def batch_of() -> pa.RecordBatch:
             columns = list(zip(*out))
@@ -139,7 +147,7 @@ def _cut(names: tuple[str, ...], known: dict[tuple[int, int], tuple[int, bool, i
             size = 0
             for file, start, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 if (file, start) != at:
-                    if part:
+                    if part or packed:
                         ended(False)
                     at, tag = (file, start), 0
                     number, comment, depth = known[at]
@@ -156,9 +164,11 @@ def _cut(names: tuple[str, ...], known: dict[tuple[int, int], tuple[int, bool, i
                     size += len(piece)
                     if reader.depth == 0:
                         ended(True)
+                    elif len(part) >= PIECES:
+                        pack()
             if out:
                 yield batch_of()
-        if part:
+        if part or packed:
             ended(False)
         if out:
             yield batch_of()

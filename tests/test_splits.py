@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import lzma
 import random
+import tracemalloc
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -90,3 +91,30 @@ def test_compressed_and_deep(spark, tmp_path):
     (tmp_path / "deep.xml").write_text('<o><groups><orthologGroup id="7">' + "<orthologGroup>" * n + '<geneRef id="1"/>' + "</orthologGroup>" * n + "</orthologGroup></groups></o>")
     (r,) = orthoxml.groups_newick(orthoxml.read_nodes(spark, str(tmp_path / "deep.xml"))).collect()
     assert (r.fam, r.newick) == (7, "(" * (n + 1) + "1" + ")" * (n + 1) + ";")
+
+
+def test_tags_give_what_trees_give():
+    """Groups, members, nodes and species are read tag by tag as from a tree."""
+    for seed in range(6):
+        bare = document(seed, 5)[0].replace("<x:", "<").replace("</x:", "</")
+        root = ET.fromstring(bare)
+        for top in root.find("groups"):
+            text = ET.tostring(top, encoding="unicode")
+            groups, members = orthoxml.group_rows(top, 70)
+            assert sorted(orthoxml.groups_of(text, 70)) == sorted(groups) and list(orthoxml.members_of(text, 70)) == members
+            assert sorted(orthoxml.nodes_of(text, 70), key=lambda r: r[2]) == [(70, *r) for r in orthoxml.node_rows(top)]
+        for el in root.iter("species"):
+            assert list(orthoxml.species_of(ET.tostring(el, encoding="unicode"), 0)) == orthoxml.species_rows(el)
+    late = '<orthologGroup id="HOG:0000003"><paralogGroup><geneRef id="1"/><orthologGroup><geneRef id="2"/><property name="TaxRange" value="b"/></orthologGroup></paralogGroup><property name="TaxRange" value="a"/></orthologGroup>'
+    assert sorted(orthoxml.groups_of(late, 0)) == sorted(orthoxml.group_rows(ET.fromstring(late), 0)[0])
+
+
+def test_memory_does_not_follow_the_tree():
+    """A group of many genes is read in a small part of what its tree takes."""
+    text = '<orthologGroup id="HOG:0000001">' + "".join(f'<geneRef id="{i}"/>' for i in range(200_000)) + "</orthologGroup>"
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in orthoxml.groups_of(text, 0)) == sum(1 for _ in orthoxml.members_of(text, 0)) == 200_000
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
