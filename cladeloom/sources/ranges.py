@@ -24,6 +24,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,7 +85,7 @@ def _first_member(f, start: int, end: int, kind: bytes) -> int | None:
     if start == 0:
         return 0
     for low in range(start, end, CHUNK):
-        for m in BEGINS[kind].finditer(_at(f, low, CHUNK + 16)):
+        for m in BEGINS[kind].finditer(_at(f, low, min(CHUNK, end - low) + 16)):
             at = low + m.start()
             if m.start() < CHUNK and at < end and _sound(f, at, kind):
                 return at
@@ -146,8 +147,8 @@ def blocks(f, size: int) -> list[tuple[bytes, int, int]]:
     return [b for stream in reversed(found) for b in stream]
 
 
-def _blocks(f, start: int, end: int, size: int) -> Iterator[bytes]:
-    for head, at, length in blocks(f, size):
+def _blocks(f, start: int, end: int, listed: list[tuple[bytes, int, int]]) -> Iterator[bytes]:
+    for head, at, length in listed:
         if start <= at < end:
             machine = lzma.LZMADecompressor(lzma.FORMAT_XZ)
             machine.decompress(head)
@@ -160,13 +161,19 @@ def _plain(f, start: int, end: int) -> Iterator[bytes]:
         yield _at(f, low, min(CHUNK, end - low))
 
 
-def text_of(f, start: int, end: int, size: int) -> Iterator[bytes]:
-    """The unpacked text of a range, in small parts."""
+def layout(f, size: int) -> tuple[bytes | None, list[tuple[bytes, int, int]]]:
+    """The kind of a file, by its first bytes, and the blocks of an xz file."""
     head = _at(f, 0, 6)
     kind = next((m for m in MAGIC if head.startswith(m)), None)
+    return kind, blocks(f, size) if kind == XZ else []
+
+
+def text_of(f, start: int, end: int, size: int, known: tuple[bytes | None, list[tuple[bytes, int, int]]] | None = None) -> Iterator[bytes]:
+    """The unpacked text of a range, in small parts; known: the file's layout."""
+    kind, listed = known or layout(f, size)
     if kind is None:
         return _plain(f, start, end)
-    return _blocks(f, start, end, size) if kind == XZ else _members(f, start, end, size, kind)
+    return _blocks(f, start, end, listed) if kind == XZ else _members(f, start, end, size, kind)
 
 
 def cut(parts: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
@@ -201,25 +208,31 @@ def records(spark: SparkSession, *paths: str, split: int = SPLIT) -> DataFrame:
     along each file and, by path, over files; empty files have no rows."""
     found = settle(ranges(spark, paths, split), "ranges")
     total = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.col("size") - F.col("start"), F.lit(split))).alias("bytes")).first()
-    tasks = min(total.n, max(spark.sparkContext.defaultParallelism, -(-(total.bytes or 0) // split)))
+    # tasks follow the bytes, not the ranges; one takes neighbours, so it opens few files
+    tasks = max(min(total.n, max(2 * spark.sparkContext.defaultParallelism, -(-(total.bytes or 0) // SPLIT))), 1)
+    dealt = found.repartitionById(tasks, F.floor(F.col("split") * tasks / max(total.n, 1)).cast("int")).sortWithinPartitions("split")
     names = ["split", "file", "kind", "nr", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows, weight = [], 0
-                with opened(row["path"]) as f:
-                    for nr, (kind, text) in enumerate(cut(text_of(f, row["start"], min(row["start"] + split, row["size"]), row["size"]))):
-                        rows.append((row["split"], row["file"], kind, nr, text))
-                        weight += len(text) + 32
-                        if weight >= BATCH:
-                            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=shape)
-                            rows, weight = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=shape)
+        with ExitStack() as held:
+            path, f, known = None, None, None
+            rows, weight = [], 0
+            for row in (r for batch in batches for r in batch.to_pylist()):
+                if row["path"] != path:
+                    held.close()
+                    path, f = row["path"], held.enter_context(opened(row["path"]))
+                    known = layout(f, row["size"])
+                for nr, (kind, text) in enumerate(cut(text_of(f, row["start"], min(row["start"] + split, row["size"]), row["size"], known))):
+                    rows.append((row["split"], row["file"], kind, nr, text))
+                    weight += len(text) + 32
+                    if weight >= BATCH:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=shape)
+                        rows, weight = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=shape)
 
     shape = pa.schema([("split", pa.int64()), ("file", pa.int64()), ("kind", pa.int32()), ("nr", pa.int64()), ("text", pa.binary())])
-    read = settle(found.repartition(max(tasks, 1)).mapInArrow(run, "split long, file long, kind int, nr long, text binary").withColumn("text", F.col("text").cast("string")), "read")
+    read = settle(dealt.mapInArrow(run, "split long, file long, kind int, nr long, text binary").withColumn("text", F.col("text").cast("string")), "read")
     place = F.shiftleft(F.col("split"), 33) + F.col("nr")
     whole = read.filter("kind = 1").select(place.alias("ord"), F.col("text").alias("r"))
     order = Window.partitionBy("file").orderBy("split", "nr")

@@ -98,3 +98,22 @@ def test_many_files_and_empty_ones(spark, tmp_path):
     assert got == [f"x{i}" for i in range(300) if i % 7]
     assert fasta.read_fasta(spark, str(tmp_path / "f000.fa")).count() == 0
     assert fasta.read_fasta(spark, str(tmp_path / "f001.fa"), str(tmp_path / "f001.fa")).count() == 2
+
+
+def test_tasks_follow_bytes(spark, tmp_path, monkeypatch):
+    """Many small ranges are few tasks, and a task opens a file once."""
+    text = "".join(f">r{i} x\n{'ACDEFGHIKL' * 30}\n" for i in range(400))
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa.gz").write_bytes(gzip.compress(text.replace(">r", ">s").encode()))
+    seen = []
+    settled = ranges.settle
+
+    def spy(df, name):
+        if name == "read":
+            seen.append(df.rdd.getNumPartitions())
+        return settled(df, name)
+
+    monkeypatch.setattr(ranges, "settle", spy)
+    got = fasta.read_fasta(spark, str(tmp_path / "*"), split=512)
+    assert sorted(r.id for r in got.collect()) == sorted(f"{c}{i}" for c in "rs" for i in range(400))
+    assert seen and seen[0] <= 2 * spark.sparkContext.defaultParallelism
